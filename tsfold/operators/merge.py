@@ -2,9 +2,8 @@
 
 Output grain is one row per merged statement ``(project_id, out_ord, value)``
 plus the order key; one text per project is only built behind a size guard
-(C12). Dense positions are computed in two levels so no task ever holds a
-project's statements: counts per (project, block) -> prefix sums over the
-narrow block rows -> local position inside a block (a file).
+(C12). Dense positions come from ``order.dense_rank_within`` (range
+partitioning + per-partition offsets), so no task ever holds a whole project.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import extract as X
+from .order import dense_rank_within
 
 # --- fixed values: node kinds that get a blank line before / a newline after
 SPACE_BEFORE = ["Program", "ExportDecl", "Interface", "Class", "Method"]
@@ -86,28 +86,10 @@ def unresolved_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ dense order
 
-def dense_order(df: DataFrame, group: list[str], block: list[str], inner: list[str], out: str = "out_ord") -> DataFrame:
-    """Dense 1-based position within ``group`` ordered by ``block + inner``.
-
-    Level 1 counts rows per (group, block) (map-side partial aggregation);
-    level 2 runs a running sum over those narrow block rows per group;
-    level 3 numbers rows inside one block (a file: bounded). No task sees a
-    whole group's rows, only its block counts.
-    """
-    counts = df.groupBy(*group, *block).agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*group).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*group, *block, F.coalesce(F.sum("_n").over(wg), F.lit(0)).alias("_off"))
-    wb = Window.partitionBy(*group, *block).orderBy(*inner)
-    local = df.withColumn("_loc", F.row_number().over(wb))
-    return local.join(offs, [*group, *block]).withColumn(
-        out, (F.col("_off") + F.col("_loc")).cast("bigint")
-    ).drop("_off", "_loc")
-
-
 def flatten_program(stmts: DataFrame) -> DataFrame:
     """C4: all top-level statements of a project in file order, dense position."""
     s = stmts.select("project_id", "path", "file_ord", "stmt_ord", "kind", "value")
-    return dense_order(s, ["project_id"], ["file_ord"], ["stmt_ord"], "out_ord")
+    return dense_rank_within(s, ["project_id"], ["file_ord", "stmt_ord"], "out_ord")
 
 
 # ------------------------------------------------------------- C5/C6 keys
@@ -198,8 +180,8 @@ def merge_rows(files: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFra
         firsts = rows.groupBy("project_id", "origin_path", "origin_stmt_ord").agg(F.min("_k").alias("_k"))
         rows = rows.join(firsts, ["project_id", "origin_path", "origin_stmt_ord", "_k"], "left_semi").drop("_k")
     rows = rows.withColumn("sort_path_nl", F.coalesce("sort_path", F.lit("￿")))
-    out = dense_order(
-        rows, ["project_id"], ["section", "sort_path_nl", "file_ord"], ["stmt_ord", "name_ord"], "out_ord"
+    out = dense_rank_within(
+        rows, ["project_id"], ["section", "sort_path_nl", "file_ord", "stmt_ord", "name_ord"], "out_ord"
     )
     return out.select(
         "project_id", "out_ord", "section", "sort_path", "path", "file_ord", "stmt_ord", "name_ord",

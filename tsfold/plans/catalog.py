@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
+from ..operators import graph as G
 from ..operators import merge as M
+from ..operators import tree as T
 from ..sources import corpora as C
 from ..sources import files as S
 from ..sources.tables import table
@@ -141,5 +143,147 @@ def q_merge_full(spark, sf):
                 "section", "stmt_ord")
 
 
+@query("flatten_program")
+def q_flatten_program(spark, sf):
+    st = X.statements(C.ts_corpus(spark, sf))
+    return _big(M.flatten_program(st).select("project_id", "path", "stmt_ord", "out_ord"), "stmt_ord")
+
+
+# ---------------------------------------------------------- B edges
+
+def _ts_edges(spark, sf, corpus):
+    st = X.extract_facts(corpus(spark, sf), materialize=True, columns=[
+        "project_id", "path", "file_ord", "stmt_ord", "name", "kind", "raw_type", "is_export",
+        "decl_keyword", "mcode", "members",
+    ])
+    return st
+
+
+@query("ref_edges")
+def q_ref_edges(spark, sf):
+    st = _ts_edges(spark, sf, C.ts_corpus)
+    return X.ref_edges_from(st, X.declarations_from(st))
+
+
+@query("contains_edges")
+def q_contains_edges(spark, sf):
+    st = _ts_edges(spark, sf, C.ts_customers)
+    return X.contains_edges_from(st).select("project_id", "path", "src", "dst", "edge_kind")
+
+
+@query("method_edges")
+def q_method_edges(spark, sf):
+    st = _ts_edges(spark, sf, C.ts_customers)
+    return X.method_edges_from(st).select("project_id", "path", "src", "dst", "edge_kind")
+
+
+def customer_graph(spark, sf):
+    st = _ts_edges(spark, sf, C.ts_customers)
+    ref = X.ref_edges_from(st, X.declarations_from(st))
+    cont = X.contains_edges_from(st).select("project_id", "src", "dst", "edge_kind")
+    return ref.unionByName(cont)
+
+
+@query("flow_of")
+def q_flow_of(spark, sf):
+    return G.flow_of(customer_graph(spark, sf))
+
+
+@query("find_by_name")
+def q_find_by_name(spark, sf):
+    st = X.extract_facts(C.ts_brands(spark, sf))
+    return _big(G.find_by_name(X.declarations_from(st)), "stmt_ord")
+
+
+# ---------------------------------------------------------- D graph
+
+@query("dependency_edges")
+def q_dependency_edges(spark, sf):
+    return G.dependency_edges(C.edges_order(spark, sf))
+
+
+@query("degrees")
+def q_degrees(spark, sf):
+    return G.degrees(C.edges_order(spark, sf))
+
+
+def _last_parts(spark, sf):
+    """Seed per order: the part of its last line (l_linenumber, l_partkey)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    last = li.groupBy("l_orderkey").agg(F.max(F.struct("l_linenumber", "l_partkey")).alias("x"))
+    return last.select(F.col("l_orderkey").alias("project_id"),
+                       F.concat(F.lit("p"), F.col("x.l_partkey").cast("string")).alias("seed"))
+
+
+@query("closure")
+def q_closure(spark, sf):
+    r = G.closure(C.edges_order(spark, sf), _last_parts(spark, sf))
+    return r.select("project_id", "seed", "node")
+
+
+@query("has_cycle")
+def q_has_cycle(spark, sf):
+    return G.has_cycle(C.edges_order(spark, sf))
+
+
+@query("cycle_members")
+def q_cycle_members(spark, sf):
+    return G.cycle_members(C.edges_order(spark, sf))
+
+
+@query("topo_order")
+def q_topo_order(spark, sf):
+    return _big(G.topo_order(C.edges_order(spark, sf)), "level")
+
+
+@query("components")
+def q_components(spark, sf):
+    return G.components(C.edges_order(spark, sf))
+
+
+@query("affected_files")
+def q_affected_files(spark, sf):
+    """Files affected by a change of the parts with p_size >= 45:
+    the changed part files and every file whose declarations depend on
+    them, transitively (reverse reference edges)."""
+    st = _ts_edges(spark, sf, C.ts_corpus)
+    decls = X.declarations_from(st)
+    edges = X.ref_edges_from(st, decls)
+    big = table(spark, sf, "part").where(F.col("p_size") >= 45).select(
+        F.concat(F.lit("src/part/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"))
+    changed = decls.join(big, "path", "left_semi").select("project_id", F.col("name").alias("node"))
+    hit = G.affected(edges, changed)
+    return decls.join(hit.withColumnRenamed("node", "name"), ["project_id", "name"], "left_semi") \
+        .select("project_id", "path").distinct()
+
+
+# ---------------------------------------------------------- E tree
+
+def _nodes(spark, sf):
+    return C.nodes_geo(spark, sf).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@query("preorder")
+def q_preorder(spark, sf):
+    return T.preorder(_nodes(spark, sf)).select("node_id", "sort_path", "pre_ord")
+
+
+@query("postorder")
+def q_postorder(spark, sf):
+    return T.postorder(_nodes(spark, sf)).select("node_id", "post_ord")
+
+
+@query("prune")
+def q_prune(spark, sf):
+    n = _nodes(spark, sf)
+    skip = (F.col("kind") == "Method") & (F.col("label") == "BUILDING")
+    return T.prune(n, skip).select("node_id", "parent_id", "depth")
+
+
+@query("leaf_nodes")
+def q_leaf_nodes(spark, sf):
+    return T.leaf_nodes(_nodes(spark, sf)).select("node_id", "kind")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -167,5 +167,170 @@ SELECT project_id, CAST(sum(strlen(value)) AS BIGINT) AS n_bytes, count(*) AS n_
 FROM mo GROUP BY project_id"""
 
 
+ORACLES["flatten_program"] = STMTS + """
+SELECT project_id, path, stmt_ord,
+       row_number() OVER (PARTITION BY project_id ORDER BY file_ord, stmt_ord) AS out_ord
+FROM stmts"""
+
+ORACLES["ref_edges"] = f"""
+WITH {LI}
+SELECT DISTINCT project_id, 'order' || {v('k')} AS src, 'Part' || {v('pk')} AS dst, 'uses' AS edge_kind
+FROM lim WHERE pk % 16 = k % 16
+UNION ALL
+SELECT DISTINCT project_id, 'helper' || {v('k')}, 'order' || {v('k')}, 'uses' FROM lim"""
+
+CUST = """
+cu AS (SELECT DISTINCT o_custkey AS c, o_custkey % 16 AS project_id,
+              'src/customer/' || CAST(o_custkey AS VARCHAR) || '.ts' AS path,
+              'Group' || CAST(o_custkey % 7 AS VARCHAR) AS grp FROM orders),
+co AS (SELECT o_orderkey AS o, o_custkey AS c FROM orders)"""
+
+ORACLES["contains_edges"] = f"""
+WITH {CUST}
+SELECT project_id, path, grp AS src, 'Config' AS dst, 'contains' AS edge_kind FROM cu
+UNION ALL
+SELECT cu.project_id, cu.path, cu.grp, 'Order' || {v('co.o')}, 'contains' FROM co JOIN cu ON co.c = cu.c"""
+
+ORACLES["method_edges"] = f"""
+WITH {CUST}
+SELECT project_id, path, 'Account' || {v('c')} AS src, 'status' AS dst, 'method' AS edge_kind FROM cu
+UNION ALL
+SELECT cu.project_id, cu.path, 'Account' || {v('cu.c')}, 'order' || {v('co.o')}, 'method'
+FROM co JOIN cu ON co.c = cu.c"""
+
+ORACLES["flow_of"] = f"""
+WITH {CUST},
+e AS (
+  SELECT DISTINCT project_id, 'Account' || {v('c')} AS src, 'Base' || {v('c')} AS dst, 'uses' AS k FROM cu
+  UNION
+  SELECT DISTINCT project_id, grp, 'Base' || {v('c')}, 'uses' FROM cu
+  UNION
+  SELECT DISTINCT project_id, grp, 'Config', 'contains' FROM cu
+  UNION
+  SELECT DISTINCT cu.project_id, cu.grp, 'Order' || {v('co.o')}, 'contains' FROM co JOIN cu ON co.c = cu.c)
+SELECT DISTINCT project_id, src AS node, dst AS related,
+       CASE WHEN k = 'contains' THEN 'member' ELSE 'dependency' END AS relation FROM e
+UNION
+SELECT DISTINCT project_id, dst, src, CASE WHEN k = 'contains' THEN 'owner' ELSE 'dependant' END FROM e"""
+
+ORACLES["find_by_name"] = """
+SELECT p_partkey % 16 AS project_id, replace(p_brand, '#', '_') AS name,
+       'src/brand/' || CAST(min(p_partkey) AS VARCHAR) || '.ts' AS path, CAST(1 AS BIGINT) AS stmt_ord,
+       'ExportDecl' AS kind
+FROM part GROUP BY p_partkey % 16, p_brand"""
+
+EO = """
+eo AS (
+  SELECT l_orderkey AS project_id, l_partkey AS pk,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn,
+         count(*) OVER (PARTITION BY l_orderkey) AS n
+  FROM lineitem),
+eg AS (
+  SELECT a.project_id, 'p' || CAST(a.pk AS VARCHAR) AS src, 'p' || CAST(b.pk AS VARCHAR) AS dst,
+         'uses' AS edge_kind
+  FROM eo a JOIN eo b ON a.project_id = b.project_id AND b.rn = a.rn + 1)"""
+
+ORACLES["dependency_edges"] = f"""
+WITH {EO}
+SELECT project_id, src AS node, dst AS other, 'dependency' AS relation, edge_kind FROM eg
+UNION ALL
+SELECT project_id, dst, src, 'reference', edge_kind FROM eg"""
+
+ORACLES["degrees"] = f"""
+WITH {EO},
+o AS (SELECT project_id, src AS node, count(*) AS n FROM eg GROUP BY 1, 2),
+i AS (SELECT project_id, dst AS node, count(*) AS n FROM eg GROUP BY 1, 2)
+SELECT COALESCE(o.project_id, i.project_id) AS project_id, COALESCE(o.node, i.node) AS node,
+       COALESCE(o.n, 0) AS n_dependencies, COALESCE(i.n, 0) AS n_references
+FROM o FULL OUTER JOIN i ON o.project_id = i.project_id AND o.node = i.node"""
+
+ORACLES["closure"] = f"""
+WITH RECURSIVE {EO},
+seeds AS (SELECT project_id, 'p' || CAST(pk AS VARCHAR) AS seed FROM eo WHERE rn = n),
+r(project_id, seed, node) AS (
+  SELECT s.project_id, s.seed, e.dst FROM seeds s JOIN eg e ON e.project_id = s.project_id AND e.src = s.seed
+  UNION
+  SELECT r.project_id, r.seed, e.dst FROM r JOIN eg e ON e.project_id = r.project_id AND e.src = r.node)
+SELECT project_id, seed, node FROM r"""
+
+ORACLES["has_cycle"] = f"""
+WITH {EO}
+SELECT project_id, count(*) > count(DISTINCT pk) AS has_cycle
+FROM eo GROUP BY project_id HAVING count(*) >= 2"""
+
+ORACLES["cycle_members"] = f"""
+WITH {EO},
+rep AS (SELECT a.project_id, a.rn AS i, b.rn AS j FROM eo a JOIN eo b
+        ON a.project_id = b.project_id AND a.pk = b.pk AND a.rn < b.rn)
+SELECT DISTINCT e.project_id, 'p' || CAST(e.pk AS VARCHAR) AS node
+FROM eo e JOIN rep r ON e.project_id = r.project_id AND e.rn BETWEEN r.i AND r.j"""
+
+ORACLES["topo_order"] = f"""
+WITH {EO},
+acyc AS (SELECT project_id FROM eo GROUP BY project_id
+         HAVING count(*) >= 2 AND count(*) = count(DISTINCT pk))
+SELECT e.project_id, 'p' || CAST(e.pk AS VARCHAR) AS node, e.rn - 1 AS level
+FROM eo e JOIN acyc USING (project_id)"""
+
+ORACLES["components"] = f"""
+WITH {EO},
+multi AS (SELECT project_id, min('p' || CAST(pk AS VARCHAR)) AS component FROM eo
+          GROUP BY project_id HAVING count(*) >= 2)
+SELECT DISTINCT e.project_id, 'p' || CAST(e.pk AS VARCHAR) AS node, m.component
+FROM eo e JOIN multi m USING (project_id)"""
+
+ORACLES["affected_files"] = f"""
+WITH {LI},
+chg AS (SELECT p_partkey FROM part WHERE p_size >= 45)
+SELECT DISTINCT p_partkey % 16 AS project_id, 'src/part/' || CAST(p_partkey AS VARCHAR) || '.ts' AS path FROM chg
+UNION
+SELECT DISTINCT l.project_id, l.path FROM lim l JOIN chg c ON l.pk = c.p_partkey WHERE l.pk % 16 = l.k % 16"""
+
+
+def _pad(x: str) -> str:
+    return f"lpad(CAST({x} AS VARCHAR), 12, '0')"
+
+
+NG = f"""
+ng AS (
+  SELECT CAST(0 AS BIGINT) AS project_id, 'r' || {v('r_regionkey')} AS node_id, CAST(NULL AS VARCHAR) AS parent_id,
+         {_pad('r_regionkey')} AS sort_path, CAST(0 AS BIGINT) AS depth, 'Program' AS kind, r_name AS label
+  FROM region
+  UNION ALL
+  SELECT 0, 'n' || {v('n_nationkey')}, 'r' || {v('n_regionkey')},
+         {_pad('n_regionkey')} || '/' || {_pad('n_nationkey')}, 1, 'Class', n_name
+  FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL
+  SELECT 0, 'c' || {v('c_custkey')}, 'n' || {v('c_nationkey')},
+         {_pad('n_regionkey')} || '/' || {_pad('n_nationkey')} || '/' || {_pad('c_custkey')}, 2, 'Method',
+         c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL
+  SELECT 0, 'o' || {v('o_orderkey')}, 'c' || {v('o_custkey')},
+         {_pad('n_regionkey')} || '/' || {_pad('n_nationkey')} || '/' || {_pad('c_custkey')} || '/'
+           || {_pad('o_orderkey')}, 3, 'Statement', o_orderstatus
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+       JOIN region ON n_regionkey = r_regionkey)"""
+
+ORACLES["preorder"] = f"""
+WITH {NG}
+SELECT node_id, sort_path, row_number() OVER (ORDER BY sort_path) AS pre_ord FROM ng"""
+
+ORACLES["postorder"] = f"""
+WITH {NG}
+SELECT node_id, row_number() OVER (ORDER BY sort_path || '/~') AS post_ord FROM ng"""
+
+ORACLES["prune"] = f"""
+WITH {NG}
+SELECT n.node_id, n.parent_id, n.depth FROM ng n
+WHERE NOT EXISTS (SELECT 1 FROM ng p WHERE p.kind = 'Method' AND p.label = 'BUILDING'
+                  AND n.sort_path LIKE p.sort_path || '/%')"""
+
+ORACLES["leaf_nodes"] = f"""
+WITH {NG}
+SELECT n.node_id, n.kind FROM ng n
+WHERE NOT EXISTS (SELECT 1 FROM ng c WHERE c.parent_id = n.node_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

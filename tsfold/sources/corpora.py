@@ -108,15 +108,25 @@ def ts_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Namespaces with nested classes and methods: one file per customer,
-    a namespace per customer holding one class per order, with a method
-    and a nested interface. Feeds contains/method edges."""
+    """Classes with methods and namespaces with members, one file per
+    customer with orders (FIXTURES 3.7, ours): a top-level interface, a class
+    with one method per order, and a namespace ``Group<custkey % 7>`` (so
+    same-named namespaces meet in a project) holding a shared ``Config``
+    interface and one class per order. Feeds contains/method/ref edges and
+    namespace merging."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     per = o.groupBy("o_custkey").agg(
         F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("os")
     )
     c = _s("o_custkey")
-    body = F.array_join(
+    g = _s(F.col("o_custkey") % 7)
+    methods = F.array_join(
+        F.transform("os", lambda x: F.concat(
+            F.lit("    order"), _s(x["o_orderkey"]), F.lit("(): string {\n        return '"),
+            x["o_orderstatus"], F.lit("';\n    }\n"))),
+        "",
+    )
+    members = F.array_join(
         F.transform("os", lambda x: F.concat(
             F.lit("    export class Order"), _s(x["o_orderkey"]), F.lit(" extends Base"), c,
             F.lit(" {\n        status(): string {\n            return '"), x["o_orderstatus"],
@@ -125,7 +135,10 @@ def ts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     content = F.concat(
         F.lit("interface Base"), c, F.lit(" {\n    status(): string;\n}\n"),
-        F.lit("export namespace Cust"), c, F.lit(" {\n"), body, F.lit("}\n"),
+        F.lit("export class Account"), c, F.lit(" implements Base"), c, F.lit(" {\n"),
+        F.lit("    status(): string {\n        return 'open';\n    }\n"), methods, F.lit("}\n"),
+        F.lit("export namespace Group"), g, F.lit(" {\n    export interface Config {\n        id: number;\n    }\n"),
+        members, F.lit("}\n"),
     )
     return files_frame(per.select(
         (F.col("o_custkey") % N_PROJECTS).alias("project_id"),
@@ -175,18 +188,18 @@ def nodes_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pad(c, n=12):
         return F.lpad(_s(c), n, "0")
 
-    r = table(spark, sf_dir, "region").select("r_regionkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     # Paths of parents come from small dimension tables (region 5 rows, nation
     # 25 rows: fixed size by the schema); customer paths join orders by key.
     nat = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
-        "n_nationkey", "n_regionkey",
+        "n_nationkey", "n_regionkey", "n_name",
         F.concat(pad("n_regionkey"), F.lit("/"), pad("n_nationkey")).alias("np"),
     )
     cus = c.join(F.broadcast(nat), c.c_nationkey == nat.n_nationkey).select(
-        "c_custkey", "c_nationkey", F.concat("np", F.lit("/"), pad("c_custkey")).alias("cp")
+        "c_custkey", "c_nationkey", "c_mktsegment", F.concat("np", F.lit("/"), pad("c_custkey")).alias("cp")
     )
     rows = [
         r.select(
@@ -194,20 +207,20 @@ def nodes_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("r"), _s("r_regionkey")).alias("node_id"),
             F.lit(None).cast("string").alias("parent_id"),
             pad("r_regionkey").alias("sort_path"),
-            F.lit(0).alias("depth"), F.lit("Program").alias("kind"),
+            F.lit(0).alias("depth"), F.lit("Program").alias("kind"), F.col("r_name").alias("label"),
         ),
         nat.select(
             F.lit(0).cast("bigint"), F.concat(F.lit("n"), _s("n_nationkey")),
-            F.concat(F.lit("r"), _s("n_regionkey")), F.col("np"), F.lit(1), F.lit("Class"),
+            F.concat(F.lit("r"), _s("n_regionkey")), F.col("np"), F.lit(1), F.lit("Class"), F.col("n_name"),
         ),
         cus.select(
             F.lit(0).cast("bigint"), F.concat(F.lit("c"), _s("c_custkey")),
-            F.concat(F.lit("n"), _s("c_nationkey")), F.col("cp"), F.lit(2), F.lit("Method"),
+            F.concat(F.lit("n"), _s("c_nationkey")), F.col("cp"), F.lit(2), F.lit("Method"), F.col("c_mktsegment"),
         ),
         o.join(cus, o.o_custkey == cus.c_custkey).select(
             F.lit(0).cast("bigint"), F.concat(F.lit("o"), _s("o_orderkey")),
             F.concat(F.lit("c"), _s("o_custkey")),
-            F.concat("cp", F.lit("/"), pad("o_orderkey")), F.lit(3), F.lit("Statement"),
+            F.concat("cp", F.lit("/"), pad("o_orderkey")), F.lit(3), F.lit("Statement"), F.col("o_orderstatus"),
         ),
     ]
     out = rows[0]
