@@ -17,6 +17,10 @@ from ..operators import tree as T
 from ..sources import corpora as C
 from ..sources import files as S
 from ..sources.tables import table
+from ..session import scratch_path
+from ..streaming import events as EV
+from ..streaming import remerge as RM
+from ..streaming import throttle as TH
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -285,5 +289,108 @@ def q_leaf_nodes(spark, sf):
     return T.leaf_nodes(_nodes(spark, sf)).select("node_id", "kind")
 
 
+# ---------------------------------------------------------- F events
+
+THROTTLE_GAP_MS = 24 * 3600 * 1000  # query parameter: one day between re-scans
+
+
+def _norm(spark, sf, strict=False):
+    return EV.normalize_events(C.raw_events_tbl(spark, sf), strict)
+
+
+def _routed(spark, sf):
+    return EV.route_events(_norm(spark, sf), C.watched_dirs(spark, sf))
+
+
+@query("normalize_events")
+def q_normalize_events(spark, sf):
+    return _norm(spark, sf).select("event_id", "wd", "name", "kind")
+
+
+@query("route_events")
+def q_route_events(spark, sf):
+    return _routed(spark, sf).select("event_id", "path", "kind")
+
+
+@query("ignore_deletes")
+def q_ignore_deletes(spark, sf):
+    return EV.ignore_deletes(_routed(spark, sf), "ignore").select("event_id", "path", "kind")
+
+
+@query("scan_throttle")
+def q_scan_throttle(spark, sf):
+    ev = _norm(spark, sf).select("event_id", "wd", "ts")
+    return EV.scan_throttle(ev, "wd", "ts", THROTTLE_GAP_MS).select("wd", "event_id")
+
+
+@query("active_paths")
+def q_active_paths(spark, sf):
+    return EV.active_paths(_routed(spark, sf)).select("path", "last_kind")
+
+
+@query("watch_dedup")
+def q_watch_dedup(spark, sf):
+    return EV.watch_dedup(_routed(spark, sf))
+
+
+@query("register_path")
+def q_register_path(spark, sf):
+    r = _routed(spark, sf)
+    files = r.select("path").distinct()
+    return EV.register_path(r, files)
+
+
+@query("event_counts")
+def q_event_counts(spark, sf):
+    return EV.event_counts(_norm(spark, sf))
+
+
+def _landed_events(spark, sf):
+    folder = scratch_path(spark, "events-in")
+    RM.write_event_files(C.raw_events_tbl(spark, sf), folder, n_files=4)
+    return folder
+
+
+@query("event_source")
+def q_event_source(spark, sf):
+    folder = _landed_events(spark, sf)
+    out, ck = scratch_path(spark, "events-out"), scratch_path(spark, "events-ck")
+    stream = RM.normalized_stream(spark, folder).select("event_id", "wd", "name", "kind")
+    RM.run_available_now(stream, out, ck)
+    return spark.read.parquet(out)
+
+
+@query("scan_throttle_stream")
+def q_scan_throttle_stream(spark, sf):
+    folder = _landed_events(spark, sf)
+    out, ck = scratch_path(spark, "throttle-out"), scratch_path(spark, "throttle-ck")
+    ev = RM.normalized_stream(spark, folder).select("event_id", "wd", "ts")
+    RM.run_available_now(TH.scan_throttle_stream(ev, "wd", "ts", "event_id", THROTTLE_GAP_MS), out, ck)
+    return spark.read.parquet(out).select("wd", "event_id")
+
+
+@query("event_counts_stream")
+def q_event_counts_stream(spark, sf):
+    folder = _landed_events(spark, sf)
+    out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
+    ev = RM.normalized_stream(spark, folder)
+    RM.run_available_now(EV.event_counts_stream(ev), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("remerge_stream")
+def q_remerge_stream(spark, sf):
+    folder = _landed_events(spark, sf)
+    out, ck = scratch_path(spark, "remerge-out"), scratch_path(spark, "remerge-ck")
+    ev = RM.normalized_stream(spark, folder)
+    files = C.ts_corpus(spark, sf)
+    q = RM.start_remerge(ev, files, out, ck, lambda b: b.select((F.col("wd") % C.N_PROJECTS).alias("project_id")))
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select(F.col("project_id").cast("bigint").alias("project_id"), "out_ord",
+                    F.col("section").cast("bigint").alias("section"), "path",
+                    F.col("stmt_ord").cast("bigint").alias("stmt_ord"), "kind", "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -332,5 +332,69 @@ SELECT n.node_id, n.kind FROM ng n
 WHERE NOT EXISTS (SELECT 1 FROM ng c WHERE c.parent_id = n.node_id)"""
 
 
+EV = """
+ev AS (
+  SELECT event_id, user_id AS wd, CAST(user_id AS VARCHAR) || '.ts' AS name, ts, event_type, value,
+         CASE WHEN event_type = 'error' OR value > 100 THEN 'delete'
+              WHEN event_type IN ('view', 'purchase') THEN 'modify'
+              WHEN event_type = 'click' THEN 'rename'
+              WHEN event_type = 'signup' THEN 'create' END AS kind,
+         '/w/u' || CAST(user_id AS VARCHAR) || '/' || CAST(user_id AS VARCHAR) || '.ts' AS path
+  FROM events)"""
+
+ORACLES["normalize_events"] = f"""
+WITH {EV}
+SELECT event_id, wd, name, kind FROM ev WHERE kind IS NOT NULL"""
+
+ORACLES["event_source"] = ORACLES["normalize_events"]
+
+ORACLES["route_events"] = f"""
+WITH {EV}
+SELECT event_id, path, kind FROM ev WHERE kind IS NOT NULL"""
+
+ORACLES["ignore_deletes"] = f"""
+WITH {EV}
+SELECT event_id, path, kind FROM ev WHERE kind IS NOT NULL AND kind <> 'delete'"""
+
+ORACLES["scan_throttle"] = f"""
+WITH RECURSIVE {EV},
+acc(wd, event_id, ts) AS (
+  SELECT wd, arg_min(event_id, ts), min(ts) FROM ev GROUP BY wd
+  UNION ALL
+  SELECT e.wd, arg_min(e.event_id, e.ts), min(e.ts)
+  FROM acc a JOIN ev e ON e.wd = a.wd AND e.ts >= a.ts + INTERVAL 1 DAY
+  GROUP BY e.wd)
+SELECT wd, event_id FROM acc"""
+
+ORACLES["scan_throttle_stream"] = ORACLES["scan_throttle"]
+
+ORACLES["active_paths"] = f"""
+WITH {EV}
+SELECT path, arg_max(kind, ts) AS last_kind FROM ev GROUP BY path
+HAVING arg_max(kind, ts) NOT IN ('delete', 'rename')"""
+
+ORACLES["watch_dedup"] = f"""
+WITH {EV}
+SELECT path, min(ts) AS first_ts, count(*) AS n_events FROM ev GROUP BY path"""
+
+ORACLES["register_path"] = f"""
+WITH {EV}
+SELECT DISTINCT '/w/u' || CAST(wd AS VARCHAR) AS dir, path FROM ev WHERE kind = 'create'"""
+
+ORACLES["event_counts"] = f"""
+WITH {EV}
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, kind, count(*) AS n
+FROM ev GROUP BY 1, 2"""
+
+ORACLES["event_counts_stream"] = f"""
+WITH {EV}
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, kind, count(*) AS n
+FROM ev
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY 1, 2"""
+
+ORACLES["remerge_stream"] = ORACLES["merge_full"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
