@@ -117,22 +117,34 @@ def strip_comments_text(toks: Column) -> Column:
     return F.array_join(F.filter(toks, lambda t: ~_is_comment(t)), "")
 
 
+_WS_OTHER = "\t\r\f\u000b"
+
+
+def spaces_only(s: Column) -> Column:
+    """Map tab/CR/FF/VT to spaces so trim functions see all whitespace
+    (character translation, no regex)."""
+    return F.translate(s, _WS_OTHER, " " * len(_WS_OTHER))
+
+
 def is_blank(s: Column) -> Column:
-    return F.regexp_replace(s, r"\s", "") == ""
+    return F.length(F.trim(spaces_only(s))) == 0
+
+
+def _count_chars(s: Column, chars: str) -> Column:
+    return F.length(s) - F.length(F.translate(s, chars, ""))
 
 
 def brace_delta(masked_line: Column) -> Column:
-    opens = F.length(F.regexp_replace(masked_line, r"[^{(\[]", ""))
-    closes = F.length(F.regexp_replace(masked_line, r"[^})\]]", ""))
-    return opens - closes
+    """Opening minus closing brackets of a masked line (translate, no regex)."""
+    return _count_chars(masked_line, "{([") - _count_chars(masked_line, "})]")
 
 
 def first_word(masked_line: Column) -> Column:
-    return F.regexp_extract(masked_line, r"^\s*(@|[A-Za-z_$][\w$]*)", 1)
+    return F.regexp_extract(F.ltrim(spaces_only(masked_line)), r"^(@|[A-Za-z_$][\w$]*)", 1)
 
 
 def last_char(masked_line: Column) -> Column:
-    return F.regexp_extract(masked_line, r"(\S)\s*$", 1)
+    return F.substring(F.rtrim(spaces_only(masked_line)), -1, 1)
 
 
 def strip_decorators(mcode: Column) -> Column:

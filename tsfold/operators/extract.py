@@ -26,9 +26,22 @@ def _file_window() -> Window:
     return Window.partitionBy(*FILE_KEY).orderBy("line")
 
 
+DECL_HEAD_WORDS = [
+    "export", "default", "declare", "abstract", "async", "class", "interface", "function",
+    "namespace", "module", "enum", "type", "const", "let", "var",
+]
+
+
 def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Internal line table: one row per source line with depth, statement
-    number and classification flags."""
+    number and classification flags.
+
+    All per-line facts that need the masked text are computed right after
+    the explode; the masked copy is then dropped, so the window sorts carry
+    only the raw line and a few scalars. Window frames are all running
+    frames (O(n) per file): three passes in line order share one sort, one
+    pass in reverse line order finds the next code line and file totals.
+    """
     f = files.select("project_id", "path", "file_ord", "content")
     # Hash-partition whole files (compact rows) by file key once; a fixed
     # partition count keeps the CPU-heavy lexing spread over all cores even
@@ -40,32 +53,32 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         "project_id", "path", "file_ord",
         F.split("content", "\n", -1).alias("raw_l"),
         F.split(L.masked_text(toks), "\n", -1).alias("mask_l"),
-        F.split(L.clean_text(toks), "\n", -1).alias("clean_l"),
     )
     z = f.select(
         "project_id", "path", "file_ord",
-        F.posexplode(F.arrays_zip("raw_l", "mask_l", "clean_l")).alias("line", "z"),
-    ).select(
-        "project_id", "path", "file_ord", "line",
-        F.col("z.raw_l").alias("raw"), F.col("z.mask_l").alias("masked"),
-        F.col("z.clean_l").alias("clean"),
-    )
-    w = _file_window()
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    fw = L.first_word(F.col("masked"))
+        F.posexplode(F.arrays_zip("raw_l", "mask_l")).alias("line", "z"),
+    ).select("project_id", "path", "file_ord", "line", F.col("z.raw_l").alias("raw"), F.col("z.mask_l").alias("m"))
+    m = F.col("m")
+    fw = L.first_word(m)
+    is_code = ~L.is_blank(m)
     z = z.select(
-        "*",
-        L.brace_delta(F.col("masked")).alias("delta"),
+        "project_id", "path", "file_ord", "line", "raw",
+        L.brace_delta(m).alias("delta"),
         (~L.is_blank(F.col("raw"))).alias("nonblank"),
-        (~L.is_blank(F.col("masked"))).alias("is_code"),
+        is_code.alias("is_code"),
         fw.alias("fw"),
-        L.last_char(F.col("masked")).alias("lc"),
+        L.last_char(m).alias("lc"),
         (F.octet_length("raw") + 1).alias("blen"),
+        F.when(is_code & fw.isin(*DECL_HEAD_WORDS), L.decl_name(m)).alias("m_decl"),
+        F.when(is_code & (F.instr(m, "(") > 0), F.regexp_extract(m, L.METHOD_RE, 1)).alias("m_method"),
+        F.when(fw == "export", F.trim(F.col("raw"))).alias("exp_text"),
     )
+    w = Window.partitionBy(*FILE_KEY).orderBy("line")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    wr = Window.partitionBy(*FILE_KEY).orderBy(F.col("line").desc())
+    rev_upto = wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     z = z.select(
         "*",
         F.sum("delta").over(upto).alias("depth_after"),
@@ -79,18 +92,21 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         kw.alias("kw"),
         F.coalesce(F.last(F.when(F.col("is_code"), ended), True).over(before), F.lit(True)).alias("prev_ended"),
         F.coalesce(F.last(F.when(F.col("is_code"), deco), True).over(before), F.lit(False)).alias("prev_deco"),
-        F.min("depth_after").over(whole).alias("min_depth"),
-        F.last("depth_after").over(whole).alias("final_depth"),
+        F.min("depth_after").over(upto).alias("run_min"),
     )
     start = (
         F.col("is_code") & (F.col("depth_before") == 0)
         & ((F.col("kw") & ~F.col("prev_deco")) | (~F.col("kw") & F.col("prev_ended")))
     )
     z = z.withColumn("start", start)
+    z = z.select("*", F.sum(F.col("start").cast("int")).over(upto).alias("grp"))
+    # reverse pass: next code line at or after this one, and file totals
+    # (the first row in reverse order is the file's last line)
     z = z.select(
         "*",
-        F.sum(F.col("start").cast("int")).over(upto).alias("grp"),
-        F.first(F.when(F.col("is_code"), F.col("start")), True).over(after).alias("next_start"),
+        F.last(F.when(F.col("is_code"), F.col("start")), True).over(rev_upto).alias("next_start"),
+        F.first("run_min").over(rev_upto).alias("min_depth"),
+        F.first("depth_after").over(rev_upto).alias("final_depth"),
     )
     stmt = (
         F.when(F.col("is_code"), F.col("grp"))
@@ -163,9 +179,11 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     statements only. Rows of one statement are in one partition already
     (files are hash-partitioned by file key), so this adds no exchange."""
     nested_cond = (F.col("depth_before") > 0) & F.col("is_code") & (F.col("fw") == "export")
-    member_cond = F.col("is_code") & (F.col("depth_before") == 1)
+    member_cond = F.col("is_code") & (F.col("depth_before") == 1) & (
+        F.col("m_decl").isNotNull() | (F.coalesce(F.col("m_method"), F.lit("")) != "")
+    )
     g = ln.groupBy("project_id", "path", "file_ord", "stmt_ord").agg(
-        F.sort_array(F.collect_list(F.struct("line", "raw", "masked", "clean"))).alias("ls"),
+        F.sort_array(F.collect_list(F.struct("line", "raw"))).alias("ls"),
         F.min(F.when(F.col("nonblank"), F.col("line"))).alias("lo"),
         F.max(F.when(F.col("nonblank"), F.col("line"))).alias("hi"),
         F.min(F.when(F.col("is_code"), F.col("line"))).alias("head_line"),
@@ -174,26 +192,28 @@ def statement_rows(ln: DataFrame) -> DataFrame:
         F.max_by(F.col("blen") - 1, F.when(F.col("nonblank"), F.col("line"))).alias("end_col"),
         F.first("balanced").alias("balanced"),
         F.collect_list(F.when(nested_cond, F.struct(
-            "line", L.decl_name(F.col("masked")).alias("name"), F.trim(F.col("raw")).alias("text")
+            "line", F.col("m_decl").alias("name"), F.col("exp_text").alias("text")
         ))).alias("nested_exports"),
         F.collect_list(F.when(member_cond, F.struct(
-            "line", L.decl_name(F.col("masked")).alias("decl"),
-            F.regexp_extract("masked", L.METHOD_RE, 1).alias("method"),
+            "line", F.col("m_decl").alias("decl"), F.coalesce(F.col("m_method"), F.lit("")).alias("method"),
         ))).alias("members"),
     ).where(F.col("lo").isNotNull())
     comment_only = F.col("head_line").isNull()
     head = F.coalesce(F.col("head_line"), F.col("lo"))
-    mcode = _join_lines(F.col("ls"), "masked", head, F.col("hi"))
-    ccode = _join_lines(F.col("ls"), "clean", head, F.col("hi"))
     s = g.select(
         "project_id", "path", "file_ord", "stmt_ord", "balanced", "nested_exports", "members",
         _join_lines(F.col("ls"), "raw", F.col("lo"), F.col("hi")).alias("value"),
-        mcode.alias("mcode"), ccode.alias("ccode"), comment_only.alias("comment_only"),
+        _join_lines(F.col("ls"), "raw", head, F.col("hi")).alias("code"),
+        comment_only.alias("comment_only"),
         F.col("start_byte").cast("bigint").alias("start_byte"),
         F.col("end_byte").cast("bigint").alias("end_byte"),
         F.col("lo").cast("bigint").alias("start_row"), F.lit(0).cast("bigint").alias("start_col"),
         F.col("hi").cast("bigint").alias("end_row"), F.col("end_col").cast("bigint").alias("end_col"),
     )
+    # Statement code starts on a code line at depth 0 outside any literal, so
+    # re-tokenising it alone gives the same masks as the file-level pass.
+    s = s.withColumn("_tk", L.tokens(F.col("code"))).withColumn("mcode", L.masked_text(F.col("_tk"))) \
+        .withColumn("ccode", L.clean_text(F.col("_tk"))).drop("_tk", "code")
     raw_type = L.raw_type_of(F.col("mcode"), F.col("comment_only"))
     s = s.withColumn("raw_type", raw_type).withColumn("kind", classify_kind(F.col("raw_type")))
     name = F.when(~F.col("comment_only"), L.decl_name(F.col("mcode")))
