@@ -280,7 +280,7 @@ def node_text(files: DataFrame, ranges: DataFrame) -> DataFrame:
         "decode(substring(encode(content, 'UTF-8'), cast(start_byte + 1 as int), "
         "cast(end_byte - start_byte as int)), 'UTF-8')"
     )
-    return j.drop("content").withColumn("value", F.when(ok, txt)).withColumn("valid", ok)
+    return j.withColumn("value", F.when(ok, txt)).withColumn("valid", ok).drop("content")
 
 
 def rejects_unbalanced(files: DataFrame) -> DataFrame:

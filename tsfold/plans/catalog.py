@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import graph as G
+from ..operators import imports as I
 from ..operators import merge as M
 from ..operators import tree as T
 from ..sources import corpora as C
@@ -289,6 +290,182 @@ def q_leaf_nodes(spark, sf):
     return T.leaf_nodes(_nodes(spark, sf)).select("node_id", "kind")
 
 
+# ---------------------------------------------------------- more B/C
+
+@query("node_text")
+def q_node_text(spark, sf):
+    files = C.ts_corpus(spark, sf)
+    rng = X.statements(files).select("project_id", "path", "stmt_ord", "start_byte", "end_byte")
+    return _big(X.node_text(files, rng).select("project_id", "path", "stmt_ord", "value", "valid"), "stmt_ord")
+
+
+@query("comments")
+def q_comments(spark, sf):
+    return _big(X.comments(C.ts_corpus(spark, sf)), "comment_ord")
+
+
+@query("comments_html")
+def q_comments_html(spark, sf):
+    return _big(X.comments(C.pages_files(spark, sf), "html"), "comment_ord")
+
+
+@query("strip_comments")
+def q_strip_comments(spark, sf):
+    return X.strip_comments(C.ts_corpus(spark, sf)).select("project_id", "path", "content")
+
+
+def _merge_q(spark, sf, **kw):
+    r = M.merge_rows(C.ts_corpus(spark, sf), M.MergeOptions(**kw))
+    return _big(r.select("project_id", "out_ord", "section", "path", "stmt_ord", "kind", "value"),
+                "section", "stmt_ord")
+
+
+@query("sort_imports")
+def q_sort_imports(spark, sf):
+    return _merge_q(spark, sf, sort_imports=True, exports_first=False).drop("value")
+
+
+@query("exports_first")
+def q_exports_first(spark, sf):
+    return _merge_q(spark, sf, sort_imports=False, exports_first=True).drop("value")
+
+
+@query("dedupe_written")
+def q_dedupe_written(spark, sf):
+    return _merge_q(spark, sf, dedupe=False)
+
+
+@query("drop_unknown")
+def q_drop_unknown(spark, sf):
+    st = X.statements(C.ts_customers(spark, sf))
+    return _big(M.drop_unknown(st).select("project_id", "path", "stmt_ord", "kind"), "stmt_ord")
+
+
+@query("spacing")
+def q_spacing(spark, sf):
+    st = X.statements(C.ts_corpus(spark, sf))
+    return _big(st.select("project_id", "path", "stmt_ord", "kind",
+                          M.spacing(F.col("kind"), F.col("value")).alias("value")), "stmt_ord")
+
+
+@query("comment_carry")
+def q_comment_carry(spark, sf):
+    files = C.ts_corpus(spark, sf)
+    rows = M.merge_rows(files)
+    return M.comment_carry(files, rows).select("project_id", "out_ord", "comment")
+
+
+@query("merge_text")
+def q_merge_text(spark, sf):
+    t = M.merge_text(M.merge_rows(C.ts_corpus(spark, sf)))
+    return t.select("project_id", "n_rows", "n_bytes", F.md5("text").alias("md5"), "too_large")
+
+
+@query("index_export_order")
+def q_index_export_order(spark, sf):
+    st = X.extract_facts(C.ts_index(spark, sf), materialize=True, columns=FACT_COLS)
+    return _big(I.index_export_order(st).select("project_id", "export_name", "index_ord", "out_ord"), "index_ord")
+
+
+@query("scan_corpus")
+def q_scan_corpus(spark, sf):
+    folder = scratch_path(spark, "corpus")
+    S.write_corpus(C.ts_parts(spark, sf), folder)
+    f = S.scan_corpus(spark, folder, suffix=".txt", project_from_path=r"project_id=(\d+)")
+    return f.groupBy(F.col("project_id").cast("bigint").alias("project_id")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").cast("bigint").alias("n_bytes"))
+
+
+@query("write_merged")
+def q_write_merged(spark, sf):
+    out = scratch_path(spark, "merged")
+    S.write_merged_text(M.merge_rows(C.ts_corpus(spark, sf)), out)
+    t = S.read_merged_text(spark, out)
+    return t.select("project_id", F.md5("text").alias("md5"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query("position_order")
+def q_position_order(spark, sf):
+    """2H: positions (row, col) ordered as tuples; lineitem (orderkey, linenumber)."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row"),
+                                            F.col("l_linenumber").cast("bigint").alias("col")).distinct()
+    p = li.withColumn("g", F.lit(0)).withColumn("position", F.struct("row", "col"))
+    from ..operators.order import dense_rank_within
+    return dense_rank_within(p, ["g"], ["position"], "pos").select("row", "col", "pos")
+
+
+# ---------------------------------------------------------- G roadmap
+
+def _facts(spark, sf, corpus):
+    return X.extract_facts(corpus(spark, sf), materialize=True, columns=[
+        "project_id", "path", "file_ord", "stmt_ord", "name", "kind", "raw_type", "is_export",
+        "decl_keyword", "mcode", "members", "import_names", "source_path", "value", "start_row",
+        "export_names", "nested_exports",
+    ])
+
+
+def _both(spark, sf):
+    return C.ts_corpus(spark, sf).unionByName(C.ts_customers(spark, sf))
+
+
+@query("import_scope")
+def q_import_scope(spark, sf):
+    im = X.imports_from(_facts(spark, sf, _both))
+    return I.import_scope(im).groupBy("project_id", "scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("normalize_import_path")
+def q_normalize_import_path(spark, sf):
+    im = X.imports_from(_facts(spark, sf, C.ts_corpus))
+    return _big(I.normalize_import_paths(im).select("project_id", "path", "stmt_ord", "source_path", "resolved_path"),
+                "stmt_ord")
+
+
+@query("redundant_imports")
+def q_redundant_imports(spark, sf):
+    return I.redundant_imports(X.imports_from(_facts(spark, sf, C.ts_corpus)))
+
+
+@query("unused_imports")
+def q_unused_imports(spark, sf):
+    u = I.unused_imports(_facts(spark, sf, _both))
+    return u.select("project_id", "path", "imported_name", "local_name", "source_path")
+
+
+@query("dead_decls")
+def q_dead_decls(spark, sf):
+    st = _facts(spark, sf, _both)
+    decls = X.declarations_from(st)
+    return _big(I.dead_decls(decls, X.ref_edges_from(st, decls)).select("project_id", "path", "stmt_ord", "name"),
+                "stmt_ord")
+
+
+@query("cross_module_refs")
+def q_cross_module_refs(spark, sf):
+    st = _facts(spark, sf, C.ts_corpus)
+    decls = X.declarations_from(st)
+    return I.cross_module_refs(X.ref_edges_from(st, decls), decls)
+
+
+@query("usage_position")
+def q_usage_position(spark, sf):
+    st = _facts(spark, sf, C.ts_corpus)
+    decls = X.declarations_from(st)
+    return _big(I.usage_position(X.ref_edges_from(st, decls), decls), "first_use_stmt_ord")
+
+
+@query("namespace_merge")
+def q_namespace_merge(spark, sf):
+    return I.namespace_merge(_facts(spark, sf, C.ts_customers))
+
+
+@query("line_provenance")
+def q_line_provenance(spark, sf):
+    st = _facts(spark, sf, C.ts_corpus)
+    rows = M.merge_rows(C.ts_corpus(spark, sf))
+    return I.line_provenance(rows, st)
+
+
 # ---------------------------------------------------------- F events
 
 THROTTLE_GAP_MS = 24 * 3600 * 1000  # query parameter: one day between re-scans

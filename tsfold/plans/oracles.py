@@ -39,7 +39,7 @@ lio AS (
   FROM lim),
 ord AS (
   SELECT k, n, k % 16 AS project_id, 'src/order/' || {v('k')} || '.ts' AS path, 1000000000 + k AS file_ord,
-         sum(strlen(line) + 1) AS imp_bytes,
+         sum(strlen(line) + 1) AS imp_bytes, string_agg(line, chr(10) ORDER BY rn) AS imp_text,
          'export const order' || {v('k')} || ' = ['
            || string_agg('new Part' || {v('pk')} || '()', ', ' ORDER BY rn) || '];' AS exp_line,
          'function helper' || {v('k')} || '() {{' || {NL} || '    return order' || {v('k')} || ';' || {NL} || '}}' AS fn_value
@@ -396,5 +396,168 @@ GROUP BY 1, 2"""
 ORACLES["remerge_stream"] = ORACLES["merge_full"]
 
 
+ORACLES["node_text"] = STMTS + """
+SELECT project_id, path, stmt_ord, value, true AS valid FROM stmts"""
+
+ORACLES["comments"] = f"""
+WITH {TP}, {LI}
+SELECT project_id, path, CAST(1 AS BIGINT) AS comment_ord, '// part ' || {v('pk')} AS value FROM tp
+UNION ALL
+SELECT project_id, path, 1, '/* order ' || {v('k')} || ' */' FROM ord"""
+
+ORACLES["comments_html"] = """
+WITH c AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<!--.*?-->') AS arr FROM pages)
+SELECT page_id AS project_id, url AS path, CAST(i AS BIGINT) AS comment_ord, arr[i] AS value
+FROM c, range(1, len(arr) + 1) t(i)"""
+
+ORACLES["strip_comments"] = f"""
+WITH {TP}, {LI}
+SELECT project_id, path, regexp_replace(value, '^// part [0-9]+', '') || {NL} AS content FROM tp
+UNION ALL
+SELECT project_id, path, imp_text || {NL} || {NL} || exp_line || {NL} || fn_value || {NL} FROM ordv"""
+
+
+def _merged_variant(sections: str, sort_path: str, extra: str = "") -> str:
+    return STMTS + f""",
+base AS (
+  SELECT s.project_id, s.path, s.file_ord, s.stmt_ord, s.kind, s.value AS v,
+         {sections} AS section, {sort_path} AS sort_path
+  FROM stmts s
+  WHERE NOT (s.kind = 'ImportDecl'
+             AND TRY_CAST(regexp_extract(s.value, 'Part([0-9]+)', 1) AS BIGINT) % 16 = s.project_id)
+  {extra}),
+mo AS (
+  SELECT *, row_number() OVER (PARTITION BY project_id
+            ORDER BY section, sort_path NULLS LAST, file_ord, stmt_ord) AS out_ord,
+         CASE WHEN kind = 'ExportDecl' THEN {NL} ELSE '' END || v
+           || CASE WHEN kind = 'ExportDecl' THEN {NL} ELSE '' END || {NL} AS value
+  FROM base)"""
+
+
+_IMP_SP = "CASE WHEN s.kind = 'ImportDecl' THEN regexp_extract(s.value, 'from ''([^'']*)''', 1) END"
+
+ORACLES["sort_imports"] = _merged_variant(
+    "CASE WHEN s.kind = 'ImportDecl' THEN 0 ELSE 2 END", _IMP_SP) + """
+SELECT project_id, out_ord, CAST(section AS BIGINT) AS section, path, stmt_ord, kind FROM mo"""
+
+ORACLES["exports_first"] = _merged_variant(
+    "CASE WHEN s.kind = 'ExportDecl' THEN 1 ELSE 2 END", "CAST(NULL AS VARCHAR)") + """
+SELECT project_id, out_ord, CAST(section AS BIGINT) AS section, path, stmt_ord, kind FROM mo"""
+
+# without dedupe the inlined copies of resolved imports stay (at the import's place)
+ORACLES["dedupe_written"] = _merged_variant(
+    "CASE WHEN s.kind = 'ImportDecl' THEN 0 WHEN s.kind = 'ExportDecl' THEN 1 ELSE 2 END", _IMP_SP,
+    """UNION ALL
+  SELECT l.project_id, l.path, l.file_ord, l.rn, 'ExportDecl', t.value, 1, NULL
+  FROM lim l JOIN tp t ON t.pk = l.pk WHERE l.pk % 16 = l.k % 16""") + """
+SELECT project_id, out_ord, CAST(section AS BIGINT) AS section, path, stmt_ord, kind, value FROM mo"""
+
+CUSTS = """
+cs AS (SELECT DISTINCT o_custkey AS c, o_custkey % 16 AS project_id,
+              'src/customer/' || CAST(o_custkey AS VARCHAR) || '.ts' AS path FROM orders)"""
+
+ORACLES["drop_unknown"] = f"""
+WITH {CUSTS}
+SELECT project_id, path, CAST(i AS BIGINT) AS stmt_ord,
+       CASE WHEN i <= 2 THEN 'ImportDecl' WHEN i = 3 THEN 'Interface' ELSE 'ExportDecl' END AS kind
+FROM cs, range(1, 6) t(i)"""
+
+ORACLES["spacing"] = STMTS + f"""
+SELECT project_id, path, stmt_ord, kind,
+       CASE WHEN kind = 'ExportDecl' THEN {NL} ELSE '' END || value
+         || CASE WHEN kind = 'ExportDecl' THEN {NL} ELSE '' END || {NL} AS value
+FROM stmts"""
+
+ORACLES["comment_carry"] = MERGED + """
+SELECT project_id, out_ord,
+       CASE WHEN path LIKE 'src/part/%' THEN '// part ' || regexp_extract(path, '([0-9]+)', 1)
+            ELSE '/* order ' || regexp_extract(path, '([0-9]+)', 1) || ' */' END AS comment
+FROM mo WHERE kind = 'ExportDecl'"""
+
+ORACLES["merge_text"] = MERGED + """
+SELECT project_id, count(*) AS n_rows, CAST(sum(strlen(value)) AS BIGINT) AS n_bytes,
+       md5(string_agg(value, '' ORDER BY out_ord)) AS md5, false AS too_large
+FROM mo GROUP BY project_id"""
+
+ORACLES["write_merged"] = MERGED + """
+SELECT project_id, md5(string_agg(value, '' ORDER BY out_ord)) AS md5,
+       CAST(sum(strlen(value)) AS BIGINT) AS n_bytes
+FROM mo GROUP BY project_id"""
+
+ORACLES["index_export_order"] = f"""
+WITH {EO},
+fi AS (SELECT project_id, pk, min(rn) AS index_ord FROM eo GROUP BY project_id, pk)
+SELECT project_id, 'Part' || {v('pk')} AS export_name, index_ord,
+       row_number() OVER (PARTITION BY project_id ORDER BY index_ord, pk) AS out_ord
+FROM fi"""
+
+ORACLES["scan_corpus"] = f"""
+WITH {TP}
+SELECT project_id, count(*) AS n_files, CAST(sum(strlen(value) + 2) AS BIGINT) AS n_bytes
+FROM tp GROUP BY project_id"""
+
+ORACLES["position_order"] = """
+WITH p AS (SELECT DISTINCT l_orderkey AS "row", CAST(l_linenumber AS BIGINT) AS col FROM lineitem)
+SELECT "row", col, row_number() OVER (ORDER BY "row", col) AS pos FROM p"""
+
+ORACLES["import_scope"] = f"""
+WITH {CUSTS}
+SELECT l_orderkey % 16 AS project_id, 'internal' AS scope, count(*) AS n FROM lineitem GROUP BY 1
+UNION ALL
+SELECT project_id, 'builtin', count(*) FROM cs GROUP BY 1
+UNION ALL
+SELECT project_id, 'external', count(*) FROM cs GROUP BY 1"""
+
+ORACLES["normalize_import_path"] = f"""
+WITH {LI}
+SELECT project_id, path, rn AS stmt_ord, '../part/' || {v('pk')} AS source_path,
+       'src/part/' || {v('pk')} AS resolved_path
+FROM lim"""
+
+ORACLES["redundant_imports"] = f"""
+WITH {LI}
+SELECT project_id, path, 'Part' || {v('pk')} AS imported_name, '../part/' || {v('pk')} AS source_path,
+       count(*) AS n
+FROM lim GROUP BY project_id, path, pk HAVING count(*) > 1"""
+
+ORACLES["unused_imports"] = f"""
+WITH {CUSTS}
+SELECT project_id, path, 'readFile' AS imported_name, 'readFile' AS local_name, 'fs' AS source_path FROM cs
+UNION ALL
+SELECT project_id, path, '*', 'lodash', 'lodash' FROM cs"""
+
+ORACLES["dead_decls"] = f"""
+WITH {LI}, {CUSTS}
+SELECT project_id, path, n + 2 AS stmt_ord, 'helper' || {v('k')} AS name FROM ord
+UNION ALL
+SELECT project_id, path, CAST(6 AS BIGINT), 'Status' || {v('c')} FROM cs"""
+
+ORACLES["cross_module_refs"] = f"""
+WITH {LI}
+SELECT DISTINCT project_id, path AS src_path, 'order' || {v('k')} AS src,
+       'src/part/' || {v('pk')} || '.ts' AS dst_path, 'Part' || {v('pk')} AS dst
+FROM lim WHERE pk % 16 = k % 16"""
+
+ORACLES["usage_position"] = f"""
+WITH {LI}
+SELECT project_id, 'Part' || {v('pk')} AS name, 'src/order/' || {v('min(k)')} || '.ts' AS first_use_path,
+       arg_min(n, k) + 1 AS first_use_stmt_ord
+FROM lim WHERE pk % 16 = k % 16 GROUP BY project_id, pk
+UNION ALL
+SELECT project_id, 'order' || {v('k')}, path, n + 2 FROM ord"""
+
+ORACLES["namespace_merge"] = f"""
+WITH {CUST}
+SELECT project_id, grp AS namespace, 'Config' AS member, count(*) AS n_files, count(*) > 1 AS conflict
+FROM cu GROUP BY project_id, grp
+UNION ALL
+SELECT cu.project_id, cu.grp, 'Order' || {v('co.o')}, 1, false FROM co JOIN cu ON co.c = cu.c"""
+
+ORACLES["line_provenance"] = MERGED + """
+SELECT m.project_id, m.out_ord, CAST(i AS BIGINT) AS line_in_stmt, m.path AS src_path, s.start_row + i AS src_row
+FROM mo m JOIN stmts s ON s.path = m.path AND s.stmt_ord = m.stmt_ord AND s.project_id = m.project_id,
+     range(0, len(string_split(s.value, chr(10)))) t(i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

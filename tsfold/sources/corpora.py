@@ -112,8 +112,10 @@ def ts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer with orders (FIXTURES 3.7, ours): a top-level interface, a class
     with one method per order, and a namespace ``Group<custkey % 7>`` (so
     same-named namespaces meet in a project) holding a shared ``Config``
-    interface and one class per order. Feeds contains/method/ref edges and
-    namespace merging."""
+    interface and one class per order, two unused imports (a built-in and an
+    external module) and a type alias (a kind the kind map lacks). Feeds
+    contains/method/ref edges, namespace merging, import scope/unused
+    imports and dropping of Unknown kinds."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     per = o.groupBy("o_custkey").agg(
         F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("os")
@@ -134,11 +136,13 @@ def ts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "",
     )
     content = F.concat(
+        F.lit("import { readFile } from 'fs';\nimport * as lodash from 'lodash';\n"),
         F.lit("interface Base"), c, F.lit(" {\n    status(): string;\n}\n"),
         F.lit("export class Account"), c, F.lit(" implements Base"), c, F.lit(" {\n"),
         F.lit("    status(): string {\n        return 'open';\n    }\n"), methods, F.lit("}\n"),
         F.lit("export namespace Group"), g, F.lit(" {\n    export interface Config {\n        id: number;\n    }\n"),
         members, F.lit("}\n"),
+        F.lit("type Status"), c, F.lit(" = 'open' | 'closed';\n"),
     )
     return files_frame(per.select(
         (F.col("o_custkey") % N_PROJECTS).alias("project_id"),
@@ -148,6 +152,42 @@ def ts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def ts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order (one project per order): one file per distinct part with an
+    exported class, plus ``index.ts`` re-exporting the parts in line order.
+    The index names parts in an order unrelated to file order (C13)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    parts = li.select("l_orderkey", "l_partkey").distinct()
+    pk = _s("l_partkey")
+    pf = files_frame(parts.select(
+        F.col("l_orderkey").alias("project_id"),
+        F.concat(F.lit("src/part/"), pk, F.lit(".ts")).alias("path"),
+        F.col("l_partkey").alias("file_ord"),
+        F.concat(F.lit("export class Part"), pk, F.lit(" {}\n")).alias("content"),
+    ))
+    o = order_lines(spark, sf_dir)
+    idx = F.array_join(
+        F.transform("ln", lambda x: F.concat(
+            F.lit("export { Part"), _s(x["l_partkey"]), F.lit(" } from './part/"), _s(x["l_partkey"]),
+            F.lit("';"))),
+        "\n",
+    )
+    ix = files_frame(o.select(
+        F.col("l_orderkey").alias("project_id"), F.lit("src/index.ts").alias("path"),
+        F.lit(0).alias("file_ord"), F.concat(idx, F.lit("\n")).alias("content"),
+    ))
+    return pf.unionByName(ix)
+
+
+def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as HTML files (second language plug-in for comments)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return p.select(
+        F.col("page_id").alias("project_id"), F.col("url").alias("path"), F.col("page_id").alias("file_ord"),
+        F.col("html").alias("content"), F.octet_length("html").cast("bigint").alias("n_bytes"),
+    )
+
+
 def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as plain files: project = source, file order = doc_id.
     project_id is a string here (source names)."""
