@@ -85,7 +85,11 @@ def _is_string(t: Column) -> Column:
 
 
 def _blank_out(t: Column, ch: str) -> Column:
-    return F.regexp_replace(t, r"[^\n]", ch)
+    """Replace every non-newline char of a token by ``ch``; single-line tokens
+    (most) take the cheap ``repeat`` path, multi-line ones a regex."""
+    return F.when(F.instr(t, "\n") == 0, F.repeat(F.lit(ch), F.length(t))).otherwise(
+        F.regexp_replace(t, r"[^\n]", ch)
+    )
 
 
 def masked_text(toks: Column) -> Column:

@@ -555,6 +555,19 @@ def q_event_counts_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_progress")
+def q_stream_progress(spark, sf):
+    """Per-batch progress of the event stream, summed."""
+    folder = _landed_events(spark, sf)
+    out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
+    stream = RM.normalized_stream(spark, folder).select("event_id", "wd", "kind")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    p = RM.progress_frame(spark, q).where("num_input_rows > 0")
+    return p.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("num_input_rows").alias("n_input_rows"))
+
+
 @query("remerge_stream")
 def q_remerge_stream(spark, sf):
     folder = _landed_events(spark, sf)

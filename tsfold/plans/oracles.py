@@ -395,6 +395,10 @@ GROUP BY 1, 2"""
 
 ORACLES["remerge_stream"] = ORACLES["merge_full"]
 
+# four landed event files, one per micro-batch (maxFilesPerTrigger = 1)
+ORACLES["stream_progress"] = """
+SELECT CAST(4 AS BIGINT) AS n_batches, count(*) AS n_input_rows FROM events"""
+
 
 ORACLES["node_text"] = STMTS + """
 SELECT project_id, path, stmt_ord, value, true AS valid FROM stmts"""
