@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from ..functions import lexer as L
 from ..functions.kinds import classify_kind
 
+# A file is identified by (project_id, path); file_ord only orders files and
+# may tie between files of different origins in one project.
 FILE_KEY = ["project_id", "path"]
 
 
@@ -79,27 +81,30 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     wr = Window.partitionBy(*FILE_KEY).orderBy(F.col("line").desc())
     rev_upto = wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    # Pass 1. Non-code lines change no depth, so the previous code line ends
+    # at this line's depth_before: whether it "ended" (';' or '}') or was a
+    # decorator needs no depth of its own and is read in the same pass.
     z = z.select(
         "*",
         F.sum("delta").over(upto).alias("depth_after"),
         F.coalesce(F.sum("blen").over(before), F.lit(0)).cast("bigint").alias("line_byte"),
+        F.coalesce(F.last(F.when(F.col("is_code"), F.col("lc").isin(";", "}")), True).over(before),
+                   F.lit(True)).alias("prev_closed"),
+        F.coalesce(F.last(F.when(F.col("is_code"), F.col("fw") == "@"), True).over(before),
+                   F.lit(False)).alias("prev_deco"),
     ).withColumn("depth_before", F.col("depth_after") - F.col("delta"))
     kw = F.col("fw").isin(*L.STATEMENT_KEYWORDS) | (F.col("fw") == "@")
-    ended = (F.col("depth_after") == 0) & F.col("lc").isin(";", "}")
-    deco = (F.col("depth_before") == 0) & (F.col("fw") == "@")
-    z = z.select(
-        "*",
-        kw.alias("kw"),
-        F.coalesce(F.last(F.when(F.col("is_code"), ended), True).over(before), F.lit(True)).alias("prev_ended"),
-        F.coalesce(F.last(F.when(F.col("is_code"), deco), True).over(before), F.lit(False)).alias("prev_deco"),
-        F.min("depth_after").over(upto).alias("run_min"),
-    )
     start = (
         F.col("is_code") & (F.col("depth_before") == 0)
-        & ((F.col("kw") & ~F.col("prev_deco")) | (~F.col("kw") & F.col("prev_ended")))
+        & ((kw & ~F.col("prev_deco")) | (~kw & F.col("prev_closed")))
     )
     z = z.withColumn("start", start)
-    z = z.select("*", F.sum(F.col("start").cast("int")).over(upto).alias("grp"))
+    # Pass 2: statement number and running minimum depth.
+    z = z.select(
+        "*",
+        F.sum(F.col("start").cast("int")).over(upto).alias("grp"),
+        F.min("depth_after").over(upto).alias("run_min"),
+    )
     # reverse pass: next code line at or after this one, and file totals
     # (the first row in reverse order is the file's last line)
     z = z.select(
@@ -271,16 +276,16 @@ def with_location(stmts: DataFrame) -> DataFrame:
 def node_text(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """value = content bytes [start_byte, end_byte) when the range is valid
     (0 <= start < end <= n_bytes), else NULL. ``ranges`` carries
-    (project_id, path, start_byte, end_byte, ...) and is joined to its file."""
-    f = files.select("project_id", "path", "content", "n_bytes")
+    (project_id, path, start_byte, end_byte, ...) and is joined to its file.
+    The file is UTF-8 encoded once on the file side; the join and the byte
+    slice are fused by codegen, so a range costs its own length only."""
+    f = files.select("project_id", "path", F.encode("content", "UTF-8").alias("_bin"), "n_bytes")
     j = ranges.join(f, ["project_id", "path"])
     ok = (F.col("start_byte") >= 0) & (F.col("start_byte") < F.col("end_byte")) & (F.col("end_byte") <= F.col("n_bytes"))
-    # substring(binary, pos, len) needs int-typed position/length expressions
     txt = F.expr(
-        "decode(substring(encode(content, 'UTF-8'), cast(start_byte + 1 as int), "
-        "cast(end_byte - start_byte as int)), 'UTF-8')"
+        "decode(substring(_bin, cast(start_byte + 1 as int), cast(end_byte - start_byte as int)), 'UTF-8')"
     )
-    return j.withColumn("value", F.when(ok, txt)).withColumn("valid", ok).drop("content")
+    return j.withColumn("value", F.when(ok, txt)).withColumn("valid", ok).drop("_bin")
 
 
 def rejects_unbalanced(files: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def unresolved_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:
 def flatten_program(stmts: DataFrame) -> DataFrame:
     """C4: all top-level statements of a project in file order, dense position."""
     s = stmts.select("project_id", "path", "file_ord", "stmt_ord", "kind", "value")
-    return dense_rank_within(s, ["project_id"], ["file_ord", "stmt_ord"], "out_ord")
+    return dense_rank_within(s, ["project_id"], ["file_ord", "path", "stmt_ord"], "out_ord")
 
 
 # ------------------------------------------------------------- C5/C6 keys
@@ -174,14 +174,14 @@ def merge_rows(files: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFra
         # keep the first occurrence per origin statement: min order key per
         # origin (partial aggregation copes with a hot origin), semi join back
         key = F.struct(
-            "section", F.coalesce("sort_path", F.lit("￿")).alias("sp"), "file_ord", "stmt_ord", "name_ord"
+            "section", F.coalesce("sort_path", F.lit("￿")).alias("sp"), "file_ord", "path", "stmt_ord", "name_ord"
         )
         rows = rows.withColumn("_k", key)
         firsts = rows.groupBy("project_id", "origin_path", "origin_stmt_ord").agg(F.min("_k").alias("_k"))
         rows = rows.join(firsts, ["project_id", "origin_path", "origin_stmt_ord", "_k"], "left_semi").drop("_k")
     rows = rows.withColumn("sort_path_nl", F.coalesce("sort_path", F.lit("￿")))
     out = dense_rank_within(
-        rows, ["project_id"], ["section", "sort_path_nl", "file_ord", "stmt_ord", "name_ord"], "out_ord"
+        rows, ["project_id"], ["section", "sort_path_nl", "file_ord", "path", "stmt_ord", "name_ord"], "out_ord"
     )
     return out.select(
         "project_id", "out_ord", "section", "sort_path", "path", "file_ord", "stmt_ord", "name_ord",
