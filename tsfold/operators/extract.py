@@ -288,6 +288,16 @@ def node_text(files: DataFrame, ranges: DataFrame) -> DataFrame:
     return j.withColumn("value", F.when(ok, txt)).withColumn("valid", ok).drop("_bin")
 
 
+def rejects(files: DataFrame, suffix: str = ".ts", max_bytes: int | None = None) -> DataFrame:
+    """All rejected files with their reason, first reason wins:
+    missing/empty/too_large (A4), bad_suffix (A2), unbalanced (Q13)."""
+    from ..sources import files as S
+
+    ok, q = S.quarantine(files) if max_bytes is None else S.quarantine(files, max_bytes)
+    ok, bad = S.filter_suffix(ok, suffix)
+    return q.unionByName(bad).unionByName(rejects_unbalanced(ok))
+
+
 def rejects_unbalanced(files: DataFrame) -> DataFrame:
     ln = lines(files)
     return (

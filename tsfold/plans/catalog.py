@@ -119,6 +119,11 @@ def q_declarations(spark, sf):
     return _big(X.declarations_from(X.extract_facts(C.ts_corpus(spark, sf))), "stmt_ord")
 
 
+@query("rejects")
+def q_rejects(spark, sf):
+    return X.rejects(C.ts_broken_parts(spark, sf))
+
+
 @query("export_conflicts")
 def q_export_conflicts(spark, sf):
     return M.export_conflicts(X.exports(C.ts_brands(spark, sf)))

@@ -120,6 +120,12 @@ SELECT project_id, path, file_ord, stmt_ord, name, kind, raw_type, is_export,
          AS decl_keyword
 FROM stmts WHERE name IS NOT NULL"""
 
+ORACLES["rejects"] = """
+SELECT p_partkey % 16 AS project_id,
+       'src/part/' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_size BETWEEN 3 AND 4 THEN '.js' ELSE '.ts' END AS path,
+       CASE WHEN p_size <= 2 THEN 'empty' WHEN p_size <= 4 THEN 'bad_suffix' ELSE 'unbalanced' END AS reason
+FROM part WHERE p_size <= 4 OR p_size >= 45"""
+
 ORACLES["export_conflicts"] = """
 SELECT p_partkey % 16 AS project_id, replace(p_brand, '#', '_') AS export_name, count(*) AS n_exports,
        count(*) AS n_files, 'src/brand/' || CAST(min(p_partkey) AS VARCHAR) || '.ts' AS first_path,

@@ -91,6 +91,22 @@ def ts_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts_parts(spark, sf_dir).unionByName(ts_orders(spark, sf_dir))
 
 
+def ts_broken_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ts_parts with defects chosen by p_size: size <= 2 -> empty file,
+    size 3..4 -> '.js' path (wrong suffix), size >= 45 -> closing brace
+    missing (unbalanced). Feeds the rejects table."""
+    f = ts_parts(spark, sf_dir)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), "p_size")
+    j = f.join(p, "file_ord")
+    content = (
+        F.when(F.col("p_size") <= 2, F.lit(""))
+        .when(F.col("p_size") >= 45, F.regexp_replace("content", r"\}\n$", ""))
+        .otherwise(F.col("content"))
+    )
+    path = F.when(F.col("p_size").between(3, 4), F.regexp_replace("path", r"\.ts$", ".js")).otherwise(F.col("path"))
+    return files_frame(j.select("project_id", path.alias("path"), "file_ord", content.alias("content")))
+
+
 def ts_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One exported const named after the brand per part: conflicting exports
     inside a project (FIXTURES 3.3)."""
