@@ -126,6 +126,18 @@ def strip_comment_value(ccode: Column) -> Column:
 
 # ---------------------------------------------------------------- C10
 
+# statement facts the merge needs; a facts table with these columns can be
+# kept between runs so only changed files are lexed again (F8)
+FACT_COLUMNS = [
+    "project_id", "path", "file_ord", "stmt_ord", "kind", "raw_type", "is_export", "value", "ccode",
+    "export_names", "nested_exports", "import_names", "source_path",
+]
+
+
+def merge_facts(files: DataFrame) -> DataFrame:
+    return X.extract_facts(files).select(*FACT_COLUMNS)
+
+
 def merge_rows(files: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFrame:
     """C10 flagship: exports -> resolve imports -> flatten -> comments ->
     sort imports -> exports first -> dedupe -> spacing.
@@ -133,14 +145,24 @@ def merge_rows(files: DataFrame, opts: MergeOptions = MergeOptions()) -> DataFra
     Returns one row per merged statement with its order key and dense
     ``out_ord`` within the project.
     """
+    return merge_rows_from_facts(merge_facts(files), opts)
+
+
+def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
+                          materialize: bool = True) -> DataFrame:
+    """C10 from statement facts (``FACT_COLUMNS``). The facts are read by
+    several branches (exports, imports, own statements), so they are
+    checkpointed once unless they already come from storage."""
     value = F.col("value") if opts.preserve_comments else strip_comment_value(F.col("ccode"))
-    st = X.extract_facts(files).withColumn("out_value", value)
+    st = facts.withColumn("out_value", value)
     if opts.strict_kinds:
         st = st.where(F.col("kind") != "Unknown")
     st = st.select(
         "project_id", "path", "file_ord", "stmt_ord", "kind", "raw_type", "is_export", "value",
         "out_value", "export_names", "nested_exports", "import_names", "source_path",
-    ).checkpoint(eager=True)
+    )
+    if materialize:
+        st = st.checkpoint(eager=True)
 
     ex = X.exports_from(st)
     if opts.on_conflict == "error":

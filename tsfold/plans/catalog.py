@@ -573,6 +573,25 @@ def q_stream_progress(spark, sf):
     return p.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("num_input_rows").alias("n_input_rows"))
 
 
+@query("remerge_incremental")
+def q_remerge_incremental(spark, sf):
+    """F8 incremental: the corpus is lexed once; each event batch re-lexes
+    only the files its events name (a user's events touch that user's part
+    file) and re-merges their projects from the facts table."""
+    folder = _landed_events(spark, sf)
+    facts, out, ck = (scratch_path(spark, "facts"), scratch_path(spark, "remerge-inc-out"),
+                      scratch_path(spark, "remerge-inc-ck"))
+    ev = RM.normalized_stream(spark, folder)
+    files = C.ts_corpus(spark, sf)
+    path_of = lambda b: b.select(F.concat(F.lit("src/part/"), F.col("wd").cast("string"), F.lit(".ts")).alias("path"))
+    q = RM.start_remerge_incremental(ev, files, facts, out, ck, path_of)
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select(F.col("project_id").cast("bigint").alias("project_id"), "out_ord",
+                    F.col("section").cast("bigint").alias("section"), "path",
+                    F.col("stmt_ord").cast("bigint").alias("stmt_ord"), "kind", "value")
+
+
 @query("remerge_stream")
 def q_remerge_stream(spark, sf):
     folder = _landed_events(spark, sf)

@@ -400,6 +400,7 @@ WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) -
 GROUP BY 1, 2"""
 
 ORACLES["remerge_stream"] = ORACLES["merge_full"]
+ORACLES["remerge_incremental"] = ORACLES["merge_full"]
 
 # four landed event files, one per micro-batch (maxFilesPerTrigger = 1)
 ORACLES["stream_progress"] = """
