@@ -162,6 +162,7 @@ def raw_type_of(head: Column, is_comment_only: Column) -> Column:
     h = strip_decorators(head)
     return (
         F.when(is_comment_only, F.lit("comment"))
+        .when(is_blank(h), F.lit(None))
         .when(h.rlike(r"^\s*import(\s|\{|\*|~|$)"), "import_statement")
         .when(h.rlike(r"^\s*export(\s|\{|\*|$)"), "export_statement")
         .when(h.rlike(r"^\s*abstract\s+class\b"), "abstract_class_declaration")

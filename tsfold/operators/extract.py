@@ -71,7 +71,11 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         fw.alias("fw"),
         L.last_char(m).alias("lc"),
         (F.octet_length("raw") + 1).alias("blen"),
-        F.when(is_code & fw.isin(*DECL_HEAD_WORDS), L.decl_name(m)).alias("m_decl"),
+        F.when(is_code & fw.isin(*DECL_HEAD_WORDS, "@"), L.decl_name(m)).alias("m_decl"),
+        F.when(is_code & fw.isin(*DECL_HEAD_WORDS, "@"), L.decl_keyword(m)).alias("m_kw"),
+        # syntax type of a possible statement head line (NULL for a line that
+        # is only decorators); the statement takes its first head line's type
+        F.when(is_code & fw.isin(*L.STATEMENT_KEYWORDS, "@"), L.raw_type_of(m, F.lit(False))).alias("l_type"),
         F.when(is_code & (F.instr(m, "(") > 0), F.regexp_extract(m, L.METHOD_RE, 1)).alias("m_method"),
         F.when(fw == "export", F.trim(F.col("raw"))).alias("exp_text"),
     )
@@ -184,6 +188,10 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     statements only. Rows of one statement are in one partition already
     (files are hash-partitioned by file key), so this adds no exchange."""
     nested_cond = (F.col("depth_before") > 0) & F.col("is_code") & (F.col("fw") == "export")
+    # the statement's head: first depth-0 code line that is not only decorators
+    head_cond = F.col("is_code") & (F.col("depth_before") == 0) & (
+        F.col("l_type").isNotNull() | ~F.col("fw").isin(*L.STATEMENT_KEYWORDS, "@")
+    )
     member_cond = F.col("is_code") & (F.col("depth_before") == 1) & (
         F.col("m_decl").isNotNull() | (F.coalesce(F.col("m_method"), F.lit("")) != "")
     )
@@ -196,6 +204,9 @@ def statement_rows(ln: DataFrame) -> DataFrame:
         F.max(F.when(F.col("nonblank"), F.col("line_byte") + F.col("blen") - 1)).alias("end_byte"),
         F.max_by(F.col("blen") - 1, F.when(F.col("nonblank"), F.col("line"))).alias("end_col"),
         F.first("balanced").alias("balanced"),
+        F.min_by("l_type", F.when(head_cond, F.col("line"))).alias("head_type"),
+        F.min_by("m_decl", F.when(head_cond, F.col("line"))).alias("head_name"),
+        F.min_by("m_kw", F.when(head_cond, F.col("line"))).alias("head_kw"),
         F.collect_list(F.when(nested_cond, F.struct(
             "line", F.col("m_decl").alias("name"), F.col("exp_text").alias("text")
         ))).alias("nested_exports"),
@@ -207,6 +218,7 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     head = F.coalesce(F.col("head_line"), F.col("lo"))
     s = g.select(
         "project_id", "path", "file_ord", "stmt_ord", "balanced", "nested_exports", "members",
+        "head_type", "head_name", "head_kw",
         _join_lines(F.col("ls"), "raw", F.col("lo"), F.col("hi")).alias("value"),
         _join_lines(F.col("ls"), "raw", head, F.col("hi")).alias("code"),
         comment_only.alias("comment_only"),
@@ -219,12 +231,16 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     # re-tokenising it alone gives the same masks as the file-level pass.
     s = s.withColumn("_tk", L.tokens(F.col("code"))).withColumn("mcode", L.masked_text(F.col("_tk"))) \
         .withColumn("ccode", L.clean_text(F.col("_tk"))).drop("_tk", "code")
-    raw_type = L.raw_type_of(F.col("mcode"), F.col("comment_only"))
+    # classification comes from the head line (computed per line before the
+    # windows); the re-tokenised statement code is only evaluated for the
+    # columns that need it (clauses of imports/exports, identifiers)
+    raw_type = F.when(F.col("comment_only"), F.lit("comment")).otherwise(
+        F.coalesce(F.col("head_type"), F.lit("expression_statement"))
+    )
     s = s.withColumn("raw_type", raw_type).withColumn("kind", classify_kind(F.col("raw_type")))
-    name = F.when(~F.col("comment_only"), L.decl_name(F.col("mcode")))
-    s = s.withColumn("name", F.when(F.col("raw_type") != "import_statement", name)).withColumn(
+    s = s.withColumn("name", F.when(F.col("raw_type") != "import_statement", F.col("head_name"))).withColumn(
         "is_export", F.col("raw_type") == "export_statement"
-    ).withColumn("decl_keyword", L.decl_keyword(F.col("mcode")))
+    ).withColumn("decl_keyword", F.coalesce(F.col("head_kw"), F.lit(""))).drop("head_type", "head_name", "head_kw")
     is_imp = F.col("raw_type") == "import_statement"
     names, src = _import_names(F.col("ccode"))
     s = s.withColumn("import_names", F.when(is_imp, names)).withColumn("source_path", F.when(is_imp, src))
