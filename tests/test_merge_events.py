@@ -73,3 +73,22 @@ def test_scan_throttle_greedy(spark):
     ev = spark.createDataFrame(rows, "event_id bigint, wd bigint, ts timestamp_ntz")
     kept = sorted((r.wd, r.event_id) for r in EV.scan_throttle(ev, gap_ms=1000).collect())
     assert kept == [(1, 0), (1, 3), (1, 5), (2, 99)]
+
+
+def test_merge_options(spark):
+    rows = [
+        (4, "a.ts", 1, "// lead\nexport const a = 1; // trailing\ntype T = string;\n"),
+        (4, "b.ts", 2, "export const a = 2;\n"),
+    ]
+    files = files_df(spark, rows)
+    # comments dropped from the merged text
+    out = M.merge_rows(files, M.MergeOptions(preserve_comments=False)).orderBy("out_ord").collect()
+    assert out[0].value == "\nexport const a = 1;\n\n"
+    # Unknown kinds (type alias) dropped only with strict_kinds
+    kinds = [r.kind for r in M.merge_rows(files, M.MergeOptions(strict_kinds=True)).collect()]
+    assert "Unknown" not in kinds
+    assert "Unknown" in [r.kind for r in M.merge_rows(files).collect()]
+    # conflicting exports: a report by default, an error on request
+    import pytest
+    with pytest.raises(ValueError):
+        M.merge_rows(files, M.MergeOptions(on_conflict="error"))
