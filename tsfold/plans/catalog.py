@@ -581,7 +581,7 @@ def q_remerge_incremental(spark, sf):
     folder = _landed_events(spark, sf)
     facts, out, ck = (scratch_path(spark, "facts"), scratch_path(spark, "remerge-inc-out"),
                       scratch_path(spark, "remerge-inc-ck"))
-    ev = RM.normalized_stream(spark, folder)
+    ev = RM.normalized_stream(spark, folder, max_files_per_trigger=2)
     files = C.ts_corpus(spark, sf)
     path_of = lambda b: b.select(F.concat(F.lit("src/part/"), F.col("wd").cast("string"), F.lit(".ts")).alias("path"))
     q = RM.start_remerge_incremental(ev, files, facts, out, ck, path_of)
@@ -596,7 +596,7 @@ def q_remerge_incremental(spark, sf):
 def q_remerge_stream(spark, sf):
     folder = _landed_events(spark, sf)
     out, ck = scratch_path(spark, "remerge-out"), scratch_path(spark, "remerge-ck")
-    ev = RM.normalized_stream(spark, folder)
+    ev = RM.normalized_stream(spark, folder, max_files_per_trigger=2)
     files = C.ts_corpus(spark, sf)
     q = RM.start_remerge(ev, files, out, ck, lambda b: b.select((F.col("wd") % C.N_PROJECTS).alias("project_id")))
     q.awaitTermination()
