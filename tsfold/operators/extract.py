@@ -24,10 +24,6 @@ from ..functions.kinds import classify_kind
 FILE_KEY = ["project_id", "path"]
 
 
-def _file_window() -> Window:
-    return Window.partitionBy(*FILE_KEY).orderBy("line")
-
-
 DECL_HEAD_WORDS = [
     "export", "default", "declare", "abstract", "async", "class", "interface", "function",
     "namespace", "module", "enum", "type", "const", "let", "var",

@@ -3,7 +3,6 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -62,12 +61,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(p: str) -> str:
-    """Strip a file: scheme so Python code can look at a local test folder."""
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-def exists_local(p: str) -> bool:
-    return os.path.exists(local_path(p))
