@@ -121,3 +121,18 @@ def test_node_text_invalid_range(spark, fixture_files):
     got = [(r.value, r.valid) for r in X.node_text(fixture_files, rng).orderBy("start_byte", "end_byte").collect()]
     assert got == [("import", True), (None, False), (None, False)]
     assert SIMPLE_TS.startswith("import") and "namespace Store" in COMPLEX_TS
+
+
+def test_location_struct_and_position_order(spark, fixture_files):
+    st = X.with_location(X.statements(fixture_files)).where("path = 'src/widget.ts'").orderBy("stmt_ord")
+    locs = [r.location for r in st.collect()]
+    assert locs[0].file_path == "src/widget.ts"
+    assert (locs[0].start.row, locs[0].start.col) == (0, 0)
+    assert locs[0].end.row < locs[1].start.row  # statements in position order
+    df = spark.createDataFrame([(10, 5, 10, 6)], "r1 long, c1 long, r2 long, c2 long")
+    p1, p2 = F.struct("r1", "c1"), F.struct("r2", "c2")
+    row = df.select((p1 < p2).alias("lt"), (p1 == p1).alias("eq"), (p1 == p2).alias("ne")).first()
+    assert row.lt and row.eq and not row.ne
+    same = X.with_location(X.statements(fixture_files)).where("path = 'src/widget.ts' and stmt_ord = 1")
+    a, b = same.first().location, same.first().location
+    assert a == b  # equal file, start and end
