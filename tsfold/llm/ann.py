@@ -106,9 +106,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100,
-            trees: int = 16, leaf: int = 32, probes: int = 160, sample: int = 20_000, part: int = 4096) -> DataFrame:
+            trees: int = 16, leaf: int = 128, probes: int = 200, sample: int = 20_000, part: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every row whose id ``every`` divides."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
+    kind = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()  # bounded by ``sample``
@@ -116,7 +117,7 @@ def nearest(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
     if not picked:
         return empty
     dim = Counter(len(r.v) for r in picked).most_common(1)[0][0]
-    forest = Forest(np.array([r.v for r in picked if len(r.v) == dim]), trees, leaf)
+    forest = Forest(np.unique(np.array([r.v for r in picked if len(r.v) == dim]), axis=0), trees, leaf)
     rows = rows.filter(F.size("v") == dim).distinct()
 
     first = Window.partitionBy("v").orderBy("id")
@@ -141,8 +142,8 @@ def nearest(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
                 yield pa.record_batch([pa.array([x for row in at for x in row], pa.int64()), batch.column("q").take(pa.array(who)),
                                        batch.column("v").take(pa.array(who))], names=["leaf", "q", "v"])
 
-    members = classes.mapInArrow(index, "leaf long, c long, v array<double>")
-    visits = questions.mapInArrow(walk, "leaf long, q long, v array<double>")
+    members = classes.mapInArrow(index, f"leaf long, c long, v {kind}")
+    visits = questions.mapInArrow(walk, f"leaf long, q long, v {kind}")
 
     def split(side: DataFrame, own: str, other: str, who: str) -> DataFrame:
         """A leaf's rows in their own part, once for every part of the other side."""
@@ -160,9 +161,9 @@ def nearest(df: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str
     def compare(m: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(m) and len(s):
-            x, c = np.stack(m.v.to_numpy()), m.c.to_numpy()
+            x, c = np.stack(m.v.to_numpy()).astype(np.float64), m.c.to_numpy()
             for q, v in zip(s.q.tolist(), s.v):
-                score = distances(x, np.asarray(v))
+                score = distances(x, np.asarray(v, np.float64))
                 best = np.lexsort((c, score))[:k + 1]
                 out.append(pd.DataFrame({"q": q, "c": c[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "score": []})

@@ -7,9 +7,11 @@ risk on clean texts, estimated from U less the toxic share that U holds, and is
 kept from going below zero (a step that would push it there is turned round).
 
 Features are the distinct words of a whole text and the beginnings of words,
-hashed by numpy from the bytes of a slice of texts. A classifier is linear; an
-L1 step leaves most weights at zero, so the length of a clean text adds nothing
-to its score. ``members`` classifiers are trained in tasks of their own on
+hashed by numpy from the bytes of a slice of texts. A feature is scaled by how
+many standard errors its number of toxic texts lies above what its share of U
+lets one expect, and left out below ``NOISE`` of them. A classifier is linear;
+an L1 step leaves further weights at zero, so the length of a clean text adds
+nothing to its score. ``members`` classifiers are trained in tasks of their own on
 disjoint parts of the sample, and their margins are averaged.
 
 Bounds: at most ``max_toxic`` toxic and ``max_unlabelled`` other texts are used
@@ -37,6 +39,8 @@ from tsfold.llm.units import _M, _M_INV, Texts, _powers
 BUCKETS = 1 << 20
 #: Lengths in bytes of the beginnings of words that are features beside the whole words.
 PREFIXES = (4, 5, 6)
+#: Standard errors that chance alone gives some of the features.
+NOISE = 3.0
 _LETTER = np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
 _LETTER[128:] = True
@@ -78,8 +82,8 @@ def distinct_features(texts: list[str]) -> list[np.ndarray]:
     return [x.astype(np.int32) for x in np.split(pairs % BUCKETS, stops[:-1])]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 100, rate: float = 0.1,
-        l1: float = 2e-4, min_texts: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 0.1,
+        l1: float = 1e-4, min_texts: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with weights other than zero, these weights, and the bias, by full-batch nnPU descent."""
     rows = [*positive, *unlabelled]
     y = np.arange(len(rows)) < len(positive)
@@ -91,17 +95,22 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     cols, row = place[all_cols], np.repeat(np.arange(len(rows)), lens)
     cols, row = cols[cols >= 0], row[cols >= 0]
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
+    in_p, in_u = (np.bincount(cols[some[row]], minlength=len(used)) for some in (y, ~y))
+    expected = n_p * in_u / n_u
+    scale = np.clip(((in_p - expected) / np.sqrt(expected + 1) - NOISE) / 5, 0, 2)
+    cols, row = cols[scale[cols] > 0], row[scale[cols] > 0]
+    value = scale[cols]
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, epochs + 1):
-        g = np.bincount(row, weights=w[cols], minlength=len(rows)) + b
+        g = np.bincount(row, weights=w[cols] * value, minlength=len(rows)) + b
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         # logistic loss: l(g) = log(1 + exp(-g)), so dl(g) = s - 1 and dl(-g) = s
         clean = np.logaddexp(0, g[~y]).sum() / n_u - prior * np.logaddexp(0, g[y]).sum() / n_p
         up = np.where(y, prior * (s - 1) / n_p, 0)
         down = np.where(y, -prior * s / n_p, s / n_u)
         each = up + down if clean >= 0 else -down
-        grad = np.append(np.bincount(cols, weights=each[row], minlength=len(used)), each.sum())
+        grad = np.append(np.bincount(cols, weights=each[row] * value, minlength=len(used)), each.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         delta = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-4)
@@ -109,7 +118,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         b -= delta[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - l1 * rate / (np.sqrt(v[:-1] / (1 - 0.99 ** step)) + 1e-4))
     kept = np.flatnonzero(w)
-    return used[kept], w[kept], b
+    return used[kept], (w * scale)[kept], b
 
 
 class Model:
