@@ -7,106 +7,78 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tsfold.session import local_session  # noqa: E402
 
-# Fixture sources authored for these tests, shaped like the reference's
-# three fixture files (an importing module, an exporting module, and one
-# with generics, multi-extends, a decorated abstract class, a namespace with
-# nested members, type aliases and a template literal with ${}).
-SIMPLE_TS = """import { Widget } from './widget';
-
-interface Shape {
-    area: number;
-    draw(): void;
+# Sources written for these tests from a list of syntax features: namespace with
+# exported members, mapped and union types, decorators on a class and a member,
+# an abstract class, generics, several base interfaces, braces inside strings,
+# templates and comments, a plain import, an exported call result.
+STATION_TS = """type Unit = 'mm' | 'kPa' | 'C';
+
+export namespace Limits {
+    export class Window {
+        readonly low = 0;
+    }
+    export interface Alarm {
+        text: string;
+    }
 }
 
-class Square implements Shape {
-    area: number = 4;
+/* a lookup by unit } */
+type Scales<U extends Unit> = { [P in U]: number };
 
-    draw(): void {
-        console.log('{ not a brace }');
-    }
+interface Labelled {
+    label: string;
 }
 
-function build() {
-    return new Square();
+// keeps the latest values
+export class Ring<V> {
+    constructor(readonly size: number) {}
+    push(v: V) { return `${v}{`; }
 }
 
-export const square = build();
-"""
-
-WIDGET_TS = """export class Widget {
-    size: number = 3;
-
-    getSize(): number {
-        return this.size;
-    }
+@Registered('probe')
+export abstract class Probe {
+    @Cached()
+    unit(): Unit { return "C"; }
+    abstract sample(): number;
 }
 
-export interface WidgetHolder {
-    widget: Widget;
+interface Dated {
+    day: number;
 }
 
-export function makeWidget(): Widget {
-    return new Widget();
+export interface Entry extends Dated, Labelled {
+    value: number;
 }
 """
 
-COMPLEX_TS = """// Generic container
-export class Bag<T, U> {
-    private items: T[];
-
-    constructor() {
-        this.items = [];
-    }
+GAUGE_TS = """export function calibrate(offset: number) {
+    return (x: number) => x + offset;
 }
 
-/* Interfaces extending more than one */
-interface Readable {
-    read(): string;
-}
+export const factor = 25.4;
 
-interface Closable {
-    close(): void;
-}
-
-export interface Stream extends Readable, Closable {
-    kind(): string;
+export class RainGauge {
+    total = 0;
+    add(mm: number) { this.total += mm; }
 }
+"""
 
-@Injectable()
-abstract class BaseStream implements Stream {
-    abstract read(): string;
-    abstract kind(): string;
+REPORT_TS = """export const monthly = summarise([]);
 
-    @Trace()
-    close(): void {
-        console.log(`[${this.kind()}]: closed }`);
-    }
+function summarise(days: number[]) {
+    const open = "}{";
+    return days.length + open.length;
 }
 
-export namespace Store {
-    export interface Options {
-        path: string;
-    }
+import { RainGauge } from './gauge';
 
-    export class DiskStore extends BaseStream {
-        constructor(private options: Options) {
-            super();
-        }
-
-        read(): string {
-            return "{";
-        }
-
-        kind(): string {
-            return 'disk';
-        }
-    }
+class Sheet {
+    rows: number[] = [];
 }
 
-type Mode = "a" | "b";
-type Settings<M extends Mode> = {
-    [K in M]: Store.Options;
-};
+interface Cell {
+    row: number;
+}
 """
 
 
@@ -120,9 +92,9 @@ def spark():
 @pytest.fixture(scope="session")
 def fixture_files(spark):
     rows = [
-        (1, "src/simple.ts", 1, SIMPLE_TS),
-        (1, "src/widget.ts", 2, WIDGET_TS),
-        (1, "src/complex.ts", 3, COMPLEX_TS),
+        (1, "src/report.ts", 1, REPORT_TS),
+        (1, "src/gauge.ts", 2, GAUGE_TS),
+        (1, "src/station.ts", 3, STATION_TS),
     ]
     return files_df(spark, rows)
 

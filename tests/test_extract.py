@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import COMPLEX_TS, SIMPLE_TS, files_df
+from conftest import REPORT_TS, files_df
 from tsfold.functions.kinds import RAW_TYPE_TO_KIND, classify_kind
 from tsfold.operators import extract as X
 
@@ -10,11 +10,11 @@ def _stmts(files):
 
 
 def test_simple_declarations_and_imports(fixture_files):
-    st = X.extract_facts(fixture_files).where("path = 'src/simple.ts'")
+    st = X.extract_facts(fixture_files).where("path = 'src/report.ts'")
     decls = {(r.decl_keyword, r.name) for r in X.declarations_from(st).collect()}
-    assert decls == {("interface", "Shape"), ("class", "Square"), ("function", "build"), ("const", "square")}
+    assert decls == {("interface", "Cell"), ("class", "Sheet"), ("function", "summarise"), ("const", "monthly")}
     imps = [(r.imported_name, r.source_path) for r in X.imports_from(st).collect()]
-    assert imps == [("Widget", "./widget")]
+    assert imps == [("RainGauge", "./gauge")]
 
 
 def test_statements_are_lossless(fixture_files):
@@ -38,32 +38,32 @@ def test_statements_are_lossless(fixture_files):
 
 
 def test_complex_kinds_and_names(fixture_files):
-    st = X.statements(fixture_files).where("path = 'src/complex.ts'").orderBy("stmt_ord").collect()
+    st = X.statements(fixture_files).where("path = 'src/station.ts'").orderBy("stmt_ord").collect()
     got = [(r.raw_type, r.name) for r in st]
     assert got == [
-        ("export_statement", "Bag"),
-        ("interface_declaration", "Readable"),
-        ("interface_declaration", "Closable"),
-        ("export_statement", "Stream"),
-        ("abstract_class_declaration", "BaseStream"),
-        ("export_statement", "Store"),
-        ("type_alias_declaration", "Mode"),
-        ("type_alias_declaration", "Settings"),
+        ("type_alias_declaration", "Unit"),
+        ("export_statement", "Limits"),
+        ("type_alias_declaration", "Scales"),
+        ("interface_declaration", "Labelled"),
+        ("export_statement", "Ring"),
+        ("export_statement", "Probe"),
+        ("interface_declaration", "Dated"),
+        ("export_statement", "Entry"),
     ]
     # leading comments attach to the statement below them
-    assert st[0].value.startswith("// Generic container\nexport class Bag")
-    assert st[1].value.startswith("/* Interfaces extending more than one */")
+    assert st[2].value.startswith("/* a lookup by unit } */\ntype Scales")
+    assert st[4].value.startswith("// keeps the latest values\nexport class Ring")
     # the decorator belongs to its class, braces in strings/templates ignored
-    assert st[4].value.startswith("@Injectable()\nabstract class BaseStream")
-    assert st[4].value.rstrip().endswith("}")
+    assert st[5].value.startswith("@Registered('probe')\nexport abstract class Probe")
+    assert st[5].value.rstrip().endswith("}")
 
 
 def test_nested_exports(fixture_files):
-    ex = X.exports(fixture_files).where("path = 'src/complex.ts'")
+    ex = X.exports(fixture_files).where("path = 'src/station.ts'")
     nested = {r.export_name for r in ex.where("nested").collect()}
-    assert nested == {"Options", "DiskStore"}
+    assert nested == {"Alarm", "Window"}
     top = {r.export_name for r in ex.where("not nested").collect()}
-    assert top == {"Bag", "Stream", "Store"}
+    assert top == {"Limits", "Ring", "Probe", "Entry"}
 
 
 def test_classify_kind_map(spark):
@@ -116,23 +116,23 @@ def test_comments_and_strip(spark):
 
 
 def test_node_text_invalid_range(spark, fixture_files):
-    rng = spark.createDataFrame([(1, "src/simple.ts", 0, 6), (1, "src/simple.ts", 5, 2), (1, "src/simple.ts", 0, 10 ** 6)],
+    rng = spark.createDataFrame([(1, "src/report.ts", 0, 6), (1, "src/report.ts", 5, 2), (1, "src/report.ts", 0, 10 ** 6)],
                                 "project_id bigint, path string, start_byte bigint, end_byte bigint")
     got = [(r.value, r.valid) for r in X.node_text(fixture_files, rng).orderBy("start_byte", "end_byte").collect()]
-    assert got == [("import", True), (None, False), (None, False)]
-    assert SIMPLE_TS.startswith("import") and "namespace Store" in COMPLEX_TS
+    assert got == [("export", True), (None, False), (None, False)]
+    assert REPORT_TS.startswith("export")
 
 
 def test_location_struct_and_position_order(spark, fixture_files):
-    st = X.with_location(X.statements(fixture_files)).where("path = 'src/widget.ts'").orderBy("stmt_ord")
+    st = X.with_location(X.statements(fixture_files)).where("path = 'src/gauge.ts'").orderBy("stmt_ord")
     locs = [r.location for r in st.collect()]
-    assert locs[0].file_path == "src/widget.ts"
+    assert locs[0].file_path == "src/gauge.ts"
     assert (locs[0].start.row, locs[0].start.col) == (0, 0)
     assert locs[0].end.row < locs[1].start.row  # statements in position order
     df = spark.createDataFrame([(10, 5, 10, 6)], "r1 long, c1 long, r2 long, c2 long")
     p1, p2 = F.struct("r1", "c1"), F.struct("r2", "c2")
     row = df.select((p1 < p2).alias("lt"), (p1 == p1).alias("eq"), (p1 == p2).alias("ne")).first()
     assert row.lt and row.eq and not row.ne
-    same = X.with_location(X.statements(fixture_files)).where("path = 'src/widget.ts' and stmt_ord = 1")
+    same = X.with_location(X.statements(fixture_files)).where("path = 'src/gauge.ts' and stmt_ord = 1")
     a, b = same.first().location, same.first().location
     assert a == b  # equal file, start and end
