@@ -3,6 +3,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from conftest import files_df
+from tsfold.operators import extract as X
+from tsfold.operators import imports as I
 from tsfold.operators import merge as M
 from tsfold.sources import files as S
 from tsfold.streaming import events as EV
@@ -92,3 +94,15 @@ def test_merge_options(spark):
     import pytest
     with pytest.raises(ValueError):
         M.merge_rows(files, M.MergeOptions(on_conflict="error"))
+
+
+def test_tied_file_order_is_decided_by_path(spark):
+    files = files_df(spark, [(1, "z.ts", 5, "export const X = 1;\n"), (1, "a.ts", 5, "export const X = 2;\n")])
+    row = M.export_conflicts(X.exports(files)).first()
+    assert (row.first_path, row.last_path) == ("a.ts", "z.ts")
+
+
+def test_absolute_import_paths_are_simplified(spark):
+    df = spark.createDataFrame([("src/a.ts", "/lib/./x/../y"), ("src/a.ts", "../b/./c"), ("src/a.ts", "pkg/../x")], "path string, source_path string")
+    got = [r.resolved_path for r in I.normalize_import_paths(df).collect()]
+    assert got == ["/lib/y", "b/c", "pkg/../x"]

@@ -67,18 +67,6 @@ RAW_TYPE_TO_KIND = [
 EXTRA_RAW_TYPES = [("import_declaration", "ImportDecl")]
 # --- end fixed values -------------------------------------------------------
 
-ALL_KINDS = [
-    "Unknown", "Program", "ExportDecl", "ImportDecl", "Interface", "Class",
-    "Function", "Variable", "Property", "Method", "Parameter", "Type",
-    "Comment", "Block", "BlockEnd", "Identifier", "TypeIdentifier",
-    "TypeAnnotation", "ObjectType", "ArrayType", "UnionType", "Constructor",
-    "Statement", "Expression", "Call", "Member", "String", "Number",
-    "Operator", "Semicolon", "Comma", "Public", "Private", "Protected",
-    "Return", "This", "Arrow", "Equals", "LeftBracket", "RightBracket",
-    "LeftParen", "RightParen", "LeftBrace", "RightBrace", "Pipe",
-    "TripleEquals",
-]
-
 
 def kind_map() -> Column:
     pairs = RAW_TYPE_TO_KIND + EXTRA_RAW_TYPES

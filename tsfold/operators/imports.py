@@ -49,7 +49,8 @@ def normalize_path(importer: Column, source: Column) -> Column:
         .otherwise(F.concat(acc, F.array(s))),
     )
     rel = F.array_join(stack, "/")
-    return F.when(source.startswith("."), rel).otherwise(source)
+    return (F.when(source.startswith("."), rel)
+            .when(source.startswith("/"), F.concat(F.lit("/"), rel)).otherwise(source))
 
 
 def normalize_import_paths(imports: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def cross_module_refs(edges: DataFrame, decls: DataFrame) -> DataFrame:
     The declaration side is reduced to one (project, name) -> path row per
     name (first by file order) before the two equi joins."""
     loc = decls.groupBy("project_id", "name").agg(
-        F.min_by("path", F.struct("file_ord", "stmt_ord")).alias("path")
+        F.min_by("path", F.struct("file_ord", "path", "stmt_ord")).alias("path")
     )
     s = loc.select("project_id", F.col("name").alias("src"), F.col("path").alias("src_path"))
     d = loc.select("project_id", F.col("name").alias("dst"), F.col("path").alias("dst_path"))
@@ -98,7 +99,7 @@ def usage_position(edges: DataFrame, decls: DataFrame) -> DataFrame:
     order) that references it -- where usage-based placement would put it."""
     users = decls.select("project_id", F.col("name").alias("src"), "path", "file_ord", "stmt_ord")
     e = edges.join(users, ["project_id", "src"])
-    first = F.min_by(F.struct("path", "stmt_ord"), F.struct("file_ord", "stmt_ord"))
+    first = F.min_by(F.struct("path", "stmt_ord"), F.struct("file_ord", "path", "stmt_ord"))
     return e.groupBy("project_id", F.col("dst").alias("name")).agg(first.alias("x")).select(
         "project_id", "name", F.col("x.path").alias("first_use_path"), F.col("x.stmt_ord").alias("first_use_stmt_ord")
     )
@@ -145,4 +146,4 @@ def index_export_order(stmts: DataFrame, index_name: str = "index.ts") -> DataFr
     ex = X.exports_from(stmts.where(~is_index), nested=False).where(F.col("export_name").isNotNull())
     j = ex.join(idx, ["project_id", "export_name"], "left")
     j = j.withColumn("_io", F.coalesce(F.col("index_ord"), F.lit(2 ** 31 - 1)))
-    return dense_rank_within(j, ["project_id"], ["_io", "file_ord", "stmt_ord"], "out_ord").drop("_io")
+    return dense_rank_within(j, ["project_id"], ["_io", "file_ord", "path", "stmt_ord"], "out_ord").drop("_io")

@@ -39,12 +39,12 @@ def export_conflicts(exports: DataFrame) -> DataFrame:
     """A name exported more than once in one project. Aggregates are
     bounded per group (count, first/last location), never a list of paths."""
     e = exports.where(F.col("export_name").isNotNull())
-    first = F.min_by("path", F.struct("file_ord", "stmt_ord"))
+    first = F.min_by("path", F.struct("file_ord", "path", "stmt_ord"))
     return e.groupBy("project_id", "export_name").agg(
         F.count(F.lit(1)).alias("n_exports"),
         F.countDistinct("path").alias("n_files"),
         first.alias("first_path"),
-        F.max_by("path", F.struct("file_ord", "stmt_ord")).alias("last_path"),
+        F.max_by("path", F.struct("file_ord", "path", "stmt_ord")).alias("last_path"),
     ).where(F.col("n_exports") > 1)
 
 
@@ -53,7 +53,7 @@ def export_map(exports: DataFrame) -> DataFrame:
     Partial aggregation before the shuffle; this side of C2 is many-to-one."""
     e = exports.where(F.col("export_name").isNotNull())
     best = F.min_by(
-        F.struct("path", "file_ord", "stmt_ord", "kind", "value"), F.struct("file_ord", "stmt_ord")
+        F.struct("path", "file_ord", "stmt_ord", "kind", "value"), F.struct("file_ord", "path", "stmt_ord")
     )
     return e.groupBy("project_id", "export_name").agg(best.alias("x")).select(
         "project_id", "export_name",

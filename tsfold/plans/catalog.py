@@ -53,6 +53,11 @@ def q_merge_concat(spark, sf):
     return S.merge_concat(C.documents_files(spark, sf))
 
 
+@query("merge_concat_rows")
+def q_merge_concat_rows(spark, sf):
+    return S.merge_concat_rows(C.documents_files(spark, sf))
+
+
 @query("quarantine")
 def q_quarantine(spark, sf):
     # limit parameter chosen so both sides exist: documents over 20,000 bytes

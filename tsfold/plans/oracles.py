@@ -78,6 +78,10 @@ SELECT source AS project_id, count(*) AS n_files, CAST(sum(strlen(text) + 1) AS
        md5(string_agg(text, {NL} ORDER BY doc_id) || {NL}) AS md5
 FROM documents GROUP BY source"""
 
+ORACLES["merge_concat_rows"] = f"""
+SELECT source AS project_id, doc_id AS file_ord, 'docs/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text || {NL} AS value
+FROM documents"""
+
 ORACLES["quarantine"] = """
 SELECT source AS project_id, 'docs/' || CAST(doc_id AS VARCHAR) || '.txt' AS path,
        CASE WHEN text IS NULL THEN 'missing' WHEN strlen(text) = 0 THEN 'empty'
