@@ -8,19 +8,20 @@ minwise values. In each tree a class starts in the node of its minwise token;
 two sets of similarity s meet there with probability s. In a node
 
 * every class is compared with the node's smallest member,
-* a node of at most ``small`` classes is compared exhaustively, in one task,
-* a larger node is branched: each class goes on to the nodes of two further
-  minwise tokens. A class pair of similarity s meets in 2 s of them, more than
-  one at the threshold, so a path is likely to survive, and the independent
-  trees make up for those that do not (0.25 ** 12 of the pairs at the threshold
-  miss all first nodes).
+* in a node of at most ``small`` classes, which one task holds, every class is
+  compared with the most similar one of another component, and then, with the
+  components that this has left, all pairs between components are compared,
+* a larger node is branched: each class goes on to the nodes of 4 / 3 further
+  minwise tokens on average. A pair at the threshold then meets once more on
+  average, less similar groups die out, and the independent trees make up for
+  paths that end (0.25 ** 12 of the pairs at the threshold miss all first nodes).
 
 Nodes whose classes have all been linked into one component are settled: no
 further comparison there can change the result. That ends the work on large
 groups of near copies, whose members no token separates, without a cap.
 
 A comparison first looks at the sketches (a pair at the threshold has fewer
-than ``MATCHES`` of 64 equal values once in about 300,000 cases), then confirms
+than ``MATCHES`` of 512 equal values once in about 2,000 cases), then confirms
 on the full sets, rebuilt from the texts.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with
@@ -36,7 +37,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,10 @@ from tsfold.llm.units import _M, _M_INV, Texts, _powers
 from tsfold.session import scratch_path
 
 WORDS = 5
-SKETCH = 64
-MATCHES = 33
+SKETCH = 512
+MATCHES = 352
 TREES = 12
-SMALL = 100
+SMALL = 2000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = mix(np.arange(1, TREES * 4 + SKETCH + WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -105,10 +105,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str, trees: int) -> DataFra
                         continue
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     low = np.full(trees + SKETCH, np.uint64(2**64 - 1))
-                    for k in range(0, len(s), 4096):
-                        np.minimum(low, (s[None, k:k + 4096] * odd).min(axis=1), out=low)
+                    for k in range(0, len(s), 512):
+                        np.minimum(low, (s[None, k:k + 512] * odd).min(axis=1), out=low)
                     tokens.append(low[:trees].view(np.int64))
-                    sketches.append((mix(low[trees:]) >> np.uint64(48)).astype("<u2").tobytes())
+                    sketches.append((mix(low[trees:]) >> np.uint64(56)).astype(np.uint8).tobytes())
                 yield pa.record_batch([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                        pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                                       names=["id", "n", "digest", "tokens", "sketch"])
@@ -118,7 +118,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, trees: int) -> DataFra
 
 
 def _sketch_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SKETCH)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -181,19 +181,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _close_pairs(num: int, den: int):
-    """Grouped function of a small node: pairs of different labels whose sketches and sizes agree."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _sketch_rows(pdf.sketch)
-        cid, label, n = pdf.cid.to_numpy(), pdf.label.to_numpy(), pdf.n.to_numpy()
-        found = []
-        for i in range(len(pdf) - 1):
-            rest = slice(i + 1, None)
-            size = (np.minimum(n[i], n[rest]) * den >= np.maximum(n[i], n[rest]) * num) & (label[rest] != label[i])
-            for j in (np.flatnonzero(size & ((rows[rest] == rows[i]).sum(axis=1) >= MATCHES)) + i + 1).tolist():
-                found.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-    return run
+def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different labels whose sketches and sizes agree, of all pairs within a node; with
+    ``best``, only each row's pair of the largest agreement.
+
+    ``rows`` holds small nodes. They are sorted by node, so a node's rows are
+    neighbours; all rows k places apart are compared at once, for every k that a
+    node is wide enough for. A node cut by the end of a batch waits for the next.
+    A pair that shares several of these nodes is reported in the smallest alone.
+    """
+    def close(node, cid, label, n, sketch, homes) -> tuple[np.ndarray, np.ndarray]:
+        stop = np.searchsorted(node, node, side="right")
+        left, a, b = stop - np.arange(len(node)), [], []
+        most, partner = np.zeros(len(node), np.int64), np.full(len(node), -1)
+        for k in range(1, int(left.max(initial=1))):
+            i = np.flatnonzero(left > k)
+            j = i + k
+            ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+            i, j = i[ok], j[ok]
+            same = (sketch[i] == sketch[j]).sum(axis=1)
+            ok = same >= MATCHES
+            i, j, same = i[ok], j[ok], same[ok]
+            if best:
+                for x, y in ((i, j), (j, i)):  # an index occurs once in each
+                    more = same > most[x]
+                    most[x[more]], partner[x[more]] = same[more], y[more]
+            else:
+                here = [min(homes[x] & homes[y]) == v for x, y, v in zip(i.tolist(), j.tolist(), node[i].tolist())]
+                a.append(cid[i[here]])
+                b.append(cid[j[here]])
+        if best:
+            some = np.flatnonzero(partner >= 0)
+            a, b = [cid[some]], [cid[partner[some]]]
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("node", "cid", "label", "n")] + [_sketch_rows(batch.column("sketch").to_pylist())]
+            now.append(np.array([*map(frozenset, batch.column("homes").to_pylist()), None], object)[:-1])
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            a, b = close(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        if held and len(held[0]):
+            yield pa.record_batch([pa.array(x) for x in close(*held)], names=["a", "b"])
+
+    homes = rows.groupBy("cid").agg(F.collect_set("node").alias("homes"))
+    near = rows.join(homes, "cid").select("node", "cid", "label", "n", "sketch", "homes").repartition("node").sortWithinPartitions("node")
+    return near.mapInArrow(run, "a long, b long").distinct()
 
 
 def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,12 +251,14 @@ def _star(rows: DataFrame) -> DataFrame:
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """Rows of the next level: every class goes to the nodes of two further minwise tokens."""
+    """Rows of the next level: every class goes to the node of a further minwise token, and in one of three
+    nodes to that of a second one. At the threshold 4 / 3 * 0.75 = 1 meeting goes on; less similar groups die out."""
     def token(which: int):
         place = f"int(pmod(tree * 11 + {2 * level + which}, {SKETCH}))"
-        return F.expr(f"xxhash64(node, {place}, substring(sketch, 2 * {place} + 1, 2))")
+        return F.expr(f"xxhash64(node, {place}, substring(sketch, {place} + 1, 1))")
 
-    return rows.select("tree", F.explode(F.array_distinct(F.array(token(0), token(1)))).alias("node"), "cid", "n", "sketch")
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3)) == 0, token(1)).otherwise(token(0))
+    return rows.select("tree", F.explode(F.array_distinct(F.array(token(0), second))).alias("node"), "cid", "n", "sketch")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100,
@@ -230,25 +272,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "tree", F.xxhash64("tree", "token").alias("node"), "cid")
     pairs = _stored(likely(_star(rows), reps, num, den), "near-pairs")
     texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("string").alias("text"))
-    met = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    met = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     links = _stored(confirmed(pairs, _stored(texts.join(met, "cid", "left_semi"), "near-texts"), num, den), "near-links")
     labels = components(links)
     open_rows = _stored(_unsettled(rows, labels).join(reps.select("cid", "n", "sketch"), "cid"), "near-open")
+    seen = pairs
+
+    def link(found: DataFrame) -> bool:
+        """Confirm pairs not looked at before and renew the components; whether there were any."""
+        nonlocal links, labels, seen
+        found = _stored(found.join(seen, ["a", "b"], "left_anti"), "near-pairs")
+        if found.isEmpty():
+            return False
+        met = found.select(F.col("a").alias("cid")).union(found.select("b")).distinct()
+        fresh = _stored(confirmed(found, texts.join(met, "cid", "left_semi"), num, den), "near-links")
+        seen = seen.unionByName(found)
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            labels = components(links)
+        return True
+
     level = 0
     while not open_rows.isEmpty():
-        last = 2 * level + 2 > SKETCH
+        last = 2 * level + 2 > SKETCH  # all tokens of the sketch are used up: no more branching
         few = open_rows if last else open_rows.filter(F.col("size") <= small)
-        found = few.groupBy("node").applyInPandas(_close_pairs(num, den), "a long, b long").distinct()
-        if not last:
-            children = _stored(_branch(open_rows.filter(F.col("size") > small), level), "near-children")
+        many = open_rows.filter(F.col("size") > small)
+        deeper = not last and not many.isEmpty()
+        found = _close_pairs(few, num, den, True)
+        if deeper:
+            children = _stored(_branch(many, level), "near-children")
             found = found.unionByName(likely(_star(children), reps, num, den)).distinct()
-        found = _stored(found.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        if not found.isEmpty():
-            met = found.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-            links = _stored(links.unionByName(confirmed(found, texts.join(met, "cid", "left_semi"), num, den)), "near-links")
-            labels = components(links)
-            pairs = pairs.unionByName(found)
-        if last:
+        if link(found):
+            link(_close_pairs(_unsettled(few.drop("label", "size"), labels).filter(F.lit(last) | (F.col("size") <= small)), num, den, False))
+        if not deeper:
             break
         open_rows = _stored(_unsettled(children, labels), "near-open")
         level += 1
