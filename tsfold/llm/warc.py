@@ -42,6 +42,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_BLANK = re.compile(r"\s+")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[\n ]*")
 
@@ -56,7 +57,7 @@ def record_id(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text of a page: one line for each block, white space folded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _TAG.sub("", _BLOCK.sub("\n", _BLANK.sub(" ", _HIDDEN.sub(" ", page))))
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text).replace("\r", " "))).strip()
 
 
