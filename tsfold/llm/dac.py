@@ -156,7 +156,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 x = batch.slice(row, 1).to_pylist()[0]
                 reader, sizes = Reader(x["levels"]), np.array(x["sizes"], np.int64)
                 stops = np.cumsum(sizes)
-                crc = [zlib.crc32(reader.range(a, b).astype("<u4").tobytes()) for a, b in zip((stops - sizes).tolist(), stops.tolist())]
+                raw = memoryview(reader.range(0, int(sizes.sum())).astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip((stops - sizes).tolist(), stops.tolist())]
                 yield pa.record_batch([pa.array([x["part"]] * len(sizes), pa.int64()), pa.array(x["ids"], pa.int64()),
                                        pa.array(x["offset"] + stops - sizes, pa.int64()), pa.array(sizes, pa.int64()),
                                        pa.array(crc, pa.int64())], names=["part", "doc_id", "offset", "n_tokens", "ids_crc32"])
