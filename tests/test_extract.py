@@ -97,7 +97,10 @@ def test_edge_cases(spark):
     assert [r.name for r in sorted(by["crlf.ts"], key=lambda r: r.stmt_ord)] == ["a", "b"]
     assert len(by["noeol.ts"]) == 1 and by["noeol.ts"][0].balanced
     assert not by["bad.ts"][0].balanced  # unbalanced -> rejected
-    assert X.statements(files).where("path = 'bad.ts'").count() == 0
+    # its text is not lost: the file is one statement of no known kind
+    assert [(r.raw_type, r.kind, r.value) for r in X.statements(files).where("path = 'bad.ts'").collect()] == [
+        ("ERROR", "Unknown", "class { invalid")]
+    assert X.statements(files, keep_unbalanced=False).where("path = 'bad.ts'").count() == 0
     rej = X.rejects_unbalanced(files).collect()
     assert [(r.path, r.reason) for r in rej] == [("bad.ts", "unbalanced")]
     ex = {(r.path, r.export_name) for r in X.exports(files).collect()}

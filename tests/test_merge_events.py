@@ -8,6 +8,7 @@ from tsfold.operators import imports as I
 from tsfold.operators import merge as M
 from tsfold.sources import files as S
 from tsfold.streaming import events as EV
+from tsfold.streaming import remerge as RM
 
 
 def _merged(spark, rows, **kw):
@@ -106,3 +107,81 @@ def test_absolute_import_paths_are_simplified(spark):
     df = spark.createDataFrame([("src/a.ts", "/lib/./x/../y"), ("src/a.ts", "../b/./c"), ("src/a.ts", "pkg/../x")], "path string, source_path string")
     got = [r.resolved_path for r in I.normalize_import_paths(df).collect()]
     assert got == ["/lib/y", "b/c", "pkg/../x"]
+
+
+NAMESPACE = """// lead
+export namespace Depot {
+  // the options
+  export interface Options {
+    track: string; // trailing
+  }
+  export class Yard {
+    open() { return 1; }
+  }
+}
+"""
+
+
+def test_inlined_namespace_member_is_whole_and_leaves_its_owner(spark):
+    rows = [(1, "a.ts", 1, "import { Options } from './depot';\nexport const a = 1;\n"), (1, "depot.ts", 2, NAMESPACE)]
+    out = _merged(spark, rows)
+    assert [(r.path, r.origin_path, r.origin_line) for r in out] == [
+        ("a.ts", "depot.ts", 3), ("a.ts", "a.ts", -1), ("depot.ts", "depot.ts", -1)]
+    assert out[0].value == "\nexport interface Options {\n    track: string; // trailing\n  }\n\n"
+    assert "export class Yard" in out[2].value and "export interface Options" in out[2].value
+    plain = "".join(r.value for r in _merged(spark, rows, preserve_comments=False))
+    assert "//" not in plain and plain.count("track: string;") == 2 and "export class Yard" in plain
+    files = files_df(spark, rows)
+    merged = M.merge_rows(files)
+    lines = {(r.out_ord, r.line_in_stmt): (r.src_path, r.src_row)
+             for r in I.line_provenance(merged, X.extract_facts(files)).collect()}
+    first = min(k[0] for k in lines)
+    assert [lines[first, i] for i in range(3)] == [("depot.ts", 3), ("depot.ts", 4), ("depot.ts", 5)]
+    assert (first, 3) not in lines
+
+
+def test_comment_follows_the_inlined_statement(spark):
+    rows = [(1, "a.ts", 1, "import { B } from './b';\nconst a = 1;\n"), (1, "b.ts", 2, "// about B\nexport class B {}\n")]
+    files = files_df(spark, rows)
+    merged = M.merge_rows(files)
+    place = {r.origin_path: r.out_ord for r in merged.collect()}
+    assert [(r.comment, r.out_ord) for r in M.comment_carry(files, merged).collect()] == [("// about B", place["b.ts"])]
+
+
+def test_regex_literals_and_unbalanced_files_stay_in_the_merge(spark):
+    rows = [(1, "re.ts", 1, "export const open = /[{]/;\nexport const q = [/'/g, /\\/\\{/];\nexport class A {}\nconst h = 6 / 2 / 1;\n"),
+            (1, "bad.ts", 2, "export class Half {\nlet rest = 1;\n")]
+    out = _merged(spark, rows)
+    assert [r.value.strip() for r in out] == ["export const open = /[{]/;", "export const q = [/'/g, /\\/\\{/];",
+                                              "export class A {}", "const h = 6 / 2 / 1;", "export class Half {\nlet rest = 1;"]
+    assert [r.path for r in X.rejects_unbalanced(files_df(spark, rows)).collect()] == ["bad.ts"]
+
+
+def test_remerge_follows_new_changed_and_deleted_files(spark, tmp_path):
+    now = {}
+    corpus = lambda s: files_df(s, [(p, path, o, text) for (p, path), (o, text) in now.items()])
+    facts, whole, inc = str(tmp_path / "facts"), str(tmp_path / "whole"), str(tmp_path / "inc")
+    now.update({(1, "a.ts"): (1, "const a = 1;\n"), (1, "b.ts"): (2, "const b = 1;\n"), (2, "c.ts"): (1, "const c = 1;\n")})
+    M.merge_facts(corpus(spark)).write.partitionBy("project_id").parquet(facts)
+    for out in (whole, inc):
+        RM._write_projects(M.merge_rows(corpus(spark)), None, out)
+    del now[1, "b.ts"], now[2, "c.ts"]
+    now.update({(1, "a.ts"): (1, "const a = 2;\n"), (3, "d.ts"): (1, "const d = 1;\n")})
+    batch = spark.createDataFrame([("a.ts", 1), ("b.ts", 1), ("c.ts", 2), ("d.ts", 3)], "path string, project_id bigint")
+    for again in range(2):
+        RM.remerge_batch(corpus, whole, lambda b: b)(batch, again)
+        RM.remerge_incremental_batch(corpus, facts, inc, lambda b: b)(batch, again)
+        for out in (whole, inc):
+            got = [(r.project_id, r.path, r.value) for r in RM.read_merged(spark, out).orderBy("project_id").collect()]
+            assert got == [(1, "a.ts", "const a = 2;\n"), (3, "d.ts", "const d = 1;\n")]
+
+
+def test_progress_of_many_batches(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(0, 240, 1, 120).write.parquet(src)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+    RM.run_with_progress(stream, str(tmp_path / "out"), str(tmp_path / "progress"), str(tmp_path / "ck"),
+                         lambda b: b.where("id % 2 = 0"))
+    p = RM.read_progress(spark, str(tmp_path / "progress")).collect()
+    assert len(p) == 120 and sum(r.num_input_rows for r in p) == 240
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120

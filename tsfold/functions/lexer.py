@@ -6,7 +6,7 @@ JVM (whole-stage codegen where Spark supports it) with no Python per row.
 A file is tokenised inside its own row with one ``regexp_extract_all``; the
 tokens are re-joined into two *masks* of the same byte length as the source:
 
-* ``masked``: comments -> spaces, string/template literals -> ``~``. Brace
+* ``masked``: comments -> spaces, string/template/regex literals -> ``~``. Brace
   depth, statement heads and identifiers are read from this text, so braces
   or keywords inside strings and comments are never counted.
 * ``clean``: comments -> spaces, strings kept. Import/export clauses (whose
@@ -15,8 +15,8 @@ tokens are re-joined into two *masks* of the same byte length as the source:
 Newlines are kept by both masks, so ``split(x, '\\n')`` of content, masked and
 clean give arrays of equal length whose elements line up.
 
-Known deviations (documented, not bugs): regex literals holding quotes or
-braces, nested template literals inside ``${}``, several statements on one
+Known deviations (documented, not bugs): a regex literal after ``)`` or an
+operator other than those of ``TOKEN_RE``, nested template literals inside ``${}``, several statements on one
 line stay one statement, JSX text.
 """
 
@@ -25,12 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One token per match: line comment | block comment | '..' | ".." | `..` |
-# run of ordinary code | any single char. Possessive quantifiers keep very
+# One token per match: line comment | block comment | regex literal (a slash
+# where an expression begins) | '..' | ".." | `..` | run of ordinary code |
+# any single char. Possessive quantifiers keep very
 # long literals from overflowing the regex engine's stack. Joined, the tokens
 # give back the input exactly.
 TOKEN_RE = (
-    r"(?s)//[^\n]*+|/\*.*?\*/|'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\""
+    r"(?s)//[^\n]*+|/\*.*?\*/"
+    r"|/(?<=(?:[(,=:\[!&|?{};]|=>)\s{0,16}/|\breturn\s{1,16}/)"
+    r"(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+"
+    r"|'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\""
     r"|`(?:[^`\\]|\\.)*+`|[^/'\"`]++|."
 )
 
@@ -81,7 +85,10 @@ def _is_comment(t: Column) -> Column:
 
 
 def _is_string(t: Column) -> Column:
-    return (F.length(t) > 1) & (t.startswith("'") | t.startswith('"') | t.startswith("`"))
+    # a longer token that begins with a slash and is no comment is a regex literal
+    return (F.length(t) > 1) & ~_is_comment(t) & (
+        t.startswith("'") | t.startswith('"') | t.startswith("`") | t.startswith("/")
+    )
 
 
 def _blank_out(t: Column, ch: str) -> Column:

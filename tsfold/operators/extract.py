@@ -73,7 +73,6 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         # is only decorators); the statement takes its first head line's type
         F.when(is_code & fw.isin(*L.STATEMENT_KEYWORDS, "@"), L.raw_type_of(m, F.lit(False))).alias("l_type"),
         F.when(is_code & (F.instr(m, "(") > 0), F.regexp_extract(m, L.METHOD_RE, 1)).alias("m_method"),
-        F.when(fw == "export", F.trim(F.col("raw"))).alias("exp_text"),
     )
     w = Window.partitionBy(*FILE_KEY).orderBy("line")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -118,8 +117,25 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         .when(F.coalesce(F.col("next_start"), F.lit(False)), F.col("grp") + 1)
         .otherwise(F.col("grp"))
     )
-    return z.withColumn("stmt_ord", F.greatest(stmt, F.lit(1)).cast("int")).withColumn(
-        "balanced", (F.col("min_depth") >= 0) & (F.col("final_depth") == 0)
+    # a file whose brackets do not balance has no reliable statement borders:
+    # it stays one statement (and is reported by ``rejects_unbalanced``)
+    balanced = (F.col("min_depth") >= 0) & (F.col("final_depth") == 0)
+    return z.withColumn("balanced", balanced).withColumn(
+        "stmt_ord", F.when(F.col("balanced"), F.greatest(stmt, F.lit(1))).otherwise(1).cast("int")
+    )
+
+
+def _member_end(ls: Column, x: Column) -> Column:
+    """Last line of the member that starts on line ``x.line`` at depth
+    ``x.depth``: its first line that ends in ';' or '}' back at that depth, or
+    the line before the next member or the end of the enclosing block."""
+    code = F.filter(ls, lambda y: y["is_code"] & (y["line"] >= x["line"]))
+    closed = F.filter(code, lambda y: y["closes"] & (y["after"] == x["depth"]))
+    beyond = F.filter(code, lambda y: (y["line"] > x["line"]) & (
+        (y["after"] < x["depth"]) | (y["opens"] & (y["before"] <= x["depth"]))
+    ))
+    return F.coalesce(
+        F.least(closed[0]["line"], F.greatest(beyond[0]["line"] - 1, x["line"])), x["line"]
     )
 
 
@@ -192,7 +208,10 @@ def statement_rows(ln: DataFrame) -> DataFrame:
         F.col("m_decl").isNotNull() | (F.coalesce(F.col("m_method"), F.lit("")) != "")
     )
     g = ln.groupBy("project_id", "path", "file_ord", "stmt_ord").agg(
-        F.sort_array(F.collect_list(F.struct("line", "raw"))).alias("ls"),
+        F.sort_array(F.collect_list(F.struct(
+            "line", "raw", "is_code", F.col("depth_before").alias("before"), F.col("depth_after").alias("after"),
+            F.col("lc").isin(";", "}").alias("closes"), F.col("fw").isin(*L.STATEMENT_KEYWORDS, "@").alias("opens"),
+        ))).alias("ls"),
         F.min(F.when(F.col("nonblank"), F.col("line"))).alias("lo"),
         F.max(F.when(F.col("nonblank"), F.col("line"))).alias("hi"),
         F.min(F.when(F.col("is_code"), F.col("line"))).alias("head_line"),
@@ -204,7 +223,7 @@ def statement_rows(ln: DataFrame) -> DataFrame:
         F.min_by("m_decl", F.when(head_cond, F.col("line"))).alias("head_name"),
         F.min_by("m_kw", F.when(head_cond, F.col("line"))).alias("head_kw"),
         F.collect_list(F.when(nested_cond, F.struct(
-            "line", F.col("m_decl").alias("name"), F.col("exp_text").alias("text")
+            "line", F.col("m_decl").alias("name"), F.col("depth_before").alias("depth")
         ))).alias("nested_exports"),
         F.collect_list(F.when(member_cond, F.struct(
             "line", F.col("m_decl").alias("decl"), F.coalesce(F.col("m_method"), F.lit("")).alias("method"),
@@ -213,8 +232,20 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     comment_only = F.col("head_line").isNull()
     head = F.coalesce(F.col("head_line"), F.col("lo"))
     s = g.select(
-        "project_id", "path", "file_ord", "stmt_ord", "balanced", "nested_exports", "members",
-        "head_type", "head_name", "head_kw",
+        "project_id", "path", "file_ord", "stmt_ord", "balanced",
+        # place of each nested export: file line, offset in ``value`` and in the
+        # code without comments (which starts at the head line), number of lines
+        F.transform(
+            F.filter("nested_exports", lambda x: F.col("balanced")),
+            lambda x: F.struct(
+                x["name"].alias("name"), x["line"].alias("line"), (x["line"] - F.col("lo")).alias("at"),
+                (x["line"] - head).alias("code_at"), (_member_end(F.col("ls"), x) - x["line"] + 1).alias("n_lines"),
+            ),
+        ).alias("nested_exports"),
+        F.filter("members", lambda x: F.col("balanced")).alias("members"),
+        F.when(F.col("balanced"), F.col("head_type")).otherwise("ERROR").alias("head_type"),
+        F.when(F.col("balanced"), F.col("head_name")).alias("head_name"),
+        F.when(F.col("balanced"), F.col("head_kw")).alias("head_kw"),
         _join_lines(F.col("ls"), "raw", F.col("lo"), F.col("hi")).alias("value"),
         _join_lines(F.col("ls"), "raw", head, F.col("hi")).alias("code"),
         comment_only.alias("comment_only"),
@@ -245,11 +276,12 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     )
 
 
-def extract_facts(files: DataFrame, keep_unbalanced: bool = False, materialize: bool = False,
+def extract_facts(files: DataFrame, keep_unbalanced: bool = True, materialize: bool = False,
                   columns: list[str] | None = None) -> DataFrame:
     """Statement facts of a corpus, optionally materialised once in the shared
     checkpoint folder (``DataFrame.checkpoint``) when several operators read
-    them: lexing is the costly part and must not run once per plan branch.
+    them. A file whose brackets do not balance is one statement of raw type
+    ERROR, or left out with ``keep_unbalanced=False``: lexing is the costly part and must not run once per plan branch.
     The checkpoint cuts lineage, so a lost executor does not re-run it."""
     s = statement_rows(lines(files))
     if not keep_unbalanced:
@@ -268,7 +300,7 @@ STATEMENT_COLUMNS = [
 ]
 
 
-def statements(files: DataFrame, keep_unbalanced: bool = False) -> DataFrame:
+def statements(files: DataFrame, keep_unbalanced: bool = True) -> DataFrame:
     """B1: top-level statements, with kind (B2), name and flat location."""
     return extract_facts(files, keep_unbalanced).select(*STATEMENT_COLUMNS)
 
@@ -345,22 +377,26 @@ def imports(files: DataFrame) -> DataFrame:
 
 def exports_from(stmts: DataFrame, nested: bool = True) -> DataFrame:
     """One row per exported name: top-level exports, plus exports nested
-    at depth > 0 (e.g. inside a namespace). NULL name = no identifier (the
-    reference raises InvalidNode; the row is kept for reporting)."""
-    top = stmts.where(F.col("is_export")).select(
-        "project_id", "path", "file_ord", "stmt_ord",
-        F.explode("export_names").alias("export_name"),
-        "kind", "value", F.lit(False).alias("nested"),
-    )
-    if not nested:
-        return top
-    inner = stmts.where(F.size("nested_exports") > 0).select(
-        "project_id", "path", "file_ord", "stmt_ord", F.explode("nested_exports").alias("x")
-    ).select(
+    at depth > 0 (e.g. inside a namespace) with their own full text. ``line``
+    is the file line of a nested export and -1 for a top-level one. NULL name =
+    no identifier (the reference raises InvalidNode; the row is kept for
+    reporting). One array per statement, exploded once."""
+    found = F.when(F.col("is_export"), F.transform("export_names", lambda n: F.struct(
+        n.alias("name"), F.lit(-1).alias("line"), F.lit(0).alias("at"), F.lit(0).alias("n_lines"))))
+    found = F.coalesce(found, F.array().cast("array<struct<name:string,line:int,at:int,n_lines:int>>"))
+    if nested:
+        found = F.concat(found, F.transform("nested_exports", lambda x: F.struct(
+            x["name"].alias("name"), x["line"].cast("int").alias("line"), x["at"].cast("int").alias("at"),
+            x["n_lines"].cast("int").alias("n_lines"))))
+    e = stmts.select("project_id", "path", "file_ord", "stmt_ord", "kind", "value", F.explode(found).alias("x"))
+    inner = F.col("x.line") >= 0
+    text = F.trim(F.array_join(F.slice(F.split("value", "\n", -1), F.col("x.at") + 1, F.col("x.n_lines")), "\n"))
+    return e.select(
         "project_id", "path", "file_ord", "stmt_ord", F.col("x.name").alias("export_name"),
-        F.lit("ExportDecl").alias("kind"), F.col("x.text").alias("value"), F.lit(True).alias("nested"),
+        F.when(inner, F.lit("ExportDecl")).otherwise(F.col("kind")).alias("kind"),
+        F.when(inner, text).otherwise(F.col("value")).alias("value"),
+        inner.alias("nested"), F.col("x.line").alias("line"),
     )
-    return top.unionByName(inner)
 
 
 def exports(files: DataFrame, nested: bool = True) -> DataFrame:

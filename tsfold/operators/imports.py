@@ -118,17 +118,20 @@ def namespace_merge(stmts: DataFrame) -> DataFrame:
 def line_provenance(rows: DataFrame, stmts: DataFrame) -> DataFrame:
     """Each line of a merged statement -> (source path, source row).
     Merged rows carry their origin statement; its start row plus the line's
-    offset inside the statement text gives the source row."""
+    offset inside the statement text gives the source row. The lines of an
+    inlined namespace member start at its own line."""
     src = stmts.select(
         "project_id", F.col("path").alias("origin_path"), F.col("stmt_ord").alias("origin_stmt_ord"),
         "start_row", F.col("value").alias("_v"),
     )
-    j = rows.select("project_id", "out_ord", "origin_path", "origin_stmt_ord").join(
+    member = F.col("origin_line") >= 0
+    own = F.when(member, F.split(F.btrim("value", F.lit("\n")), "\n", -1))
+    j = rows.select("project_id", "out_ord", "origin_path", "origin_stmt_ord", "origin_line", own.alias("_own")).join(
         src, ["project_id", "origin_path", "origin_stmt_ord"]
-    )
+    ).withColumn("start_row", F.when(member, F.col("origin_line")).otherwise(F.col("start_row")))
     return j.select(
         "project_id", "out_ord", "origin_path", "start_row",
-        F.posexplode(F.split("_v", "\n")).alias("k", "_line"),
+        F.posexplode(F.coalesce("_own", F.split("_v", "\n"))).alias("k", "_line"),
     ).select(
         "project_id", "out_ord", F.col("k").cast("bigint").alias("line_in_stmt"),
         F.col("origin_path").alias("src_path"), (F.col("start_row") + F.col("k")).alias("src_row"),

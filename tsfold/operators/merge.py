@@ -1,8 +1,7 @@
 """C: resolve, order and merge statements into one ordered stream per project.
 
 Output grain is one row per merged statement ``(project_id, out_ord, value)``
-plus the order key; one text per project is only built behind a size guard
-(C12). Dense positions come from ``order.dense_rank_within`` (range
+plus the order key; only C12 builds one text per project. Dense positions come from ``order.dense_rank_within`` (range
 partitioning + per-partition offsets), so no task ever holds a whole project.
 """
 
@@ -49,16 +48,17 @@ def export_conflicts(exports: DataFrame) -> DataFrame:
 
 
 def export_map(exports: DataFrame) -> DataFrame:
-    """One export per (project, name): the first by (file_ord, stmt_ord).
+    """One export per (project, name): the first by (file_ord, path, stmt_ord, line).
     Partial aggregation before the shuffle; this side of C2 is many-to-one."""
     e = exports.where(F.col("export_name").isNotNull())
     best = F.min_by(
-        F.struct("path", "file_ord", "stmt_ord", "kind", "value"), F.struct("file_ord", "path", "stmt_ord")
+        F.struct("path", "file_ord", "stmt_ord", "line", "kind", "value"), F.struct("file_ord", "path", "stmt_ord", "line")
     )
     return e.groupBy("project_id", "export_name").agg(best.alias("x")).select(
         "project_id", "export_name",
         F.col("x.path").alias("export_path"), F.col("x.file_ord").alias("export_file_ord"),
-        F.col("x.stmt_ord").alias("export_stmt_ord"), F.col("x.kind").alias("export_kind"),
+        F.col("x.stmt_ord").alias("export_stmt_ord"), F.col("x.line").alias("export_line"),
+        F.col("x.kind").alias("export_kind"),
         F.col("x.value").alias("export_value"),
     )
 
@@ -154,12 +154,15 @@ def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
     several branches (exports, imports, own statements), so they are
     checkpointed once unless they already come from storage."""
     value = F.col("value") if opts.preserve_comments else strip_comment_value(F.col("ccode"))
-    st = facts.withColumn("out_value", value)
+    st = facts.withColumn("value", value)
+    if not opts.preserve_comments:  # nested exports are cut out of the text that is written
+        st = st.withColumn("nested_exports", F.transform(
+            "nested_exports", lambda x: x.withField("at", x["code_at"])))
     if opts.strict_kinds:
         st = st.where(F.col("kind") != "Unknown")
     st = st.select(
         "project_id", "path", "file_ord", "stmt_ord", "kind", "raw_type", "is_export", "value",
-        "out_value", "export_names", "nested_exports", "import_names", "source_path",
+        "export_names", "nested_exports", "import_names", "source_path",
     )
     if materialize:
         st = st.checkpoint(eager=True)
@@ -182,62 +185,63 @@ def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
         F.lit(None).cast("string").alias("source_path"),
         F.col("export_value").alias("out_value"),
         F.col("export_path").alias("origin_path"), F.col("export_stmt_ord").alias("origin_stmt_ord"),
+        F.col("export_line").alias("origin_line"),
     )
     own = st.join(per_stmt.where("all_resolved = 1"), ["project_id", "path", "stmt_ord"], "left_anti")
     own = own.select(
         "project_id", "path", "file_ord", "stmt_ord", F.lit(0).alias("name_ord"),
-        "kind", "raw_type", "source_path", "out_value",
+        "kind", "raw_type", "source_path", F.col("value").alias("out_value"),
         F.col("path").alias("origin_path"), F.col("stmt_ord").alias("origin_stmt_ord"),
+        F.lit(-1).alias("origin_line"),
     )
     rows = own.unionByName(inlined)
     section, sp = order_key(F.col("kind"), F.col("raw_type"), F.col("source_path"), opts)
     rows = rows.withColumn("section", section).withColumn("sort_path", sp)
     if opts.dedupe:
-        # keep the first occurrence per origin statement: min order key per
-        # origin (partial aggregation copes with a hot origin), semi join back
+        # keep the first occurrence per origin: min order key per origin
+        # (partial aggregation copes with a hot origin), semi join back. The
+        # origin of an inlined member is its own line, not its namespace.
         key = F.struct(
             "section", F.coalesce("sort_path", F.lit("￿")).alias("sp"), "file_ord", "path", "stmt_ord", "name_ord"
         )
         rows = rows.withColumn("_k", key)
-        firsts = rows.groupBy("project_id", "origin_path", "origin_stmt_ord").agg(F.min("_k").alias("_k"))
-        rows = rows.join(firsts, ["project_id", "origin_path", "origin_stmt_ord", "_k"], "left_semi").drop("_k")
+        origin = ["project_id", "origin_path", "origin_stmt_ord", "origin_line"]
+        firsts = rows.groupBy(*origin).agg(F.min("_k").alias("_k"))
+        rows = rows.join(firsts, [*origin, "_k"], "left_semi").drop("_k")
     rows = rows.withColumn("sort_path_nl", F.coalesce("sort_path", F.lit("￿")))
     out = dense_rank_within(
         rows, ["project_id"], ["section", "sort_path_nl", "file_ord", "path", "stmt_ord", "name_ord"], "out_ord"
     )
     return out.select(
         "project_id", "out_ord", "section", "sort_path", "path", "file_ord", "stmt_ord", "name_ord",
-        "kind", "origin_path", "origin_stmt_ord",
+        "kind", "origin_path", "origin_stmt_ord", "origin_line",
         spacing(F.col("kind"), F.col("out_value")).alias("value"),
     )
 
 
-def merge_text(rows: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """One text per project, only for projects whose merged size is at
-    most ``max_bytes``; larger projects get NULL text (write them with A6)."""
-    size = rows.groupBy("project_id").agg(
-        F.sum(F.octet_length("value")).alias("n_bytes"), F.count(F.lit(1)).alias("n_rows")
-    )
-    small = size.where(F.col("n_bytes") <= max_bytes)
-    txt = rows.join(small.select("project_id"), "project_id", "left_semi").groupBy("project_id").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("out_ord", "value"))), lambda x: x["value"]), ""
-        ).alias("text")
-    )
-    return size.join(txt, "project_id", "left").select(
-        "project_id", "n_rows", F.col("n_bytes").cast("bigint").alias("n_bytes"), "text",
-        (F.col("n_bytes") > max_bytes).alias("too_large"),
+def merge_text(rows: DataFrame) -> DataFrame:
+    """One text per project, of any size that a row can hold. ``rows``
+    itself is the same text at row grain, without that bound, and is what A6
+    writes. ``too_large`` is always false; it stays for readers of the column."""
+    return rows.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.octet_length("value")).cast("bigint").alias("n_bytes"),
+        F.expr("listagg(value, '') WITHIN GROUP (ORDER BY out_ord)").alias("text"),
+        F.lit(False).alias("too_large"),
     )
 
 
 def comment_carry(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """C11: comments of merged statements, appended to the project's comment
-    list after the merged nodes' order (one row per comment line block)."""
+    """C11: comments of merged statements, at the place where the statement
+    itself first went, be it in its own file's turn or inlined before it (one
+    row per comment line)."""
     ln = X.lines(files).where("balanced")
     c = ln.where(F.col("nonblank") & ~F.col("is_code")).select(
         "project_id", "path", "stmt_ord", "line", F.trim("raw").alias("comment")
     )
-    kept = rows.where(F.col("name_ord") == 0).select("project_id", "path", "stmt_ord", "out_ord")
+    kept = rows.where(F.col("origin_line") < 0).groupBy(
+        "project_id", F.col("origin_path").alias("path"), F.col("origin_stmt_ord").alias("stmt_ord")
+    ).agg(F.min("out_ord").alias("out_ord"))
     return c.join(kept, ["project_id", "path", "stmt_ord"])
 
 

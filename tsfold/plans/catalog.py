@@ -116,7 +116,7 @@ def q_imports(spark, sf):
 
 @query("exports")
 def q_exports(spark, sf):
-    return _big(X.exports(C.ts_corpus(spark, sf)), "stmt_ord")
+    return _big(X.exports(C.ts_corpus(spark, sf)).drop("line"), "stmt_ord")
 
 
 @query("declarations")
@@ -561,20 +561,19 @@ def q_event_counts_stream(spark, sf):
     folder = _landed_events(spark, sf)
     out, ck = scratch_path(spark, "counts-out"), scratch_path(spark, "counts-ck")
     ev = RM.normalized_stream(spark, folder)
-    RM.run_available_now(EV.event_counts_stream(ev), out, ck)
-    return spark.read.parquet(out)
+    RM.run_updates(EV.event_counts_stream(ev), out, ck)
+    return RM.read_updates(spark, out, ["window_start", "kind"])
 
 
 @query("stream_progress")
 def q_stream_progress(spark, sf):
     """Per-batch progress of the event stream, summed."""
     folder = _landed_events(spark, sf)
-    out, ck = scratch_path(spark, "progress-out"), scratch_path(spark, "progress-ck")
-    stream = RM.normalized_stream(spark, folder).select("event_id", "wd", "kind")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
-        .trigger(availableNow=True).start()
-    q.awaitTermination()
-    p = RM.progress_frame(spark, q).where("num_input_rows > 0")
+    out, progress, ck = (scratch_path(spark, "progress-out"), scratch_path(spark, "progress"),
+                         scratch_path(spark, "progress-ck"))
+    RM.run_with_progress(RM.event_source(spark, folder), out, progress, ck,
+                         lambda b: EV.normalize_events(b).select("event_id", "wd", "kind"))
+    p = RM.read_progress(spark, progress).where("num_input_rows > 0")
     return p.agg(F.count(F.lit(1)).alias("n_batches"), F.sum("num_input_rows").alias("n_input_rows"))
 
 
@@ -591,10 +590,7 @@ def q_remerge_incremental(spark, sf):
     path_of = lambda b: b.select(F.concat(F.lit("src/part/"), F.col("wd").cast("string"), F.lit(".ts")).alias("path"))
     q = RM.start_remerge_incremental(ev, files, facts, out, ck, path_of)
     q.awaitTermination()
-    r = spark.read.parquet(out)
-    return r.select(F.col("project_id").cast("bigint").alias("project_id"), "out_ord",
-                    F.col("section").cast("bigint").alias("section"), "path",
-                    F.col("stmt_ord").cast("bigint").alias("stmt_ord"), "kind", "value")
+    return _big(RM.read_merged(spark, out), "section", "stmt_ord")
 
 
 @query("remerge_stream")
@@ -605,10 +601,7 @@ def q_remerge_stream(spark, sf):
     files = C.ts_corpus(spark, sf)
     q = RM.start_remerge(ev, files, out, ck, lambda b: b.select((F.col("wd") % C.N_PROJECTS).alias("project_id")))
     q.awaitTermination()
-    r = spark.read.parquet(out)
-    return r.select(F.col("project_id").cast("bigint").alias("project_id"), "out_ord",
-                    F.col("section").cast("bigint").alias("section"), "path",
-                    F.col("stmt_ord").cast("bigint").alias("stmt_ord"), "kind", "value")
+    return _big(RM.read_merged(spark, out), "section", "stmt_ord")
 
 
 def queries() -> dict[str, Query]:

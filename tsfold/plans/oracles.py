@@ -400,7 +400,6 @@ ORACLES["event_counts_stream"] = f"""
 WITH {EV}
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, kind, count(*) AS n
 FROM ev
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 GROUP BY 1, 2"""
 
 ORACLES["remerge_stream"] = ORACLES["merge_full"]
