@@ -599,7 +599,8 @@ def q_remerge_stream(spark, sf):
     out, ck = scratch_path(spark, "remerge-out"), scratch_path(spark, "remerge-ck")
     ev = RM.normalized_stream(spark, folder, max_files_per_trigger=2)
     files = C.ts_corpus(spark, sf)
-    q = RM.start_remerge(ev, files, out, ck, lambda b: b.select((F.col("wd") % C.N_PROJECTS).alias("project_id")))
+    q = RM.start_remerge(ev, files, out, ck, lambda b: b.select((F.col("wd") % C.N_PROJECTS).alias("project_id")),
+                         initial=True)  # projects that no event names are merged at start-up
     q.awaitTermination()
     return _big(RM.read_merged(spark, out), "section", "stmt_ord")
 
