@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,11 @@ class Pieces:
                 self.score[piece] = sp.get_score(i)
                 surfaces.append(piece.replace(MARK, " ").encode())
         self.text = {i: p for p, i in self.id.items()}
-        self.longest = max(map(len, self.id))
+        # the longest piece with each ending of three characters; pieces of one or two are always tried
+        self.reach: dict[str, int] = {}
+        for piece in self.id:
+            if len(piece) > 2:
+                self.reach[piece[-3:]] = max(len(piece), self.reach.get(piece[-3:], 0))
         self.apart = not any("\n" in p for p in self.id)  # then a line feed never joins a neighbour
         lens = np.fromiter(map(len, surfaces), np.int64, len(surfaces))
         self.surface, self.surface_len = np.frombuffer(b"".join(surfaces), np.uint8), lens
@@ -92,14 +97,14 @@ class Pieces:
                 ok = self.merged(t) == [t]
             else:
                 ok = self.merged(self.text[last] + t) == [self.text[last], t]
-            if len(self.agree) > 2_000_000:
+            if len(self.agree) > 1_000_000:
                 self.agree.clear()
             self.agree[last, piece] = ok
         return ok
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of marked words, given in any order; visited as a trie."""
-        ids, agree, agrees, longest = self.id, self.agree, self.agrees, self.longest
+        ids, agree, agrees, reach = self.id, self.agree, self.agrees, self.reach.get
         out: list[list[int]] = [[]] * len(words)
         # state of each prefix of the word at hand: last piece (-1 at the start, -2 behind a
         # character without a piece) and the length of that piece
@@ -111,7 +116,7 @@ class Pieces:
                 same += 1
             del last[same + 1:], size[same + 1:]
             for i in range(same + 1, len(word) + 1):
-                for a in range(max(0, i - longest), i):
+                for a in range(max(0, i - reach(word[i - 3:i], 2) if i > 2 else 0), i):
                     piece = ids.get(word[a:i])
                     if piece is not None:
                         p = last[a]
@@ -172,6 +177,13 @@ class Pieces:
         return raw.removeprefix(b" ").decode(errors="replace")
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> tuple[Pieces, UnitCodes]:
+    """The vocabulary and its word codes: a worker's tasks share them, both are bounded."""
+    pieces = Pieces(path)
+    return pieces, pieces.codes()
+
+
 def _marked(texts: list[bytes]) -> list[bytes]:
     """Texts with the mark that the model puts before each."""
     return [b" " + x if x else x for x in texts]
@@ -180,7 +192,7 @@ def _marked(texts: list[bytes]) -> list[bytes]:
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_tokens and ids of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Pieces(path).codes()
+        codes = _loaded(path)[1]
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 ids, n = codes.ids(_marked(bytes_of(part, "text")))
@@ -195,7 +207,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and the text of every list of ids (null: empty)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = _loaded(path)[0]
         for batch in batches:
             rows = batch.column("ids")
             texts = [pieces.decode(rows[k].values.to_numpy() if rows[k].is_valid else np.zeros(0, np.int64)) for k in range(len(rows))]
@@ -209,8 +221,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """For every text: n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit integers), and whether
     decoding gives the text back."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        codes = pieces.codes()
+        pieces, codes = _loaded(path)
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 texts = bytes_of(part, "text")
