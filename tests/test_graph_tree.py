@@ -104,3 +104,36 @@ def test_position_order(spark):
     r = dense_rank_within(df.withColumn("g", F.lit(0)), ["g"], [F.struct("row", "col")], "pos")
     got = [(x.row, x.col) for x in r.orderBy("pos").collect()]
     assert got == [(9, 99), (10, 5), (10, 6)]
+
+
+def test_located_refs_own_file_then_imports_then_exports(spark):
+    from tsfold.operators import imports as I
+
+    src = {
+        "a.ts": "export class Base {}\nclass Helper {}\nexport class A { b: Base; h: Helper; }\n",
+        "b.ts": "class Base {}\nclass Helper {}\nexport class B { b: Base; }\n",
+        "lib/index.ts": "export class Base {}\n",
+        "c.ts": "import { Base as Root } from './lib';\nimport { B } from 'elsewhere';\nexport class C { r: Root; b: B; }\n",
+        "d.ts": "export class D { a: A; h: Helper; }\n",
+    }
+    files = spark.createDataFrame([(1, p, k, t, len(t)) for k, (p, t) in enumerate(src.items())],
+                                  "project_id bigint, path string, file_ord bigint, content string, n_bytes bigint")
+    st = X.extract_facts(files)
+    refs = I.located_refs(st)
+    found = {(r.src_path, r.src, r.dst_path, r.dst) for r in refs.collect()}
+    assert found == {("a.ts", "A", "a.ts", "Base"), ("a.ts", "A", "a.ts", "Helper"), ("b.ts", "B", "b.ts", "Base"),
+                     ("c.ts", "C", "lib/index.ts", "Base"), ("d.ts", "D", "a.ts", "A")}
+    # the helper of b.ts is unused, however often other files use that name
+    dead = {(r.path, r.name) for r in I.dead_decls(X.declarations_from(st), refs).collect()}
+    assert dead == {("b.ts", "Helper")}
+    assert {(r.path, r.name, r.first_use_path) for r in I.usage_position(refs).collect()} == {
+        ("a.ts", "Base", "a.ts"), ("a.ts", "Helper", "a.ts"), ("b.ts", "Base", "b.ts"),
+        ("lib/index.ts", "Base", "c.ts"), ("a.ts", "A", "d.ts")}
+
+
+def test_affected_nodes_share_one_frontier(spark):
+    n = 6
+    e = spark.createDataFrame([(1, f"n{k}", f"n{k + 1}", "uses") for k in range(n)] + [(1, "n2", "n2", "uses"), (1, "x", "y", "uses")],
+                              "project_id bigint, src string, dst string, edge_kind string")
+    changed = spark.createDataFrame([(1, "n3"), (1, "n1")], "project_id bigint, node string")
+    assert sorted(r.node for r in G.affected(e, changed).collect()) == ["n0", "n1", "n2", "n3"]

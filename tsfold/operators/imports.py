@@ -74,35 +74,84 @@ def unused_imports(stmts: DataFrame) -> DataFrame:
     return imp.join(used, ["project_id", "path", "local_name"], "left_anti")
 
 
-def dead_decls(decls: DataFrame, edges: DataFrame) -> DataFrame:
-    """Declarations that are not exported and that no edge points to."""
-    targets = edges.select("project_id", F.col("dst").alias("name")).distinct()
-    return decls.where(~F.col("is_export")).join(targets, ["project_id", "name"], "left_anti")
-
-
-def cross_module_refs(edges: DataFrame, decls: DataFrame) -> DataFrame:
-    """Reference edges whose two declarations live in different files.
-    The declaration side is reduced to one (project, name) -> path row per
-    name (first by file order) before the two equi joins."""
-    loc = decls.groupBy("project_id", "name").agg(
-        F.min_by("path", F.struct("file_ord", "path", "stmt_ord")).alias("path")
+def _module_of(path: Column) -> Column:
+    """Path as an import names it: no source suffix, no closing ``/index``."""
+    return F.regexp_replace(F.regexp_replace(path, r"(\.d)?\.[cm]?[jt]sx?$", ""), r"/index$", "")
+
+
+def located_refs(stmts: DataFrame) -> DataFrame:
+    """B9 with identity: one row per referencing statement and declaration it
+    names, both given by (path, stmt_ord).
+
+    A name means the file's own declaration, else what the file imports under
+    it (from the module that the import's path names), else an export of the
+    project. A name imported from outside the project, as a whole module, or
+    through a re-export has no declaration here and gives no row.
+
+    Two joins, both with one row per key on the declaration side: the names
+    a file knows, then the declarations by place (file, module, or project).
+    AQE's skew join splits a popular name."""
+    own = stmts.where(F.col("name").isNotNull()).select(
+        "project_id", "path", "file_ord", "stmt_ord", "is_export", "name"
+    )
+    declared = own.groupBy("project_id", "path", F.col("name").alias("word")).agg(F.min("stmt_ord").alias("own_ord"))
+    imported = stmts.where(F.col("raw_type") == "import_statement").select(
+        "project_id", "path", "stmt_ord", "source_path", F.posexplode("import_names").alias("name_ord", "n")
+    ).where(F.col("n.local_name").isNotNull()).groupBy("project_id", "path", F.col("n.local_name").alias("word")).agg(
+        F.min_by(F.struct(F.col("n.imported_name").alias("name"), F.col("source_path").alias("source")),
+                 F.struct("stmt_ord", "name_ord")).alias("imp")
+    )
+    known = declared.join(imported, ["project_id", "path", "word"], "full_outer")
+
+    refs = stmts.where(F.col("name").isNotNull()).select(
+        "project_id", "path", "file_ord", "stmt_ord", F.col("name").alias("src"),
+        F.explode(X.L.identifiers(F.col("mcode"))).alias("word"),
+    ).where(F.col("src") != F.col("word"))
+    source = F.col("imp.source")
+    place = (
+        F.when(F.col("own_ord").isNotNull(), F.col("path"))
+        .when(F.col("imp").isNull(), F.lit(""))
+        .when(source.startswith(".") | source.startswith("/"),
+              F.concat(F.lit("module:"), _module_of(normalize_path(F.col("path"), source))))
     )
-    s = loc.select("project_id", F.col("name").alias("src"), F.col("path").alias("src_path"))
-    d = loc.select("project_id", F.col("name").alias("dst"), F.col("path").alias("dst_path"))
-    return edges.join(s, ["project_id", "src"]).join(d, ["project_id", "dst"]).where(
-        F.col("src_path") != F.col("dst_path")
-    ).select("project_id", "src_path", "src", "dst_path", "dst")
+    name = F.when(F.col("own_ord").isNull(), F.col("imp.name"))
+    refs = refs.join(known, ["project_id", "path", "word"], "left").select(
+        "project_id", F.col("path").alias("src_path"), "file_ord", F.col("stmt_ord").alias("src_stmt_ord"), "src",
+        place.alias("place"), F.coalesce(name, "word").alias("dst"),
+    ).where(F.col("place").isNotNull())
 
+    places = F.array(F.col("path"), F.concat(F.lit("module:"), _module_of(F.col("path"))),
+                     F.when(F.col("is_export"), F.lit("")))
+    targets = own.select("*", F.explode(places).alias("place")).where(F.col("place").isNotNull()).groupBy(
+        "project_id", "place", F.col("name").alias("dst")
+    ).agg(F.min_by(F.struct("path", "stmt_ord"), F.struct(~F.col("is_export"), "file_ord", "path", "stmt_ord")).alias("to"))
+    return refs.join(targets, ["project_id", "place", "dst"]).select(
+        "project_id", "src_path", "file_ord", "src_stmt_ord", "src",
+        F.col("to.path").alias("dst_path"), F.col("to.stmt_ord").alias("dst_stmt_ord"), "dst",
+    ).where((F.col("src_path") != F.col("dst_path")) | (F.col("src_stmt_ord") != F.col("dst_stmt_ord"))).distinct()
 
-def usage_position(edges: DataFrame, decls: DataFrame) -> DataFrame:
+
+def dead_decls(decls: DataFrame, refs: DataFrame) -> DataFrame:
+    """Declarations that are not exported and that no located reference
+    points to."""
+    targets = refs.select("project_id", F.col("dst_path").alias("path"), F.col("dst").alias("name")).distinct()
+    return decls.where(~F.col("is_export")).join(targets, ["project_id", "path", "name"], "left_anti")
+
+
+def cross_module_refs(refs: DataFrame) -> DataFrame:
+    """Located references whose two declarations live in different files."""
+    return refs.where(F.col("src_path") != F.col("dst_path")).select(
+        "project_id", "src_path", "src", "dst_path", "dst").distinct()
+
+
+def usage_position(refs: DataFrame) -> DataFrame:
     """For each referenced declaration, the first statement (by file
     order) that references it -- where usage-based placement would put it."""
-    users = decls.select("project_id", F.col("name").alias("src"), "path", "file_ord", "stmt_ord")
-    e = edges.join(users, ["project_id", "src"])
-    first = F.min_by(F.struct("path", "stmt_ord"), F.struct("file_ord", "path", "stmt_ord"))
-    return e.groupBy("project_id", F.col("dst").alias("name")).agg(first.alias("x")).select(
-        "project_id", "name", F.col("x.path").alias("first_use_path"), F.col("x.stmt_ord").alias("first_use_stmt_ord")
-    )
+    first = F.min_by(F.struct(F.col("src_path").alias("path"), F.col("src_stmt_ord").alias("stmt_ord")),
+                     F.struct("file_ord", "src_path", "src_stmt_ord"))
+    return refs.groupBy("project_id", F.col("dst_path").alias("path"), F.col("dst").alias("name")).agg(
+        first.alias("x")).select("project_id", "path", "name", F.col("x.path").alias("first_use_path"),
+                                 F.col("x.stmt_ord").alias("first_use_stmt_ord"))
 
 
 def namespace_merge(stmts: DataFrame) -> DataFrame:

@@ -446,22 +446,35 @@ def q_unused_imports(spark, sf):
 def q_dead_decls(spark, sf):
     st = _facts(spark, sf, _both)
     decls = X.declarations_from(st)
-    return _big(I.dead_decls(decls, X.ref_edges_from(st, decls)).select("project_id", "path", "stmt_ord", "name"),
-                "stmt_ord")
+    return _big(I.dead_decls(decls, I.located_refs(st)).select("project_id", "path", "stmt_ord", "name"), "stmt_ord")
+
+
+LOCATED = ["project_id", "src_path", "src_stmt_ord", "src", "dst_path", "dst_stmt_ord", "dst"]
+
+
+@query("located_refs")
+def q_located_refs(spark, sf):
+    """B9 with identity on files whose namespaces and members share names."""
+    refs = I.located_refs(_facts(spark, sf, C.ts_customers))
+    return _big(refs.select(*LOCATED), "src_stmt_ord", "dst_stmt_ord")
+
+
+@query("usage_position_shared")
+def q_usage_position_shared(spark, sf):
+    """G3 where projects declare one name in many files."""
+    u = I.usage_position(I.located_refs(_facts(spark, sf, C.ts_customers)))
+    return _big(u, "first_use_stmt_ord")
 
 
 @query("cross_module_refs")
 def q_cross_module_refs(spark, sf):
-    st = _facts(spark, sf, C.ts_corpus)
-    decls = X.declarations_from(st)
-    return I.cross_module_refs(X.ref_edges_from(st, decls), decls)
+    return I.cross_module_refs(I.located_refs(_facts(spark, sf, C.ts_corpus)))
 
 
 @query("usage_position")
 def q_usage_position(spark, sf):
-    st = _facts(spark, sf, C.ts_corpus)
-    decls = X.declarations_from(st)
-    return _big(I.usage_position(X.ref_edges_from(st, decls), decls), "first_use_stmt_ord")
+    u = I.usage_position(I.located_refs(_facts(spark, sf, C.ts_corpus)))
+    return _big(u.drop("path"), "first_use_stmt_ord")
 
 
 @query("namespace_merge")

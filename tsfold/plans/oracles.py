@@ -552,6 +552,18 @@ SELECT DISTINCT project_id, path AS src_path, 'order' || {v('k')} AS src,
        'src/part/' || {v('pk')} || '.ts' AS dst_path, 'Part' || {v('pk')} AS dst
 FROM lim WHERE pk % 16 = k % 16"""
 
+ORACLES["located_refs"] = f"""
+WITH {CUST}
+SELECT project_id, path AS src_path, CAST(4 AS BIGINT) AS src_stmt_ord, 'Account' || {v('c')} AS src,
+       path AS dst_path, CAST(3 AS BIGINT) AS dst_stmt_ord, 'Base' || {v('c')} AS dst FROM cu
+UNION ALL
+SELECT project_id, path, 5, grp, path, 3, 'Base' || {v('c')} FROM cu"""
+
+ORACLES["usage_position_shared"] = f"""
+WITH {CUST}
+SELECT project_id, path, 'Base' || {v('c')} AS name, path AS first_use_path, CAST(4 AS BIGINT) AS first_use_stmt_ord
+FROM cu"""
+
 ORACLES["usage_position"] = f"""
 WITH {LI}
 SELECT project_id, 'Part' || {v('pk')} AS name, 'src/order/' || {v('min(k)')} || '.ts' AS first_use_path,
