@@ -13,8 +13,15 @@ two sets of similarity s meet there with probability s. In a node
   components that this has left, all pairs between components are compared,
 * a larger node is branched: each class goes on to the nodes of 4 / 3 further
   minwise tokens on average. A pair at the threshold then meets once more on
-  average, less similar groups die out, and the independent trees make up for
-  paths that end (0.25 ** 12 of the pairs at the threshold miss all first nodes).
+  average and less similar groups die out.
+
+A path may end, the more likely the deeper it goes, so the number of trees
+follows the depth: a class that was branched d times in an unsettled node gets
+``trees_for(d)`` trees, as many as it takes that a pair at the threshold is
+apart in all of them with a probability of at most ``MISS`` (12 trees up to two
+branchings, 28 for ten, 38 for fifteen). The further trees come in rounds of ``ROUND``, each with
+minwise values of its own, until no class has gone deeper than its trees allow
+for. No value of a round is used twice, and a tree that uses its share up gets new ones.
 
 Nodes whose classes have all been linked into one component are settled: no
 further comparison there can change the result. That ends the work on large
@@ -34,6 +41,7 @@ table gives an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +58,8 @@ SKETCH = 512
 MATCHES = 352
 TREES = 12
 SMALL = 2000
+MISS = 5e-4
+ROUND = 24
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = mix(np.arange(1, TREES * 4 + SKETCH + WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -89,10 +99,26 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, trees: int) -> DataFrame:
-    """id, n_shingles, digest of the set, first tokens and sketch of every row."""
+def apart(branchings: int) -> float:
+    """Probability that a pair at the threshold is not together in a tree's nodes after so many branchings."""
+    lost = 0.0
+    for _ in range(branchings):
+        stay = 0.25 + 0.75 * lost  # of one token: not shared, or shared and lost later
+        lost = (2 * stay + stay ** 2) / 3
+    return 1 - 0.75 * (1 - lost)
+
+
+def trees_for(branchings: int) -> int:
+    """Trees after which a pair at the threshold is apart in all with a probability of at most ``MISS``."""
+    return max(TREES, math.ceil(math.log(MISS) / math.log(apart(branchings))))
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, trees: int, family: int = 0) -> DataFrame:
+    """id, n_shingles, digest of the set, first tokens and sketch of every row; each family has minwise values of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _ODD[:trees + SKETCH, None]
+        if family:
+            odd = (mix(np.arange(trees + SKETCH, dtype=np.uint64) + np.uint64(family << 32)) | np.uint64(1))[:, None]
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 sizes, digests, tokens, sketches = [], [], [], []
@@ -250,17 +276,24 @@ def _star(rows: DataFrame) -> DataFrame:
     return rows.join(first, "node").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
+def _branch(rows: DataFrame, first: int, share: int) -> DataFrame:
     """Rows of the next level: every class goes to the node of a further minwise token, and in one of three
-    nodes to that of a second one. At the threshold 4 / 3 * 0.75 = 1 meeting goes on; less similar groups die out."""
+    nodes to that of a second one. At the threshold 4 / 3 * 0.75 = 1 meeting goes on; less similar groups die out.
+    The two tokens lie at ``first`` in each tree's ``share`` of the sketch."""
     def token(which: int):
-        place = f"int(pmod(tree * 11 + {2 * level + which}, {SKETCH}))"
+        place = f"int(pmod(tree * {share} + {first + which}, {SKETCH}))"
         return F.expr(f"xxhash64(node, {place}, substring(sketch, {place} + 1, 1))")
 
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3)) == 0, token(1)).otherwise(token(0))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(first)), F.lit(3)) == 0, token(1)).otherwise(token(0))
     return rows.select("tree", F.explode(F.array_distinct(F.array(token(0), second))).alias("node"), "cid", "n", "sketch")
 
 
+def _roots(classes: DataFrame, family: int) -> DataFrame:
+    """Rows of the first level: every class in the nodes of its first tokens."""
+    return classes.select("cid", "n", "sketch", F.posexplode("tokens").alias("tree", "token")).select(
+        "tree", F.xxhash64(F.lit(family), "tree", "token").alias("node"), "cid", "n", "sketch")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100,
                     trees: int = TREES, small: int = SMALL) -> DataFrame:
     """One row for each row of ``df``: id, n_shingles, component_id, kept."""
@@ -268,8 +301,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = _stored(sig.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("cid"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")),
         "near-classes")
-    rows = reps.select("cid", F.posexplode("tokens").alias("tree", "token")).select(
-        "tree", F.xxhash64("tree", "token").alias("node"), "cid")
+    rows = _roots(reps, 0).select("tree", "node", "cid")
     pairs = _stored(likely(_star(rows), reps, num, den), "near-pairs")
     texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("string").alias("text"))
     met = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
@@ -292,22 +324,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = components(links)
         return True
 
-    level = 0
-    while not open_rows.isEmpty():
-        last = 2 * level + 2 > SKETCH  # all tokens of the sketch are used up: no more branching
-        few = open_rows if last else open_rows.filter(F.col("size") <= small)
-        many = open_rows.filter(F.col("size") > small)
-        deeper = not last and not many.isEmpty()
-        found = _close_pairs(few, num, den, True)
-        if deeper:
-            children = _stored(_branch(many, level), "near-children")
-            found = found.unionByName(likely(_star(children), reps, num, den)).distinct()
-        if link(found):
-            link(_close_pairs(_unsettled(few.drop("label", "size"), labels).filter(F.lit(last) | (F.col("size") <= small)), num, den, False))
-        if not deeper:
+    families = 1
+    branched: list[DataFrame] = []  # (cid, depth) of the classes of unsettled large nodes
+
+    def anew(cids: DataFrame) -> DataFrame:
+        """cid, n, first tokens and sketch of classes, from minwise values not used before."""
+        nonlocal families
+        sign = signatures(texts.join(cids, "cid", "left_semi"), "cid", "text", ROUND, families).filter("digest IS NOT NULL")
+        families += 1
+        sign = sign.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+        return _stored(reps.select("cid", "n", "digest").join(cids, "cid", "left_semi").join(sign, "digest").drop("digest"), "near-classes")
+
+    def descend(open_rows: DataFrame, width: int) -> None:
+        """Compare small nodes of ``width`` trees and branch large ones until no node is large and unsettled."""
+        level, share = 0, max(2, SKETCH // width // 2 * 2)
+        while not open_rows.isEmpty():
+            few, many = open_rows.filter(F.col("size") <= small), open_rows.filter(F.col("size") > small)
+            deeper = not many.isEmpty()
+            found = _close_pairs(few, num, den, True)
+            if deeper:
+                gone = _stored(many.select("cid", F.lit(level + 1).alias("depth")).distinct(), "near-branched")
+                branched.append(gone)
+                first = 2 * level % share
+                if level and not first:  # the tree has used up its share of the sketch
+                    many = many.drop("sketch").join(anew(gone.select("cid")).select("cid", "sketch"), "cid")
+                children = _stored(_branch(many, first, share), "near-children")
+                found = found.unionByName(likely(_star(children), reps, num, den)).distinct()
+            if link(found):
+                link(_close_pairs(_unsettled(few.drop("label", "size"), labels).filter(F.col("size") <= small), num, den, False))
+            if not deeper:
+                break
+            open_rows = _stored(_unsettled(children, labels), "near-open")
+            level += 1
+
+    descend(open_rows, trees)
+    done, allows = trees, -1  # trees so far, and the depth they are enough for
+    if done < trees_for(0):
+        branched.append(reps.select("cid", F.lit(0).alias("depth")))
+    while branched:
+        while trees_for(allows + 1) <= done:
+            allows += 1
+        past = branched[0]
+        for more in branched[1:]:
+            past = past.unionByName(more)
+        past = _stored(past.groupBy("cid").agg(F.max("depth").alias("depth")).filter(F.col("depth") > allows), "near-branched")
+        deepest = past.agg(F.max("depth")).first()[0]
+        if deepest is None:
             break
-        open_rows = _stored(_unsettled(children, labels), "near-open")
-        level += 1
+        branched[:] = [past]
+        need = F.element_at(F.array(*(F.lit(trees_for(d)) for d in range(deepest + 1))), F.col("depth") + 1)
+        rows = _roots(anew(past.select("cid")), families).join(past, "cid").filter(F.col("tree") + done < need).drop("depth")
+        rows = _stored(_unsettled(rows, labels).drop("label", "size"), "near-open")
+        link(likely(_star(rows), reps, num, den))
+        descend(_stored(_unsettled(rows, labels), "near-open"), ROUND)
+        done += ROUND
     named = reps.select("digest", "cid").join(labels, "cid", "left").select("digest", F.coalesce("label", "cid").alias("label"))
     component = F.coalesce("label", F.when(F.col("digest").isNull(), F.col("id")))
     return sig.select("id", "n", "digest").join(named, "digest", "left").select(
