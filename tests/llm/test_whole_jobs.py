@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tsfold.llm import near_dup
+from tsfold.llm import near_dup, pii
 
 
 def test_near_duplicates_adds_trees_for_deep_nodes(spark):
@@ -22,3 +22,23 @@ def test_near_duplicates_adds_trees_for_deep_nodes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dup.near_duplicates(docs, trees=1, small=40).collect()  # one tree loses a quarter of the pairs
     assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_pii_finds_whole_account_numbers_and_secrets():
+    anchors = pii.automaton()
+
+    def found(text):
+        return [text[a:b] for k, a, b in pii.find_spans(text, anchors) if pii.KINDS[k] in ("iban", "secret")]
+
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    assert found(f"IBAN {de} BIC COBADEFF") == [de]
+    assert found("IBAN DE89370400440532013000 2024 paid") == ["DE89370400440532013000"]
+    assert found(f"IBAN {gb}, {de}; {'x ' * 60}{gb} end IBAN{gb}") == [gb, de, gb, gb]
+    assert found("DE89370400440532013001 XDE89370400440532013000 DE893704004405320130001") == []
+    assert found("password=abcdef1!secondhalf on") == ["abcdef1!secondhalf"]
+    assert found("password=p@ssw0rd!x") == ["p@ssw0rd!x"]
+    assert found('{"password": "two words", \'token\'   :   \'it\\\'s me\'}') == ["two words", "it\\'s me"]
+    assert found('{\\"secret\\":\\"abcdef12\\",x') == ["abcdef12"]
+    assert found('password="abc", user="bob", "token": ""') == []
+    assert found('password="neverclosed on') == ["neverclosed"]
+    assert found("password=token=" * 20000) == [("password=token=" * 20000)[9:]]

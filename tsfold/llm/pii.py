@@ -13,8 +13,9 @@ leftmost non-overlapping matches of their patterns:
 
 A match that fails its check is dropped and the search goes on behind it.
 Further kinds: ``url`` (an address behind its scheme), ``iban`` (country code,
-check digits, remainder 1 of 97), ``secret`` (the value behind a cue such as
-``password=``, and access key ids).
+check digits, the country's length, remainder 1 of 97; wherever it stands),
+``secret`` (the value behind a cue such as ``password=`` or ``"password":``, up to
+its closing quote or white space, and access key ids).
 
 Edge cases: a null text counts as empty and has no spans; rows are kept as they
 are (repeated or null ids); texts are scanned whole; positions are code points,
@@ -43,13 +44,23 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _url = re.compile(r"[^\s\"'<>\\^`{|}]+").match
 _host = re.compile(r"(?:[^\s/@]*@)?(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|localhost|\[[0-9A-Fa-f:]+\])").match
-_iban = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])").search
-_value = re.compile(r"[ \t]{0,2}[=:][ \t]{0,2}[\"']?([A-Za-z0-9_/+.~-]{6,})").match
+_value = re.compile(r"\\?[\"']?[ \t]*[=:][ \t]*(?:(\\?[\"'])((?:(?!\1)(?:\\.|[^\n\\])){6,})\1"
+                    r"|\\?[\"']([^\s\"']{6,})(?!\S)|(?!\\?[\"'])(\S{6,}))").match
 _key_id = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])").match
 
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://")
 CUES = ("password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key", "token")
-IBAN_CUES = ("IBAN", "Iban", "iban")
+#: Length of an account number by country.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE,BI 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,DZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+    "25:AO,CV,GW,LY,MZ,PT,ST 26:IR,IS,TR 27:BF,CF,CG,CM,DJ,FR,GA,GQ,GR,IT,KM,MC,MG,MR,SM,TD "
+    "28:AL,AZ,BJ,BY,CI,CY,DO,GT,HN,HU,LB,MA,ML,NE,NI,PL,SN,SV,TG 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for c in cs.split(",")}
+
+
+_UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _D)
+_IBANS = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])").match for n in set(IBAN_LENGTHS.values())}
 
 
 def _luhn(digits: str) -> bool:
@@ -62,7 +73,7 @@ def _luhn(digits: str) -> bool:
 
 def _iban_ok(value: str) -> bool:
     s = value.replace(" ", "")
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def automaton():
@@ -76,7 +87,7 @@ def automaton():
     words |= {d + s + e: "card" for d in _D for s in ("", " ", "-") for e in _D}
     words |= {form: "url" for s in SCHEMES for form in (s, s.upper())}
     words |= {form: "secret" for c in CUES for form in (c, c.upper(), c.capitalize())}
-    words |= {w: "iban" for w in IBAN_CUES} | {"AKIA": "key"}
+    words |= {c + d: "iban" for c in IBAN_LENGTHS for d in _D} | {"AKIA": "key"}
     for w, kind in words.items():
         a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -132,14 +143,18 @@ def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
             found.append((4, at, stop))
             end[4] = stop
         elif anchor == "iban":
-            m = _iban(text, at + width, at + width + 60)
-            if m and m.start() >= end[5] and _iban_ok(m.group()):
-                found.append((5, m.start(), m.end()))
+            if at < end[5] or at and text[at - 1] in _UPPER and text[max(at - 4, 0):at] != "IBAN":
+                continue
+            m = _IBANS[IBAN_LENGTHS[text[at:at + 2]]](text, at)
+            if m and _iban_ok(m.group()):
+                found.append((5, at, m.end()))
                 end[5] = m.end()
         else:
+            if at + width < end[6]:
+                continue
             m = _key_id(text, at) if anchor == "key" else _value(text, at + width)
             if m:
-                start, stop = m.span() if anchor == "key" else m.span(1)
+                start, stop = m.span() if anchor == "key" else m.span(m.lastindex)
                 while text[stop - 1] == ".":
                     stop -= 1
                 if start >= end[6] and stop - start >= 6:
