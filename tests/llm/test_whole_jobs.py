@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tsfold.llm import near_dup, pii
+from tsfold.llm import near_dup, pii, warc
 
 
 def test_near_duplicates_adds_trees_for_deep_nodes(spark):
@@ -42,3 +42,12 @@ def test_pii_finds_whole_account_numbers_and_secrets():
     assert found('password="abc", user="bob", "token": ""') == []
     assert found('password="neverclosed on') == ["neverclosed"]
     assert found("password=token=" * 20000) == [("password=token=" * 20000)[9:]]
+
+
+def test_warc_keeps_the_text_of_pages_with_an_open_head():
+    assert warc.plain_text("<html><head><title>x</title><body><p>all of the text</p>") == "all of the text"
+    assert warc.plain_text("<head><meta a=1><script>'<body>'</script><title>x</title><h1>One</h1>two") == "One\ntwo"
+    assert warc.plain_text("<head><title>x</title>bare text") == "bare text"
+    assert warc.plain_text("<head><script>'</head>'</script><title>x</title></head><body>a<noscript>b</noscript>c") == "a c"
+    assert warc.plain_text("<body>a<noscript>b<p>c</p><template>d<div>e</div></template>f") == "a\nc\nf"
+    assert warc.plain_text("<body>a<!-- b <p>c") == "a" == warc.plain_text("<body>a<script>b <p>c")

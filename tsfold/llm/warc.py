@@ -36,8 +36,15 @@ from tsfold.llm.common import byte_slices, texts_of
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _BLOCK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|section|article|nav|header|footer|blockquote|pre|form|main|aside)|br|hr)\b[^>]*>", re.I)
+#: Comments, scripts and styles run to the end of the page if nothing ends them.
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: Other hidden elements: closed ones are hidden whole; an unclosed head ends where something else than its own
+#: elements begins, an unclosed noscript or template at the body or the next block.
+_HIDDEN = re.compile(r"<head\b(?:[^<]++|<(?!/?head\b|/?body\b))*+</head\s*>"
+                     r"|<head\b[^>]*>(?:\s+|<title\b[^>]*>[^<]*(?:</title\s*>)?|<(?:meta|link|base)\b[^>]*>)*"
+                     r"|<(noscript|template)\b(?:[^<]++|<(?!/?\1\b))*+</\1\s*>"
+                     rf"|<(?:noscript|template)\b[^>]*>(?:(?:[^<]++|<(?!body\b|{_BLOCK.pattern[1:]}))*+(?=<))?", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
@@ -57,7 +64,7 @@ def record_id(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text of a page: one line for each block, white space folded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _BLANK.sub(" ", _HIDDEN.sub(" ", page))))
+    text = _TAG.sub("", _BLOCK.sub("\n", _BLANK.sub(" ", _HIDDEN.sub(" ", _UNSEEN.sub(" ", page)))))
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text).replace("\r", " "))).strip()
 
 
