@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import REPORT_TS, files_df
+from ts_sources import REPORT_TS, files_df
 from tsfold.functions.kinds import RAW_TYPE_TO_KIND, classify_kind
 from tsfold.operators import extract as X
 

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import files_df
+from ts_sources import files_df
 from tsfold.operators import extract as X
 from tsfold.operators import imports as I
 from tsfold.operators import merge as M
