@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import zlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from tsfold.llm import near_dup, pii, warc
+from tsfold.llm import near_dup, pii, toxicity, warc
 
 
 def test_near_duplicates_adds_trees_for_deep_nodes(spark):
@@ -51,3 +54,56 @@ def test_warc_keeps_the_text_of_pages_with_an_open_head():
     assert warc.plain_text("<head><script>'</head>'</script><title>x</title></head><body>a<noscript>b</noscript>c") == "a c"
     assert warc.plain_text("<body>a<noscript>b<p>c</p><template>d<div>e</div></template>f") == "a\nc\nf"
     assert warc.plain_text("<body>a<!-- b <p>c") == "a" == warc.plain_text("<body>a<script>b <p>c")
+
+
+def test_each_text_of_a_repeated_id_is_judged_alone(spark):
+    a, b = "one two three four five six", "nothing like it at all here"
+    schema = "doc_id long, text string, extra int"
+
+    def kept(rows):
+        got = near_dup.keep_one(spark.createDataFrame([(i, t, 1) for i, t in rows], schema))
+        assert got.schema.simpleString() == "struct<doc_id:bigint,text:string,extra:int>"
+        return sorted((r.doc_id or -1, r.text or "") for r in got.collect())
+
+    assert kept([(3, a), (5, a), (5, b), (9, b)]) == [(3, a), (5, b)]
+    assert kept([(5, a), (5, b), (7, a), (5, b)]) == [(5, b), (5, a)]
+    assert kept([(None, a), (5, a), (None, b), (1, None), (2, "")]) == [(-1, b), (1, ""), (2, ""), (5, a)]
+    assert kept([]) == []
+    near = a + " seven eight nine ten " + b
+    rows = [(2, near + " x"), (5, near), (5, "quite another text of some words"), (6, near)]
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, t, 1) for i, t in rows], schema)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(2, 2, True), (5, 2, False), (5, 5, True), (6, 2, False)]
+
+
+def test_near_duplicates_at_other_thresholds(spark):
+    assert near_dup.least_matches(0.75) == 352
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:52] + ["x"] + base[53:])), (3, " ".join(base[:20] + ["y"] + base[21:70] + ["z", "z"] + base[72:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    def groups(num):
+        return [r.component_id for r in near_dup.near_duplicates(docs, num=num).orderBy("doc_id").collect()]
+    assert groups(75) == [1, 1, 1] and groups(85) == [1, 1, 3] and groups(95) == [1, 2, 3]
+
+
+def test_toxicity_without_rows_to_learn_from(spark):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    ids = [r[0] for r in spark.range(400).filter(toxicity.held_out(F.col("id"))).limit(4).collect()]
+    for some in (ids, [None, None], []):
+        docs = spark.createDataFrame([(i, "any text") for i in some], "doc_id long, text string")
+        model = toxicity.train(docs, labels)
+        scores = [r.score for r in toxicity.score(docs, model).collect()]
+        assert len(scores) == len(some) and all(0 < s < 0.5 for s in scores)
+        assert toxicity.keep_clean(docs, model).count() == len(some)
+
+
+def test_toxicity_learns_from_one_text_of_a_repeated_id(spark):
+    rows = [(i, f"calm words number {i}") for i in range(200)] + [(4, f"vile {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (4, 8, 12))) for i in range(0, 40, 4)], "doc_id long, toxic int")
+    scores = [r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()]
+    assert len(scores) == 500 and all(0 <= s <= 1 for s in scores)
+
+
+def test_toxicity_held_out_rows(spark):
+    got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "i long").select("i", toxicity.held_out(F.col("i")).alias("h")).collect()
+    assert all(r.h == (r.i is not None and zlib.crc32(str(r.i).encode()) % 3 == 1) for r in got)

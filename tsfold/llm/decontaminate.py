@@ -32,7 +32,7 @@ from tsfold.llm.common import byte_slices, bytes_of, ranges
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 

@@ -11,7 +11,7 @@ two sets of similarity s meet there with probability s. In a node
 * in a node of at most ``small`` classes, which one task holds, every class is
   compared with the most similar one of another component, and then, with the
   components that this has left, all pairs between components are compared,
-* a larger node is branched: each class goes on to the nodes of 4 / 3 further
+* a larger node is branched: each class goes on to the nodes of 4 / 3 (one by the threshold) further
   minwise tokens on average. A pair at the threshold then meets once more on
   average and less similar groups die out.
 
@@ -28,7 +28,7 @@ further comparison there can change the result. That ends the work on large
 groups of near copies, whose members no token separates, without a cap.
 
 A comparison first looks at the sketches (a pair at the threshold has fewer
-than ``MATCHES`` of 512 equal values once in about 2,000 cases), then confirms
+than ``least_matches`` of 512 equal values once in about 2,000 cases), then confirms
 on the full sets, rebuilt from the texts.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with
@@ -55,7 +55,6 @@ from tsfold.session import scratch_path
 
 WORDS = 5
 SKETCH = 512
-MATCHES = 352
 TREES = 12
 SMALL = 2000
 MISS = 5e-4
@@ -99,22 +98,30 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def apart(branchings: int) -> float:
-    """Probability that a pair at the threshold is not together in a tree's nodes after so many branchings."""
-    lost = 0.0
+def least_matches(s: float) -> int:
+    """Equal sketch values that a pair of similarity ``s`` reaches but once in about 2,000 cases."""
+    p = s + (1 - s) / 256
+    return math.floor(SKETCH * p - 3.32 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def apart(branchings: int, s: float = 0.75) -> float:
+    """Probability that a pair of similarity ``s``, the threshold, is not together in a tree's nodes after so many branchings."""
+    lost, second = 0.0, 1 / s - 1
     for _ in range(branchings):
-        stay = 0.25 + 0.75 * lost  # of one token: not shared, or shared and lost later
-        lost = (2 * stay + stay ** 2) / 3
-    return 1 - 0.75 * (1 - lost)
+        stay = 1 - s + s * lost  # of one token: not shared, or shared and lost later
+        lost = (1 - second) * stay + second * stay ** 2
+    return 1 - s * (1 - lost)
 
 
-def trees_for(branchings: int) -> int:
+def trees_for(branchings: int, s: float = 0.75) -> int:
     """Trees after which a pair at the threshold is apart in all with a probability of at most ``MISS``."""
-    return max(TREES, math.ceil(math.log(MISS) / math.log(apart(branchings))))
+    lost = apart(branchings, s)
+    return max(TREES, math.ceil(math.log(MISS) / math.log(lost))) if lost > 0 else TREES
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, trees: int, family: int = 0) -> DataFrame:
-    """id, n_shingles, digest of the set, first tokens and sketch of every row; each family has minwise values of its own."""
+    """id, hash of the text, n_shingles, digest of the set, first tokens and sketch of every row; each family has minwise
+    values of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _ODD[:trees + SKETCH, None]
         if family:
@@ -135,12 +142,18 @@ def signatures(df: DataFrame, id_col: str, text_col: str, trees: int, family: in
                         np.minimum(low, (s[None, k:k + 512] * odd).min(axis=1), out=low)
                     tokens.append(low[:trees].view(np.int64))
                     sketches.append((mix(low[trees:]) >> np.uint64(56)).astype(np.uint8).tobytes())
-                yield pa.record_batch([part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                yield pa.record_batch([part.column("id"), part.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                        pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                      names=["id", "n", "digest", "tokens", "sketch"])
+                                      names=["id", "th", "n", "digest", "tokens", "sketch"])
+
+    return _texts(df, id_col, text_col).mapInArrow(
+        run, "id long, th long, n long, digest binary, tokens array<long>, sketch binary")
 
-    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n long, digest binary, tokens array<long>, sketch binary")
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, hash of the text (which tells apart the texts of a repeated id) and text."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _sketch_rows(column) -> np.ndarray:
@@ -155,12 +168,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the threshold and whose sketches agree in ``MATCHES`` values."""
+    """The pairs (a, b) whose sizes allow the threshold and whose sketches agree in enough values."""
+    enough = least_matches(num / den)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 same = (_sketch_rows(batch.column("sa").to_pylist()) == _sketch_rows(batch.column("sb").to_pylist())).sum(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(same >= MATCHES))
+                yield batch.select(["a", "b"]).filter(pa.array(same >= enough))
 
     side = reps.select("cid", "n", "sketch")
     both = (pairs.join(side.toDF("b", "nb", "sb"), "b").join(side.toDF("a", "na", "sa"), "a")
@@ -216,6 +231,8 @@ def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     node is wide enough for. A node cut by the end of a batch waits for the next.
     A pair that shares several of these nodes is reported in the smallest alone.
     """
+    enough = least_matches(num / den)
+
     def close(node, cid, label, n, sketch, homes) -> tuple[np.ndarray, np.ndarray]:
         stop = np.searchsorted(node, node, side="right")
         left, a, b = stop - np.arange(len(node)), [], []
@@ -226,7 +243,7 @@ def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
             i, j = i[ok], j[ok]
             same = (sketch[i] == sketch[j]).sum(axis=1)
-            ok = same >= MATCHES
+            ok = same >= enough
             i, j, same = i[ok], j[ok], same[ok]
             if best:
                 for x, y in ((i, j), (j, i)):  # an index occurs once in each
@@ -276,15 +293,15 @@ def _star(rows: DataFrame) -> DataFrame:
     return rows.join(first, "node").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
 
 
-def _branch(rows: DataFrame, first: int, share: int) -> DataFrame:
-    """Rows of the next level: every class goes to the node of a further minwise token, and in one of three
-    nodes to that of a second one. At the threshold 4 / 3 * 0.75 = 1 meeting goes on; less similar groups die out.
-    The two tokens lie at ``first`` in each tree's ``share`` of the sketch."""
+def _branch(rows: DataFrame, first: int, share: int, num: int, den: int) -> DataFrame:
+    """Rows of the next level: every class goes to the node of a further minwise token, and in a share of
+    den / num - 1 of the nodes to that of a second one. At the threshold one meeting goes on; less similar groups
+    die out. The two tokens lie at ``first`` in each tree's ``share`` of the sketch."""
     def token(which: int):
         place = f"int(pmod(tree * {share} + {first + which}, {SKETCH}))"
         return F.expr(f"xxhash64(node, {place}, substring(sketch, {place} + 1, 1))")
 
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(first)), F.lit(3)) == 0, token(1)).otherwise(token(0))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(first)), F.lit(num)) < den - num, token(1)).otherwise(token(0))
     return rows.select("tree", F.explode(F.array_distinct(F.array(token(0), second))).alias("node"), "cid", "n", "sketch")
 
 
@@ -294,35 +311,48 @@ def _roots(classes: DataFrame, family: int) -> DataFrame:
         "tree", F.xxhash64(F.lit(family), "tree", "token").alias("node"), "cid", "n", "sketch")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100,
-                    trees: int = TREES, small: int = SMALL) -> DataFrame:
-    """One row for each row of ``df``: id, n_shingles, component_id, kept."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, num: int, den: int, trees: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The stored signatures of all rows; digest, component (its smallest id) and the row (id, text hash) that stands
+    for the component, of every class; and the (id, text hash) that occur more than once, if there are any."""
+    s = num / den
+    if not 0.5 <= s <= 1:
+        raise ValueError("num / den must lie between 0.5 and 1")
     sig = _stored(signatures(df, id_col, text_col, trees), "near-signatures")
     reps = _stored(sig.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(
-        F.min("id").alias("cid"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")),
-        "near-classes")
+        F.min(F.struct("id", "th")).alias("own"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
+        F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    again: DataFrame | None = _stored(sig.filter("id IS NOT NULL").groupBy("id", "th").count().filter("count > 1").select("id", "th"), "near-again")
+    again = None if again.isEmpty() else again
     rows = _roots(reps, 0).select("tree", "node", "cid")
     pairs = _stored(likely(_star(rows), reps, num, den), "near-pairs")
-    texts = df.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("string").alias("text"))
+    place = reps.select("cid", F.col("own.id").alias("id"), F.col("own.th").alias("th"))
+    texts = _texts(df, id_col, text_col)
+
+    def texts_of(cids: DataFrame) -> DataFrame:
+        """cid and text of the given classes."""
+        found = texts.join(place.join(cids, "cid", "left_semi"), ["id", "th"])
+        if again is not None:
+            found = found.groupBy("id", "th", "cid").agg(F.min("text").alias("text"))
+        return found.select("cid", "text")
+
     met = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    links = _stored(confirmed(pairs, _stored(texts.join(met, "cid", "left_semi"), "near-texts"), num, den), "near-links")
+    links = _stored(confirmed(pairs, _stored(texts_of(met), "near-texts"), num, den), "near-links")
     labels = components(links)
     open_rows = _stored(_unsettled(rows, labels).join(reps.select("cid", "n", "sketch"), "cid"), "near-open")
     seen = pairs
 
-    def link(found: DataFrame) -> bool:
-        """Confirm pairs not looked at before and renew the components; whether there were any."""
+    def link(found: DataFrame) -> None:
+        """Confirm pairs not looked at before and renew the components."""
         nonlocal links, labels, seen
         found = _stored(found.join(seen, ["a", "b"], "left_anti"), "near-pairs")
         if found.isEmpty():
-            return False
+            return
         met = found.select(F.col("a").alias("cid")).union(found.select("b")).distinct()
-        fresh = _stored(confirmed(found, texts.join(met, "cid", "left_semi"), num, den), "near-links")
+        fresh = _stored(confirmed(found, _stored(texts_of(met), "near-texts"), num, den), "near-links")
         seen = seen.unionByName(found)
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             labels = components(links)
-        return True
 
     families = 1
     branched: list[DataFrame] = []  # (cid, depth) of the classes of unsettled large nodes
@@ -330,10 +360,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def anew(cids: DataFrame) -> DataFrame:
         """cid, n, first tokens and sketch of classes, from minwise values not used before."""
         nonlocal families
-        sign = signatures(texts.join(cids, "cid", "left_semi"), "cid", "text", ROUND, families).filter("digest IS NOT NULL")
+        sign = signatures(texts_of(cids), "cid", "text", ROUND, families).select(F.col("id").alias("cid"), "n", "tokens", "sketch")
         families += 1
-        sign = sign.groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-        return _stored(reps.select("cid", "n", "digest").join(cids, "cid", "left_semi").join(sign, "digest").drop("digest"), "near-classes")
+        return _stored(sign, "near-classes")
 
     def descend(open_rows: DataFrame, width: int) -> None:
         """Compare small nodes of ``width`` trees and branch large ones until no node is large and unsettled."""
@@ -348,10 +377,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 first = 2 * level % share
                 if level and not first:  # the tree has used up its share of the sketch
                     many = many.drop("sketch").join(anew(gone.select("cid")).select("cid", "sketch"), "cid")
-                children = _stored(_branch(many, first, share), "near-children")
+                children = _stored(_branch(many, first, share, num, den), "near-children")
                 found = found.unionByName(likely(_star(children), reps, num, den)).distinct()
-            if link(found):
-                link(_close_pairs(_unsettled(few.drop("label", "size"), labels).filter(F.col("size") <= small), num, den, False))
+            link(found)
+            link(_close_pairs(_unsettled(few.drop("label", "size"), labels).filter(F.col("size") <= small), num, den, False))
             if not deeper:
                 break
             open_rows = _stored(_unsettled(children, labels), "near-open")
@@ -359,10 +388,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     descend(open_rows, trees)
     done, allows = trees, -1  # trees so far, and the depth they are enough for
-    if done < trees_for(0):
+    if done < trees_for(0, s):
         branched.append(reps.select("cid", F.lit(0).alias("depth")))
     while branched:
-        while trees_for(allows + 1) <= done:
+        while allows < 1000 and trees_for(allows + 1, s) <= done:
             allows += 1
         past = branched[0]
         for more in branched[1:]:
@@ -372,14 +401,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if deepest is None:
             break
         branched[:] = [past]
-        need = F.element_at(F.array(*(F.lit(trees_for(d)) for d in range(deepest + 1))), F.col("depth") + 1)
+        need = F.element_at(F.array(*(F.lit(trees_for(d, s)) for d in range(deepest + 1))), F.col("depth") + 1)
         rows = _roots(anew(past.select("cid")), families).join(past, "cid").filter(F.col("tree") + done < need).drop("depth")
         rows = _stored(_unsettled(rows, labels).drop("label", "size"), "near-open")
         link(likely(_star(rows), reps, num, den))
         descend(_stored(_unsettled(rows, labels), "near-open"), ROUND)
         done += ROUND
-    named = reps.select("digest", "cid").join(labels, "cid", "left").select("digest", F.coalesce("label", "cid").alias("label"))
-    component = F.coalesce("label", F.when(F.col("digest").isNull(), F.col("id")))
-    return sig.select("id", "n", "digest").join(named, "digest", "left").select(
+    linked = labels.join(reps.select("cid", "own"), "cid")
+    linked = linked.join(linked.groupBy("label").agg(F.min("own").alias("first")), "label").select("cid", "first")
+    named = reps.select("digest", "cid", "own").join(linked, "cid", "left").select("digest", F.coalesce("first", "own").alias("first"))
+    return sig.select("id", "th", "n", "digest"), named, again
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100,
+                    trees: int = TREES, small: int = SMALL) -> DataFrame:
+    """One row for each row of ``df``: id, n_shingles, component_id, kept."""
+    sig, named, _ = _grouped(df, id_col, text_col, num, den, trees, small)
+    component = F.coalesce("first.id", F.when(F.col("digest").isNull(), F.col("id")))
+    return sig.join(named, "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100,
+             trees: int = TREES, small: int = SMALL) -> DataFrame:
+    """The rows of ``df``, all columns, without near duplicates: of each component the row of the smallest id stays
+    (of an id with several texts, the one that belongs to the component). Exact repeats of id and text fold into one row;
+    rows without words, and rows without an id whose set no row with an id has, all stay."""
+    sig, named, again = _grouped(df, id_col, text_col, num, den, trees, small)
+    gone = (sig.join(named, "digest").filter("NOT (id <=> first.id AND th = first.th)")
+            .select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct())
+    rows = df.withColumn("_row_id", F.col(id_col).cast("long")).withColumn("_row_th", F.xxhash64(F.col(text_col).cast("string")))
+    left = rows.join(gone, F.col("_row_id").eqNullSafe(F.col("_gone_id")) & (F.col("_row_th") == F.col("_gone_th")), "left_anti")
+    if again is not None:
+        more = again.select(F.col("id").alias("_row_id"), F.col("th").alias("_row_th"))
+        left = (left.join(more, ["_row_id", "_row_th"], "left_anti").select(left.columns)
+                .union(left.join(more, ["_row_id", "_row_th"], "left_semi").dropDuplicates(["_row_id", "_row_th"]).select(left.columns)))
+    return left.select(df.columns)

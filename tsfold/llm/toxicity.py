@@ -20,7 +20,9 @@ for the fit (those with the smallest hash of their id), and a model has at most
 
 Edge cases: null and empty texts have no words and get the score of the bias;
 rows are kept as they are (repeated or null ids); without toxic labels every
-score is 0; other columns are not read. A repeated id takes its largest label.
+score is 0; with such labels but no row to learn from (all ids null or held out)
+every score is the class prior; other columns are not read. A repeated id takes
+its largest label and is learned from by its smallest text.
 """
 
 from __future__ import annotations
@@ -163,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u = ids.filter(~held_out(F.col("id"))).distinct().orderBy(*order).limit(max_unlabelled)
     # at most max_toxic + max_unlabelled ids: bounded whatever the input is
     picked = F.broadcast(p.withColumn("y", F.lit(1)).unionByName(u.withColumn("y", F.lit(0))))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id")
+    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id")
+              .groupBy("id", "y").agg(F.min("text").alias("text")))  # one text of an id, however often it repeats
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .withColumn("member", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(members)))
               .groupBy("member").applyInPandas(member, "found array<long>, weights array<double>, bias double"))
     rows = fitted.collect()  # one row for each member
+    if not rows:
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     dense = np.zeros(BUCKETS)
     for r in rows:
         np.add.at(dense, np.array(r.found, np.int64), np.array(r.weights) / len(rows))

@@ -29,10 +29,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64; tables for slices of usual size are kept."""
     have = _kept_powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 20), base, np.uint64)
+        out = np.full(max(n, 1 << 18), base, np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if len(have) <= 1 << 22:
+        if len(have) <= 1 << 21:
             _kept_powers[base] = have
     return have[:n]
 
