@@ -6,14 +6,14 @@ what is left is encoded with SentencePiece. Each stage takes (spark, docs,
 sf_dir); its result is written as Parquet to the shared folder and read again as
 the next one's docs. All but the last keep the columns of ``documents``.
 
-Rows with a null id stay where a stage does not reject their text; of rows that
-repeat an id, near-duplicate removal keeps one.
+Every stage judges rows by their own text. Rows with a null id stay where a stage
+does not reject their text; rows that repeat id and text fold into one in
+near-duplicate removal, different texts of one id are different documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tsfold.llm import decontaminate, near_dup, pii, spm, toxicity
 from tsfold.llm.common import table
@@ -28,13 +28,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of linked documents."""
-    found = near_dup.near_duplicates(docs)
-    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # the rows of an id lie together now; rows without an id are told apart by their place
-    own = F.coalesce(F.col("doc_id"), -1 - F.monotonically_increasing_id())
-    first = Window.partitionBy("own").orderBy("text")
-    return left.withColumn("own", own).withColumn("nth", F.row_number().over(first)).filter("nth = 1").select(docs.columns)
+    return near_dup.keep_one(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +54,9 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
+#: Bytes of a row group of the stages' results: bounds what a writing task holds.
+BLOCK_BYTES = 16 << 20
+
 #: The fitted classifier and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None
 
@@ -69,6 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        out.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
