@@ -125,7 +125,7 @@ def test_token_files(spark, docs, tmp_path):
 
 def _oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
