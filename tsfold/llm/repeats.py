@@ -20,7 +20,7 @@ A window is ``window`` words in a row. On Spark:
    third of all texts holds is no hot key). A window whose symbol occurs in one
    text only is not repeated.
 2. *Verify.* Texts with shared symbols are recompressed again and the windows that
-   have one are named. By name (and symbol: 128 bits in all), Spark finds the smallest
+   have one are named. By name (and 32 bits of the symbol: 96 in all), Spark finds the smallest
    document; larger ones learn at which words their repeated windows start (a join
    whose hot keys adaptive execution splits).
 3. Words under such windows go.
@@ -29,7 +29,7 @@ Texts that have the same words form a class; only its smallest document takes pa
 and 2, all others are repeats of it as a whole. Which texts are needed in 2 and
 3 is first looked up in a bit set of at most ``MAX_BITS`` (a bound for any input; a
 bit that is set without need only lets a text through to the exact join), so most
-texts are never shuffled. Windows of different content are confused if their 128-bit names agree.
+texts are never shuffled. Windows of different content are confused if their 96-bit names agree.
 
 Edge cases: null and empty texts have no words; a row with a null id is neither
 a source nor repeated; rows that repeat an id are not repeats of each other and
@@ -55,6 +55,8 @@ from tsfold.session import scratch_path
 WINDOW = 50
 #: Symbols that an interior should have for a window to be represented by one of them.
 FEW = 4
+#: Words from which on a symbol is preferred: symbols of many words seldom stand in texts that share no passage.
+LONG = (4, 6, 9)
 MAX_BITS = 1 << 26
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -165,10 +167,11 @@ class Windows:
 
     def _represent(self, who: np.ndarray, sym: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
         """Let windows with ``FEW`` to 4 * ``FEW`` symbols in their interior be represented by the smallest name among them,
-        names of one or two words last; windows with more by their first symbol (until a later round)."""
+        names of many words first; windows with more by their first symbol (until a later round)."""
         m = hi - lo
         self.symbol[who[m > 4 * FEW]] = sym[lo[m > 4 * FEW]]
-        key = sym >> np.uint64(1) | (size < 3).astype(np.uint64) << np.uint64(63)
+        short = sum((size < n).astype(np.uint64) for n in LONG)
+        key = sym >> np.uint64(2) | short << np.uint64(62)
         least = key
         width = 1
         while width < 4 * FEW and width < len(key):  # least of the 2, 4, 8 ... keys from each place
@@ -247,7 +250,7 @@ def _let_through(texts: DataFrame, bits) -> DataFrame:
 
 
 def _named(df: DataFrame, window: int) -> DataFrame:
-    """Windows of the texts (id, cls, text, symbols) that are represented by one of ``symbols``: name, symbol, id, cls, at."""
+    """Windows of the texts (id, c, text, symbols) that are represented by one of ``symbols``: name, tag, id, c, at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE_BYTES):
@@ -260,11 +263,11 @@ def _named(df: DataFrame, window: int) -> DataFrame:
                 some = np.flatnonzero(pd.Series(mix(win.symbol + mix(text.astype(np.uint64)))).isin(mix(shared + mix(owner.astype(np.uint64)))))
                 rows = pa.array(text[some])
                 at = (win.start - w.first[text])[some]
-                yield pa.record_batch([pa.array(win.name[some].view(np.int64)), pa.array(win.symbol[some].view(np.int64)),
-                                       part.column("id").take(rows), part.column("cls").take(rows), pa.array(at.astype(np.int32))],
-                                      names=["name", "symbol", "id", "cls", "at"])
+                yield pa.record_batch([pa.array(win.name[some].view(np.int64)), pa.array(win.symbol[some].astype(np.uint32).view(np.int32)),
+                                       part.column("id").take(rows), part.column("c").take(rows), pa.array(at.astype(np.int32))],
+                                      names=["name", "tag", "id", "c", "at"])
 
-    return df.select("id", "cls", "text", "symbols").mapInArrow(run, "name long, symbol long, id long, cls binary, at int")
+    return df.select("id", "c", "text", "symbols").mapInArrow(run, "name long, tag int, id long, c long, at int")
 
 
 def _passages(df: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -278,19 +281,19 @@ def _passages(df: DataFrame, id_col: str, text_col: str, window: int) -> tuple[D
     shared = (symbols.groupBy("symbol").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("symbol"))
     held = (symbols.join(_stored(shared, "repeats-shared"), "symbol").groupBy("c").agg(F.collect_set("symbol").alias("symbols")))
     classes = own.withColumn("c", F.xxhash64("cls"))
-    wanted = _stored(held.join(classes, "c").select("own.id", "own.th", "cls", "symbols"), "repeats-wanted")
+    wanted = _stored(held.join(classes, "c").select("own.id", "own.th", "cls", "c", "symbols"), "repeats-wanted")
 
     bits = spark.sparkContext.broadcast(_bit_set(wanted.select(F.xxhash64("id", "th").alias("h"))))
     texts = _let_through(_texts(df, id_col, text_col), bits).join(wanted, ["id", "th"])
     if not known.filter("id IS NOT NULL").groupBy("id", "th").count().filter("count > 1").isEmpty():  # rows that repeat id and text
-        texts = texts.groupBy("id", "th", "cls", "symbols").agg(F.min("text").alias("text"))
-    texts = _stored(texts.select("id", "cls", "text", "symbols"), "repeats-texts")
+        texts = texts.groupBy("id", "th", "cls", "c", "symbols").agg(F.min("text").alias("text"))
+    texts = _stored(texts.select("id", "c", "cls", "text", "symbols"), "repeats-texts")
 
     windows = _named(texts, window)
-    first = windows.groupBy("name", "symbol").agg(F.min("id").alias("source"), F.max("id").alias("other")).filter("source < other")
-    hits = windows.join(first.select("name", "symbol", "source"), ["name", "symbol"]).filter("id > source")
-    starts = hits.groupBy("cls").agg(F.collect_set("at").alias("starts"))
-    return known, own, texts.select("id", "cls", "text").join(starts, "cls")
+    first = windows.groupBy("name", "tag").agg(F.min("id").alias("source"), F.max("id").alias("other")).filter("source < other")
+    hits = windows.join(first.select("name", "tag", "source"), ["name", "tag"]).filter("id > source")
+    starts = hits.groupBy("id", "c").agg(F.collect_set("at").alias("starts"))
+    return known, own, texts.select("id", "c", "cls", "text").join(starts, ["id", "c"])
 
 
 def _cut(w: Words, starts: list[list[int]], window: int) -> np.ndarray:
