@@ -139,3 +139,67 @@ def test_location_struct_and_position_order(spark, fixture_files):
     same = X.with_location(X.statements(fixture_files)).where("path = 'src/gauge.ts' and stmt_ord = 1")
     a, b = same.first().location, same.first().location
     assert a == b  # equal file, start and end
+
+
+def test_several_statements_on_a_line(spark):
+    text = ("class C {} class E {}\nconst é = 'ü'; /* ñ */ const a = `ß`; let k = 'é'; if (a) { b(); } else { c(); }\n"
+            "import { q } from './q'; export { q };\nconst w = {} as any; type A = { x: 1 } & { y: 2 };\n"
+            "for (let i = 0; i < 3; i++) { go(i); }\nfunction f() {} f();\n@D() class Q { x = 1; y() {} } @E class R {}\n")
+    files = files_df(spark, [(1, "a.ts", 1, text)])
+    rows = X.statements(files).orderBy("stmt_ord").collect()
+    assert [r.value for r in rows] == [
+        "class C {}", "class E {}", "const é = 'ü';", "/* ñ */ const a = `ß`;", "let k = 'é';", "if (a) { b(); } else { c(); }",
+        "import { q } from './q';", "export { q };", "const w = {} as any;", "type A = { x: 1 } & { y: 2 };",
+        "for (let i = 0; i < 3; i++) { go(i); }", "function f() {}", "f();", "@D() class Q { x = 1; y() {} }", "@E class R {}"]
+    raw, lines = text.encode(), text.split("\n")
+    for r in rows:
+        assert raw[r.start_byte:r.end_byte].decode() == r.value
+        assert lines[r.start_row].encode()[r.start_col:r.end_col].decode() == r.value
+
+
+def test_one_long_line_of_many_statements(spark):
+    text = "".join(f"const a{i} = '{i % 7 * 'ü'}';" for i in range(3000))
+    rows = X.statements(files_df(spark, [(1, "min.ts", 1, text)])).orderBy("stmt_ord").collect()
+    assert [r.name for r in rows] == [f"a{i}" for i in range(3000)]
+    assert all(text.encode()[r.start_byte:r.end_byte].decode() == r.value for r in rows)
+
+
+def test_nested_templates_of_any_depth(spark):
+    def nest(d):
+        return "`}{ ${ '`' + {a: 1}.a + " + (nest(d - 1) if d else "`it's \\` ${1}`") + " } // {`"
+
+    text = "".join(f"export const t{d} = {nest(d)}; class C{d} {{}}\n" for d in range(12))
+    files = files_df(spark, [(1, "t.ts", 1, text)])
+    rows = X.statements(files).orderBy("stmt_ord").collect()
+    assert [r.name for r in rows] == [x for d in range(12) for x in (f"t{d}", f"C{d}")]
+    assert X.rejects_unbalanced(files).count() == 0
+    toks = files.select(F.array_join(X.L.tokens(F.col("content")), "")).first()[0]
+    assert toks == text
+
+
+def test_all_names_of_a_declaration(spark):
+    cases = {
+        "a = 1, b = 2;": "a b", "{ p, q: r } = o;": "p r", "x": "x", "[[a, b], { c }] = d, e": "a b c e",
+        "{ p, q: { s, t = f(1, 2), ...u }, [k + 1]: v, 'w': x = [1, 2] } = o, [g, , h = 3, ...z]: T<A, B> = i, last": "p s t u v x g h z last",
+        "m: Map<string, number> = new Map<string, number>(), n = x < y, o = (a, b) => a": "m n o",
+        "f: (a: number, b: { c: d }) => void, e = { a: 1, b: [2, 3] }; zz = 1": "f e",
+        "{ a = { x: 1, y: 2 }, b = [1, 2], c } = o": "a b c", "a = { b: 1, c: [2, 3] }": "a", "a,\n  b,\n  c;": "a b c",
+    }
+    files = files_df(spark, [(1, f"{i}.ts", i, f"export const {c}\n") for i, c in enumerate(cases)])
+    facts = X.extract_facts(files)
+    got = {}
+    for r in X.declarations_from(facts).where("stmt_ord = 1").collect():
+        got.setdefault(r.file_ord, []).append(r.name)
+    assert got == {i: want.split() for i, want in enumerate(cases.values())}
+    exported = {(r.file_ord, r.export_name) for r in X.exports_from(facts).where("stmt_ord = 1").collect()}
+    assert exported == {(i, n) for i, names in got.items() for n in names}
+
+
+def test_nested_exports_that_share_a_line(spark):
+    text = ("namespace N { export const a = 1, b = 2; export class K { m() { return 1; } } export namespace O { export let z = 0; } }\n"
+            "export namespace M {\n  export const { d, e } = f(); export function g() {\n  }\n}\n")
+    got = [(r.export_name, r.value) for r in X.exports(files_df(spark, [(1, "n.ts", 1, text)])).where("nested").orderBy("stmt_ord", "line", "export_name").collect()]
+    assert got == [
+        ("a", "export const a = 1, b = 2;"), ("b", "export const a = 1, b = 2;"), ("K", "export class K { m() { return 1; } }"),
+        ("O", "export namespace O { export let z = 0; }"), ("z", "export let z = 0;"), ("d", "export const { d, e } = f();"),
+        ("e", "export const { d, e } = f();"), ("g", "export function g() {\n  }")]

@@ -145,7 +145,23 @@ def test_comment_follows_the_inlined_statement(spark):
     files = files_df(spark, rows)
     merged = M.merge_rows(files)
     place = {r.origin_path: r.out_ord for r in merged.collect()}
-    assert [(r.comment, r.out_ord) for r in M.comment_carry(files, merged).collect()] == [("// about B", place["b.ts"])]
+    assert [(r.comment, r.out_ord) for r in M.comment_carry(M.merge_facts(files), merged).collect()] == [("// about B", place["b.ts"])]
+
+
+def test_comments_behind_code_and_in_unbalanced_files(spark):
+    rows = [(1, "a.ts", 1, "const z = 1; // tail\nlet y = '// no'; /* own */ let x = 2; // x\n"), (1, "bad.ts", 2, "// lead\nclass Half {\n")]
+    facts = M.merge_facts(files_df(spark, rows))
+    got = M.comment_carry(facts, M.merge_rows_from_facts(facts)).orderBy("out_ord", "comment_ord").collect()
+    assert [(r.path, r.stmt_ord, r.comment) for r in got] == [
+        ("a.ts", 1, "// tail"), ("a.ts", 3, "/* own */"), ("a.ts", 3, "// x"), ("bad.ts", 1, "// lead")]
+
+
+def test_members_of_one_line_are_inlined_without_comments(spark):
+    rows = [(1, "a.ts", 1, "import { K } from './n';\n"),
+            (1, "n.ts", 2, "/* ö */ export namespace N { export const q = 1; /* ü */ export class K { m() {} } }\n")]
+    plain = _merged(spark, rows, preserve_comments=False)
+    assert plain[0].value.strip() == "export class K { m() {} }"
+    assert _merged(spark, rows)[0].value.strip() == "/* ü */ export class K { m() {} }"
 
 
 def test_regex_literals_and_unbalanced_files_stay_in_the_merge(spark):

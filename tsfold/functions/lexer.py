@@ -8,16 +8,20 @@ tokens are re-joined into two *masks* of the same byte length as the source:
 
 * ``masked``: comments -> spaces, string/template/regex literals -> ``~``. Brace
   depth, statement heads and identifiers are read from this text, so braces
-  or keywords inside strings and comments are never counted.
+  or keywords inside strings and comments are never counted. Both masks have one
+  character for each BYTE of a literal or comment, so places in them are byte offsets of the source.
 * ``clean``: comments -> spaces, strings kept. Import/export clauses (whose
   source path lives in a string) are parsed from this text.
 
 Newlines are kept by both masks, so ``split(x, '\\n')`` of content, masked and
 clean give arrays of equal length whose elements line up.
 
+A template literal is one token, with the literals inside its substitutions.
+The pattern follows them ``NESTED`` levels down; a file with a deeper one is
+scanned character by character with a stack of modes (``template_spans``).
+
 Known deviations (documented, not bugs): a regex literal after ``)`` or an
-operator other than those of ``TOKEN_RE``, nested template literals inside ``${}``, several statements on one
-line stay one statement, JSX text.
+operator other than those of ``TOKEN_RE``, JSX text.
 """
 
 from __future__ import annotations
@@ -30,12 +34,26 @@ from pyspark.sql import functions as F
 # any single char. Possessive quantifiers keep very
 # long literals from overflowing the regex engine's stack. Joined, the tokens
 # give back the input exactly.
+NESTED = 3
+
+
+def _template_re(depth: int) -> str:
+    """A whole template literal whose substitutions nest templates and braces at most ``depth`` levels deep."""
+    return r"`(?:[^`\\$]++|\\.|\$(?!\{)|\$\{" + _code_re(depth) + r"\})*+`"
+
+
+def _code_re(depth: int) -> str:
+    """Code inside a substitution, up to the brace that closes it."""
+    inner = "|" + _template_re(depth - 1) + r"|\{" + _code_re(depth - 1) + r"\}" if depth else ""
+    return (r"(?:[^`{}'\"/]++|//[^\n]*+|/\*.*?\*/|/|'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\"" + inner + ")*+")
+
+
 TOKEN_RE = (
     r"(?s)//[^\n]*+|/\*.*?\*/"
     r"|/(?<=(?:[(,=:\[!&|?{};]|=>)\s{0,16}/|\breturn\s{1,16}/)"
     r"(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+"
     r"|'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\""
-    r"|`(?:[^`\\]|\\.)*+`|[^/'\"`]++|."
+    r"|" + _template_re(NESTED) + r"|[^/'\"`]++|."
 )
 
 # Keywords that open a top-level statement (a line at depth 0 starting with
@@ -65,6 +83,16 @@ IMPORT_RE = (
 # export list: export { a, b as c } [from '...']
 EXPORT_LIST_RE = r"^\s*export\s+(?:type\s+)?\{([^}]*)\}\s*(?:from\s*['\"]([^'\"]*)['\"])?"
 
+# export * [as ns] from '...': 1 name, 2 source path
+EXPORT_STAR_RE = r"^\s*export\s+(?:type\s+)?\*\s*(?:as\s+([\w$]+)\s+)?from\s*['\"]([^'\"]*)['\"]"
+
+# head of a variable declaration: 1 keyword
+VARIABLE_HEAD_RE = r"^\s*(?:export\s+)?(?:declare\s+)?(const|let|var)\b(?!\s+enum\b)"
+
+# type arguments of a call (their commas part no declarators), and the tokens of a declaration
+TYPE_ARGUMENTS_RE = r"([\w$])<[\w\s,.\[\]|&$]*>(?=\()"
+BINDING_TOKEN_RE = r"\.\.\.|=>|[=!<>]=++|[A-Za-z_$][\w$]*+|~++|\S"
+
 # Method head at class-body depth 1 (modifiers, optional generator star,
 # optional ?/!, optional type parameters, then '(').
 METHOD_RE = (
@@ -77,7 +105,75 @@ NOT_METHOD_NAMES = ["if", "for", "while", "switch", "catch", "return", "function
 
 def tokens(content: Column) -> Column:
     """array<string> of lexical tokens whose concatenation equals ``content``."""
-    return F.regexp_extract_all(content, F.lit(TOKEN_RE), 0)
+    found = F.regexp_extract_all(content, F.lit(TOKEN_RE), 0)
+    # a lone backtick begins a template that the pattern cannot follow to its end
+    return F.when(F.array_contains(found, "`"), _scanned(content)).otherwise(found)
+
+
+# Modes of the scan: what the brace or quote on top of the stack has opened.
+_TEMPLATE, _SUBSTITUTION, _BRACE, _SINGLE, _DOUBLE, _LINE, _BLOCK = range(1, 8)
+
+
+def template_spans(content: Column) -> Column:
+    """array<struct<start, stop>> (characters) of the outermost template literals that are closed: a fold over the
+    characters whose state is a stack of modes. Any depth; linear in the text."""
+    state = "struct<pos:int,skip:boolean,before:string,start:int,stack:array<int>,spans:array<struct<start:int,stop:int>>>"
+    zero = F.from_json(F.lit('{"pos":0,"skip":false,"before":"","start":0,"stack":[],"spans":[]}'), state)
+
+    def step(acc: Column, c: Column) -> Column:
+        stack, pos, before = acc["stack"], acc["pos"], acc["before"]
+        top = F.when(F.size(stack) > 0, F.element_at(stack, -1)).otherwise(0)
+        code = top.isin(0, _SUBSTITUTION, _BRACE)
+        popped = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+
+        def push(mode: int) -> Column:
+            return F.concat(stack, F.array(F.lit(mode)))
+
+        inside = F.array_contains(stack, _TEMPLATE)
+        opens = code & (c == "`")
+        closes = (top == _TEMPLATE) & (c == "`") & ~acc["skip"]
+        last = closes & ~F.array_contains(popped, _TEMPLATE)
+        quiet = top.isin(_TEMPLATE, _SINGLE, _DOUBLE)
+        new = (
+            F.when(acc["skip"], stack)
+            .when(opens, push(_TEMPLATE)).when(closes, popped)
+            .when((top == _TEMPLATE) & (before == "$") & (c == "{"), push(_SUBSTITUTION))
+            .when(code & (before == "/") & (c == "/"), push(_LINE))
+            .when(code & (before == "/") & (c == "*"), push(_BLOCK))
+            .when(code & (c == "'"), push(_SINGLE)).when(code & (c == '"'), push(_DOUBLE))
+            .when(code & (c == "{") & inside, push(_BRACE))
+            .when(top.isin(_SUBSTITUTION, _BRACE) & (c == "}"), popped)
+            .when((top == _SINGLE) & c.isin("'", "\n"), popped).when((top == _DOUBLE) & c.isin('"', "\n"), popped)
+            .when((top == _LINE) & (c == "\n"), popped)
+            .when((top == _BLOCK) & (before == "*") & (c == "/"), popped)
+            .otherwise(stack)
+        )
+        moved = F.size(new) != F.size(stack)  # a character that changes the mode is no first half of another sign
+        return F.struct(
+            (pos + 1).alias("pos"), (quiet & (c == "\\") & ~acc["skip"]).alias("skip"),
+            F.when(acc["skip"] | moved, F.lit("")).otherwise(c).alias("before"),
+            F.when(opens & ~inside, pos).otherwise(acc["start"]).alias("start"), new.alias("stack"),
+            F.when(last, F.concat(acc["spans"], F.array(F.struct(acc["start"].alias("start"), (pos + 1).alias("stop")))))
+            .otherwise(acc["spans"]).alias("spans"),
+        ).cast(state)
+
+    return F.aggregate(F.split(content, ""), zero, step, lambda acc: acc["spans"])
+
+
+def _scanned(content: Column) -> Column:
+    """``tokens`` of a text with deeply nested templates: these by the scan, what lies between by the pattern."""
+    ends = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop")))
+    stops = F.concat(ends, template_spans(content))
+    plain = F.lit(TOKEN_RE)
+
+    def piece(x: Column, i: Column) -> Column:
+        following = F.get(stops, i + 1)
+        after = F.coalesce(following["start"], F.length(content))
+        between = F.regexp_extract_all(F.substring(content, x["stop"] + 1, after - x["stop"]), plain, 0)
+        literal = F.when(following.isNotNull(), F.array(F.substring(content, following["start"] + 1, following["stop"] - following["start"])))
+        return F.concat(between, F.coalesce(literal, F.array().cast("array<string>")))
+
+    return F.flatten(F.transform(stops, piece))
 
 
 def _is_comment(t: Column) -> Column:
@@ -92,15 +188,15 @@ def _is_string(t: Column) -> Column:
 
 
 def _blank_out(t: Column, ch: str) -> Column:
-    """Replace every non-newline char of a token by ``ch``; single-line tokens
+    """``ch`` for every byte of a token but its newlines; single-line tokens
     (most) take the cheap ``repeat`` path, multi-line ones a regex."""
-    return F.when(F.instr(t, "\n") == 0, F.repeat(F.lit(ch), F.length(t))).otherwise(
-        F.regexp_replace(t, r"[^\n]", ch)
+    return F.when(F.instr(t, "\n") == 0, F.repeat(F.lit(ch), F.octet_length(t))).otherwise(
+        F.regexp_replace(F.decode(F.encode(t, "UTF-8"), "ISO-8859-1"), r"[^\n]", ch)
     )
 
 
 def masked_text(toks: Column) -> Column:
-    """comments -> spaces, strings -> '~' (same length, newlines kept)."""
+    """comments -> spaces, strings -> '~' (same byte length, newlines kept)."""
     return F.array_join(
         F.transform(
             toks,
@@ -113,7 +209,7 @@ def masked_text(toks: Column) -> Column:
 
 
 def clean_text(toks: Column) -> Column:
-    """comments -> spaces, strings kept (same length, newlines kept)."""
+    """comments -> spaces, strings kept (same byte length, newlines kept)."""
     return F.array_join(
         F.transform(toks, lambda t: F.when(_is_comment(t), _blank_out(t, " ")).otherwise(t)), ""
     )
@@ -131,6 +227,45 @@ def strip_comments_text(toks: Column) -> Column:
 _WS_OTHER = "\t\r\f\u000b"
 
 
+# Where a line is cut before another statement or member: behind a semicolon, behind a closing brace before another
+# or before a word that does not go on with the same statement, behind the opening brace of a class or namespace
+# body, and before an export inside braces.
+_GOES_ON = "from|as|satisfies|else|catch|finally|while|extends|implements|instanceof|in|of|is"
+_CLOSE_CUT = r"(?<=;)(?=[ \t]*[^\s])|(?<=\})(?=[ \t]*(?:@|(?!(?:" + _GOES_ON + r")\b)[A-Za-z_$]))"
+_CLOSE_CUT += r"|(?<=\})(?=[ \t]*\})"
+_CUT_RE = _CLOSE_CUT + r"|(?<=\{)(?=[ \t]*export\b)"
+_BODY_CUT_RE = _CLOSE_CUT + r"|(?<=\{)(?=[ \t]*[^\s}])"
+_MAY_CUT_RE = r"(?:;|\}(?=[ \t]*[@\w$}]))[ \t]*[^\s]|\{[ \t]*export\b|\b(?:class|namespace|module)\b[^\n]*\{[ \t]*[^\s}]"
+_BODY_RE = r"\b(?:class|namespace|module)\b"
+
+
+def cut_lines(content: Column, masked: Column) -> tuple[Column, Column, Column]:
+    """Three arrays of equal length for the stretches of a file that the statement rules look at one by one: raw text,
+    masked text, and how each lies in its line (1: does not begin it, 2: does not end it, 3: neither; null or 0: whole line).
+    A stretch is a line, or a part of one where the line holds several statements. Without any such line the last array is empty."""
+    raw_l, mask_l = F.split(content, "\n", -1), F.split(masked, "\n", -1)
+    parts = F.transform(mask_l, lambda m: F.when(m.rlike(_MAY_CUT_RE), F.when(
+        m.rlike(_BODY_RE), F.split(m, _BODY_CUT_RE, -1)).otherwise(F.split(m, _CUT_RE, -1))).otherwise(F.array(m)))
+    block = 256  # prefix sums of the lengths: by blocks, then within one
+
+    def raw_parts(raw: Column, segs: Column) -> Column:
+        data = raw.cast("binary")
+        lens = F.transform(segs, lambda m: F.octet_length(m))
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(segs) - 1) / block).cast("int")),
+                             lambda k: total(F.slice(lens, k * block + 1, block)))
+        return F.transform(segs, lambda m, i: F.decode(F.substring(
+            data, total(F.slice(blocks, 1, F.floor(i / block).cast("int"))) + total(F.slice(lens, F.floor(i / block).cast("int") * block + 1, i % block)) + 1,
+            F.octet_length(m)), "UTF-8"))
+
+    cut = masked.rlike(_MAY_CUT_RE)
+    z = F.arrays_zip(raw_l.alias("r"), parts.alias("p"))
+    raws = F.flatten(F.transform(z, lambda x: F.when(F.size(x["p"]) == 1, F.array(x["r"])).otherwise(raw_parts(x["r"], x["p"]))))
+    places = F.flatten(F.transform(parts, lambda p: F.transform(p, lambda m, i: F.when(i > 0, 1).otherwise(0) + F.when(i < F.size(p) - 1, 2).otherwise(0))))
+    return (F.when(cut, raws).otherwise(raw_l), F.when(cut, F.flatten(parts)).otherwise(mask_l),
+            F.when(cut, places).otherwise(F.array().cast("array<int>")))
+
+
 def spaces_only(s: Column) -> Column:
     """Map tab/CR/FF/VT to spaces so trim functions see all whitespace
     (character translation, no regex)."""

@@ -32,7 +32,9 @@ DECL_HEAD_WORDS = [
 
 def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Internal line table: one row per source line with depth, statement
-    number and classification flags.
+    number and classification flags. A line that holds several statements is
+    cut into as many rows (``cut_lines``), so ``line`` numbers the rows, and
+    ``row`` and ``col`` (bytes) say where a row begins in the source.
 
     All per-line facts that need the masked text are computed right after
     the explode; the masked copy is then dropped, so the window sorts carry
@@ -46,16 +48,14 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     # when the input is small (AQE would coalesce a keyed repartition).
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = f.repartition(n, *FILE_KEY)
-    toks = L.tokens(F.col("content"))
-    f = f.select(
-        "project_id", "path", "file_ord",
-        F.split("content", "\n", -1).alias("raw_l"),
-        F.split(L.masked_text(toks), "\n", -1).alias("mask_l"),
-    )
+    f = f.withColumn("masked", L.masked_text(L.tokens(F.col("content"))))
+    raw_l, mask_l, place_l = L.cut_lines(F.col("content"), F.col("masked"))
+    f = f.select("project_id", "path", "file_ord", raw_l.alias("raw_l"), mask_l.alias("mask_l"), place_l.alias("place_l"))
     z = f.select(
         "project_id", "path", "file_ord",
-        F.posexplode(F.arrays_zip("raw_l", "mask_l")).alias("line", "z"),
-    ).select("project_id", "path", "file_ord", "line", F.col("z.raw_l").alias("raw"), F.col("z.mask_l").alias("m"))
+        F.posexplode(F.arrays_zip("raw_l", "mask_l", "place_l")).alias("line", "z"),
+    ).select("project_id", "path", "file_ord", "line", F.col("z.raw_l").alias("raw"), F.col("z.mask_l").alias("m"),
+             F.coalesce("z.place_l", F.lit(0)).alias("place"))
     m = F.col("m")
     fw = L.first_word(m)
     is_code = ~L.is_blank(m)
@@ -66,7 +66,11 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         is_code.alias("is_code"),
         fw.alias("fw"),
         L.last_char(m).alias("lc"),
-        (F.octet_length("raw") + 1).alias("blen"),
+        (F.col("place").bitwiseAND(1) != 0).alias("mid"),
+        (F.col("place").bitwiseAND(2) == 0).alias("eol"),
+        F.octet_length("raw").alias("rlen"),
+        F.when(F.col("place").bitwiseAND(1) != 0, F.octet_length("raw") - F.octet_length(F.ltrim(L.spaces_only(F.col("raw")))))
+        .otherwise(0).alias("lead"),  # blanks before a statement that does not begin its line
         F.when(is_code & fw.isin(*DECL_HEAD_WORDS, "@"), L.decl_name(m)).alias("m_decl"),
         F.when(is_code & fw.isin(*DECL_HEAD_WORDS, "@"), L.decl_keyword(m)).alias("m_kw"),
         # syntax type of a possible statement head line (NULL for a line that
@@ -86,7 +90,8 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     z = z.select(
         "*",
         F.sum("delta").over(upto).alias("depth_after"),
-        F.coalesce(F.sum("blen").over(before), F.lit(0)).cast("bigint").alias("line_byte"),
+        F.coalesce(F.sum(F.col("rlen") + F.col("eol").cast("int")).over(before), F.lit(0)).cast("bigint").alias("line_byte"),
+        (F.col("line") - F.sum(F.col("mid").cast("int")).over(upto)).alias("row"),
         F.coalesce(F.last(F.when(F.col("is_code"), F.col("lc").isin(";", "}")), True).over(before),
                    F.lit(True)).alias("prev_closed"),
         F.coalesce(F.last(F.when(F.col("is_code"), F.col("fw") == "@"), True).over(before),
@@ -103,6 +108,7 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         "*",
         F.sum(F.col("start").cast("int")).over(upto).alias("grp"),
         F.min("depth_after").over(upto).alias("run_min"),
+        (F.col("line_byte") - F.max(F.when(~F.col("mid"), F.col("line_byte"))).over(upto)).alias("col"),
     )
     # reverse pass: next code line at or after this one, and file totals
     # (the first row in reverse order is the file's last line)
@@ -125,25 +131,48 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
-def _member_end(ls: Column, x: Column) -> Column:
-    """Last line of the member that starts on line ``x.line`` at depth
-    ``x.depth``: its first line that ends in ';' or '}' back at that depth, or
-    the line before the next member or the end of the enclosing block."""
-    code = F.filter(ls, lambda y: y["is_code"] & (y["line"] >= x["line"]))
-    closed = F.filter(code, lambda y: y["closes"] & (y["after"] == x["depth"]))
-    beyond = F.filter(code, lambda y: (y["line"] > x["line"]) & (
-        (y["after"] < x["depth"]) | (y["opens"] & (y["before"] <= x["depth"]))
-    ))
-    return F.coalesce(
-        F.least(closed[0]["line"], F.greatest(beyond[0]["line"] - 1, x["line"])), x["line"]
-    )
+MEMBER = "struct<line:int,row:bigint,byte:bigint,depth:bigint,name:string,stop:bigint>"
 
 
-def _join_lines(arr: Column, field: str, lo: Column, hi: Column) -> Column:
-    return F.array_join(
-        F.transform(F.filter(arr, lambda x: (x["line"] >= lo) & (x["line"] <= hi)), lambda x: x[field]),
-        "\n",
-    )
+def _members_with_ends(ls: Column) -> Column:
+    """Nested exports of a statement (its rows ``ls`` in order) with the byte at which each ends: behind its first row
+    that ends in ';' or '}' back at its depth, or before the next member or the end of the enclosing block. One fold over
+    the rows; its state holds the members that are still open."""
+    none = F.array().cast(f"array<{MEMBER}>")
+    state = f"struct<open:array<{MEMBER}>,done:array<{MEMBER}>,stop:bigint>"
+    zero = F.struct(none.alias("open"), none.alias("done"), F.lit(0).cast("bigint").alias("stop")).cast(state)
+
+    def with_end(stop: Column):
+        return lambda x: F.struct(x["line"], x["row"], x["byte"], x["depth"], x["name"], stop.alias("stop")).cast(MEMBER)
+
+    def step(acc: Column, y: Column) -> Column:
+        stop = y["byte"] + F.octet_length(y["raw"])
+
+        def beyond(x: Column) -> Column:
+            return (y["after"] < x["depth"]) | (y["opens"] & (y["before"] <= x["depth"]))
+
+        def closed(x: Column) -> Column:
+            return y["closes"] & (y["after"] == x["depth"])
+
+        left = F.filter(acc["open"], lambda x: ~beyond(x))
+        done = F.concat(acc["done"], F.transform(F.filter(acc["open"], beyond), with_end(acc["stop"])))
+        here = F.when(y["nested"], F.array(F.struct(
+            y["line"], y["row"], y["byte"], y["before"].alias("depth"), y["name"], stop.alias("stop")).cast(MEMBER))).otherwise(none)
+        now = F.concat(left, here)
+        busy = F.struct(
+            F.filter(now, lambda x: ~closed(x)).alias("open"),
+            F.concat(done, F.transform(F.filter(now, closed), with_end(stop))).alias("done"), stop.alias("stop")).cast(state)
+        idle = F.struct(acc["open"], acc["done"], stop.alias("stop")).cast(state)
+        return F.when(~y["is_code"], acc).when((F.size(acc["open"]) > 0) | y["nested"], busy).otherwise(idle)
+
+    # what is still open at the end keeps the end of its first row
+    return F.aggregate(ls, zero, step, lambda acc: F.concat(acc["done"], acc["open"]))
+
+
+def _join_rows(arr: Column, lo: Column, hi: Column) -> Column:
+    """Raw text of the rows lo to hi."""
+    some = F.filter(arr, lambda x: (x["line"] >= lo) & (x["line"] <= hi))
+    return F.array_join(F.transform(some, lambda x: F.concat(x["raw"], F.when(x["eol"] & (x["line"] < hi), "\n").otherwise(""))), "")
 
 
 def _import_names(code: Column) -> tuple[Column, Column]:
@@ -175,9 +204,9 @@ def _import_names(code: Column) -> tuple[Column, Column]:
     return F.when(F.size(allnames) > 0, allnames).otherwise(none), F.when(src != "", src)
 
 
-def _export_names(code: Column, name: Column) -> Column:
+def _export_names(code: Column, names: Column) -> Column:
     """Exported names of a top-level export statement: the list of
-    ``export { a, b as c }`` or the declared name (NULL when there is none)."""
+    ``export { a, b as c }``, the name of ``export * as ns``, or the declared names (NULL when there is none)."""
     lst = F.regexp_extract(code, L.EXPORT_LIST_RE, 1)
     is_list = code.rlike(r"^\s*export\s+(?:type\s+)?\{")
     list_names = F.filter(
@@ -190,7 +219,98 @@ def _export_names(code: Column, name: Column) -> Column:
         ),
         lambda x: x != "",
     )
-    return F.when(is_list & (F.size(list_names) > 0), list_names).otherwise(F.array(name))
+    star = F.regexp_extract(code, L.EXPORT_STAR_RE, 1)
+    return (F.when(is_list & (F.size(list_names) > 0), list_names).when(star != "", F.array(star))
+            .when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string"))))
+
+
+LINK = "struct<name:string,target:string,source:string>"
+
+
+def _export_links(code: Column) -> Column:
+    """What an export statement passes on: (exported name, its name there, source path or NULL for the file itself) of
+    ``export { a, b as c } [from '..']``; ``export * from`` has the name '*', and '*' as a target is the whole module."""
+    src = F.regexp_extract(code, L.EXPORT_LIST_RE, 2)
+    source = F.when(src != "", src)
+    parts = F.filter(F.transform(F.split(F.regexp_extract(code, L.EXPORT_LIST_RE, 1), ","),
+                                 lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    first = lambda x: F.regexp_extract(x, r"^(?:type )?([\w$]+)", 1)
+    named = F.transform(parts, lambda x: F.struct(
+        F.coalesce(F.when(x.contains(" as "), F.regexp_extract(x, r" as ([\w$]+)", 1)), first(x)).alias("name"),
+        first(x).alias("target"), source.alias("source")).cast(LINK))
+    star_name, star_src = (F.regexp_extract(code, L.EXPORT_STAR_RE, k) for k in (1, 2))
+    star = F.array(F.struct(F.when(star_name != "", star_name).otherwise("*").alias("name"), F.lit("*").alias("target"),
+                            star_src.alias("source")).cast(LINK))
+    return F.when(code.rlike(r"^\s*export\s+(?:type\s+)?\{"), named).when(star_src != "", star).otherwise(F.array().cast(f"array<{LINK}>"))
+
+
+def binding_names(code: Column, keyword: Column, name: Column) -> Column:
+    """All names that the masked code of a declaration declares, in order: several declarators and binding patterns of
+    const, let and var, else ``name``. Only statements that need it pay for the fold over tokens."""
+    body = F.regexp_replace(code, L.VARIABLE_HEAD_RE, "")
+    flat = body
+    for brackets in (r"\([^()]*\)", r"\[[^\[\]]*\]", r"\{[^{}]*\}"):
+        flat = F.regexp_replace(flat, brackets, "")
+    start = F.ltrim(L.spaces_only(body))
+    several = (F.instr(flat, ",") > 0) | start.startswith("{") | start.startswith("[")
+    plain = F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
+    return F.when(keyword.isin("const", "let", "var") & several, _declared(body)).otherwise(plain)
+
+
+# Where the fold over the tokens of a declaration is: in a name or pattern, a type, an initialiser, or behind the end.
+_NAME, _TYPE, _VALUE, _END = range(4)
+
+
+def _declared(body: Column) -> Column:
+    """Names bound by ``a = 1, { b, c: d = 2, ...e } = f, [g, , h]: T = i``. The state of the fold: the open brackets of
+    the pattern, depth inside a type, value, default or computed key (``skip``), the last word, and the names."""
+    state = "struct<at:int,kinds:array<string>,skip:boolean,depth:int,word:string,before:string,names:array<string>>"
+    zero = F.from_json(F.lit('{"at":0,"kinds":[],"skip":false,"depth":0,"word":"","before":",","names":[]}'), state)
+    toks = F.regexp_extract_all(F.regexp_replace(body, L.TYPE_ARGUMENTS_RE, "$1"), F.lit(L.BINDING_TOKEN_RE), 0)
+
+    def step(acc: Column, t: Column) -> Column:
+        at, kinds, depth, word = acc["at"], acc["kinds"], acc["depth"], acc["word"]
+        opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
+        inner = F.size(kinds) > 0
+        pattern = (at == _NAME) & ~acc["skip"]
+        leaves = acc["skip"] & (depth == 0) & (closes | (t == ","))  # the default ends: this token belongs to the pattern
+        acts = pattern | leaves
+        key = pattern & (t == "[") & inner & (F.element_at(F.concat(F.array(F.lit("")), kinds), -1) == "{") & acc["before"].isin("{", ",")
+        flush = acts & t.isin(",", ":", "=", "}", "]", ";") & (word != "")
+        named = flush & ~((t == ":") & inner)  # before a colon stands a key
+        typed = at == _TYPE
+        angle = F.when(typed & (t == "<"), 1).when(typed & (t == ">"), -1).otherwise(0)
+        bracket = F.when(opens, 1).when(closes, -1).otherwise(0)
+        outside = (at.isin(_TYPE, _VALUE)) & (depth == 0)
+        new_at = (
+            F.when(at == _END, _END)
+            .when(pattern & ~inner & (t == ";"), _END).when(outside & (t == ";"), _END)
+            .when(pattern & ~inner & (t == ":"), _TYPE).when(pattern & ~inner & (t == "="), _VALUE)
+            .when(outside & (t == ","), _NAME).when(typed & (depth == 0) & (t == "="), _VALUE)
+            .otherwise(at)
+        )
+        skip = F.when(key | (pattern & inner & (t == "=")), True).when(leaves, False).when(
+            acc["skip"] & (depth == 1) & (t == "]") & (acc["before"] != "=") & acc["word"].startswith("["), False).otherwise(acc["skip"])
+        new_depth = F.when(key, 1).when(new_at != at, 0).when(acc["skip"] & ~leaves, depth + bracket).when(
+            at.isin(_TYPE, _VALUE), depth + bracket + angle).otherwise(0)
+        new_kinds = (
+            F.when(acts & closes & inner, F.slice(kinds, 1, F.greatest(F.size(kinds) - 1, F.lit(0))))
+            .when(pattern & ~key & t.isin("{", "["), F.concat(kinds, F.array(t))).otherwise(kinds)
+        )
+        is_word = t.rlike(r"^[A-Za-z_$]")
+        new_word = F.when(key, "[").when(acc["skip"] & ~leaves, F.when(skip, word).otherwise("")).when(
+            pattern & is_word, t).when(acts & t.isin(",", ":", "=", "}", "]", ";", "{", "["), "").otherwise(word)
+        return F.struct(
+            new_at.cast("int").alias("at"), new_kinds.alias("kinds"), skip.alias("skip"), new_depth.cast("int").alias("depth"),
+            new_word.alias("word"), t.alias("before"),
+            F.when(named, F.concat(acc["names"], F.array(word))).otherwise(acc["names"]).alias("names"),
+        ).cast(state)
+
+    def end(acc: Column) -> Column:
+        rest = (acc["at"] == _NAME) & ~acc["skip"] & (acc["word"] != "")
+        return F.when(rest, F.concat(acc["names"], F.array(acc["word"]))).otherwise(acc["names"])
+
+    return F.aggregate(toks, zero, step, end)
 
 
 def statement_rows(ln: DataFrame) -> DataFrame:
@@ -207,52 +327,49 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     member_cond = F.col("is_code") & (F.col("depth_before") == 1) & (
         F.col("m_decl").isNotNull() | (F.coalesce(F.col("m_method"), F.lit("")) != "")
     )
+    member = F.struct("line", F.col("m_decl").alias("decl"), F.coalesce(F.col("m_method"), F.lit("")).alias("method"))
     g = ln.groupBy("project_id", "path", "file_ord", "stmt_ord").agg(
         F.sort_array(F.collect_list(F.struct(
             "line", "raw", "is_code", F.col("depth_before").alias("before"), F.col("depth_after").alias("after"),
             F.col("lc").isin(";", "}").alias("closes"), F.col("fw").isin(*L.STATEMENT_KEYWORDS, "@").alias("opens"),
+            "eol", F.col("row").cast("bigint").alias("row"), F.col("line_byte").alias("byte"), nested_cond.alias("nested"),
+            F.when(nested_cond, F.col("m_decl")).alias("name"),
         ))).alias("ls"),
-        F.min(F.when(F.col("nonblank"), F.col("line"))).alias("lo"),
-        F.max(F.when(F.col("nonblank"), F.col("line"))).alias("hi"),
-        F.min(F.when(F.col("is_code"), F.col("line"))).alias("head_line"),
-        F.min(F.when(F.col("nonblank"), F.col("line_byte"))).alias("start_byte"),
-        F.max(F.when(F.col("nonblank"), F.col("line_byte") + F.col("blen") - 1)).alias("end_byte"),
-        F.max_by(F.col("blen") - 1, F.when(F.col("nonblank"), F.col("line"))).alias("end_col"),
+        F.min(F.when(F.col("nonblank"), F.struct("line", "row", "col", "line_byte", "mid", "lead"))).alias("lo"),
+        F.max(F.when(F.col("nonblank"), F.struct("line", "row", "col", "line_byte", "rlen"))).alias("hi"),
+        F.min(F.when(F.col("is_code"), F.struct("line", "line_byte"))).alias("head"),
         F.first("balanced").alias("balanced"),
         F.min_by("l_type", F.when(head_cond, F.col("line"))).alias("head_type"),
         F.min_by("m_decl", F.when(head_cond, F.col("line"))).alias("head_name"),
         F.min_by("m_kw", F.when(head_cond, F.col("line"))).alias("head_kw"),
-        F.collect_list(F.when(nested_cond, F.struct(
-            "line", F.col("m_decl").alias("name"), F.col("depth_before").alias("depth")
-        ))).alias("nested_exports"),
-        F.collect_list(F.when(member_cond, F.struct(
-            "line", F.col("m_decl").alias("decl"), F.coalesce(F.col("m_method"), F.lit("")).alias("method"),
-        ))).alias("members"),
+        F.max(nested_cond).alias("has_nested"),
+        F.collect_list(F.when(member_cond, member)).alias("members"),
     ).where(F.col("lo").isNotNull())
-    comment_only = F.col("head_line").isNull()
-    head = F.coalesce(F.col("head_line"), F.col("lo"))
-    s = g.select(
-        "project_id", "path", "file_ord", "stmt_ord", "balanced",
-        # place of each nested export: file line, offset in ``value`` and in the
-        # code without comments (which starts at the head line), number of lines
-        F.transform(
-            F.filter("nested_exports", lambda x: F.col("balanced")),
-            lambda x: F.struct(
-                x["name"].alias("name"), x["line"].alias("line"), (x["line"] - F.col("lo")).alias("at"),
-                (x["line"] - head).alias("code_at"), (_member_end(F.col("ls"), x) - x["line"] + 1).alias("n_lines"),
-            ),
-        ).alias("nested_exports"),
+    comment_only = F.col("head").isNull()
+    head_line = F.coalesce(F.col("head.line"), F.col("lo.line"))
+    head_byte = F.coalesce(F.col("head.line_byte"), F.col("lo.line_byte"))
+    blanks = F.col("lo.lead")
+    text = _join_rows(F.col("ls"), F.col("lo.line"), F.col("hi.line"))
+    s = g.withColumn("start_byte", (F.col("lo.line_byte") + blanks).cast("bigint")).select(
+        "project_id", "path", "file_ord", "stmt_ord", "balanced", "start_byte",
+        # place of each nested export: number and line of its first row, and bytes: where it begins in ``value`` and in
+        # the code without comments (which starts at the head line), and how many it has
+        F.when(F.col("balanced") & F.col("has_nested"), F.transform(F.sort_array(_members_with_ends(F.col("ls"))), lambda x: F.struct(
+            x["name"].alias("name"), x["line"].alias("line"), x["row"].alias("row"), (x["byte"] - F.col("start_byte")).alias("at"),
+            (x["byte"] - head_byte).alias("code_at"), (x["stop"] - x["byte"]).alias("n_bytes")))).otherwise(
+            F.array().cast("array<struct<name:string,line:int,row:bigint,at:bigint,code_at:bigint,n_bytes:bigint>>")).alias("nested_exports"),
         F.filter("members", lambda x: F.col("balanced")).alias("members"),
         F.when(F.col("balanced"), F.col("head_type")).otherwise("ERROR").alias("head_type"),
         F.when(F.col("balanced"), F.col("head_name")).alias("head_name"),
         F.when(F.col("balanced"), F.col("head_kw")).alias("head_kw"),
-        _join_lines(F.col("ls"), "raw", F.col("lo"), F.col("hi")).alias("value"),
-        _join_lines(F.col("ls"), "raw", head, F.col("hi")).alias("code"),
+        F.when(blanks > 0, F.substring(text, blanks + 1, F.length(text))).otherwise(text).alias("value"),
+        _join_rows(F.col("ls"), head_line, F.col("hi.line")).alias("code"),
         comment_only.alias("comment_only"),
-        F.col("start_byte").cast("bigint").alias("start_byte"),
-        F.col("end_byte").cast("bigint").alias("end_byte"),
-        F.col("lo").cast("bigint").alias("start_row"), F.lit(0).cast("bigint").alias("start_col"),
-        F.col("hi").cast("bigint").alias("end_row"), F.col("end_col").cast("bigint").alias("end_col"),
+        (F.col("hi.line_byte") + F.col("hi.rlen")).cast("bigint").alias("end_byte"),
+        F.col("lo.row").cast("bigint").alias("start_row"),
+        (F.when(F.col("lo.mid"), F.col("lo.col") + blanks).otherwise(0)).cast("bigint").alias("start_col"),
+        F.col("hi.row").cast("bigint").alias("end_row"),
+        (F.col("hi.col") + F.col("hi.rlen")).cast("bigint").alias("end_col"),
     )
     # Statement code starts on a code line at depth 0 outside any literal, so
     # re-tokenising it alone gives the same masks as the file-level pass.
@@ -268,12 +385,34 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     s = s.withColumn("name", F.when(F.col("raw_type") != "import_statement", F.col("head_name"))).withColumn(
         "is_export", F.col("raw_type") == "export_statement"
     ).withColumn("decl_keyword", F.coalesce(F.col("head_kw"), F.lit(""))).drop("head_type", "head_name", "head_kw")
+    # all declared names; ``name`` is the first of them
+    variables = F.col("raw_type").isin("export_statement", "lexical_declaration", "variable_declaration", "ambient_declaration")
+    plain = F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>"))
+    keyword = F.when(variables & (F.col("decl_keyword") == ""), F.regexp_extract("mcode", L.VARIABLE_HEAD_RE, 1))
+    s = s.withColumn("decl_keyword", F.coalesce(keyword, "decl_keyword")).withColumn("decl_names", F.when(variables, binding_names(
+        F.col("mcode"), F.col("decl_keyword"), F.col("name"))).otherwise(plain)).withColumn("name", F.coalesce(F.get("decl_names", F.lit(0)), F.col("name")))
+    code = F.col("mcode").cast("binary")
+    s = s.withColumn("nested_exports", F.transform("nested_exports", lambda x: F.struct(
+        _nested_names(F.decode(F.substring(code, x["code_at"].cast("int") + 1, x["n_bytes"].cast("int")), "UTF-8"), x["name"]).alias("names"),
+        x["line"].alias("line"), x["row"].alias("row"), x["at"].alias("at"), x["code_at"].alias("code_at"), x["n_bytes"].alias("n_bytes"))))
     is_imp = F.col("raw_type") == "import_statement"
     names, src = _import_names(F.col("ccode"))
     s = s.withColumn("import_names", F.when(is_imp, names)).withColumn("source_path", F.when(is_imp, src))
     return s.withColumn(
-        "export_names", F.when(F.col("is_export"), _export_names(F.col("ccode"), F.col("name")))
-    )
+        "export_names", F.when(F.col("is_export"), _export_names(F.col("ccode"), F.col("decl_names")))
+    ).withColumn("export_links", F.when(F.col("is_export"), _export_links(F.col("ccode"))))
+
+
+def _nested_names(code: Column, name: Column) -> Column:
+    """Names of a nested export from its masked code; one NULL where it has none."""
+    names = binding_names(code, F.regexp_extract(code, L.VARIABLE_HEAD_RE, 1), name)
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string")))
+
+
+def declared_names(stmts: DataFrame) -> Column:
+    """All names a statement declares (of a statements table with or without ``decl_names``)."""
+    first = F.when(F.col("name").isNotNull(), F.array("name"))
+    return F.col("decl_names") if "decl_names" in stmts.columns else F.coalesce(first, F.array().cast("array<string>"))
 
 
 def extract_facts(files: DataFrame, keep_unbalanced: bool = True, materialize: bool = False,
@@ -375,27 +514,31 @@ def imports(files: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- exports
 
-def exports_from(stmts: DataFrame, nested: bool = True) -> DataFrame:
+def exports_from(stmts: DataFrame, nested: bool = True, text: str = "value") -> DataFrame:
     """One row per exported name: top-level exports, plus exports nested
     at depth > 0 (e.g. inside a namespace) with their own full text. ``line``
-    is the file line of a nested export and -1 for a top-level one. NULL name =
+    numbers a nested export within its file, ``row`` is its line there; both are -1 for a top-level one. NULL name =
     no identifier (the reference raises InvalidNode; the row is kept for
-    reporting). One array per statement, exploded once."""
+    reporting). Nested texts are cut out of the column ``text`` (``value``, or ``ccode``: without comments).
+    One array per statement, exploded once."""
+    kind = "array<struct<name:string,line:int,row:bigint,at:bigint,n_bytes:bigint>>"
     found = F.when(F.col("is_export"), F.transform("export_names", lambda n: F.struct(
-        n.alias("name"), F.lit(-1).alias("line"), F.lit(0).alias("at"), F.lit(0).alias("n_lines"))))
-    found = F.coalesce(found, F.array().cast("array<struct<name:string,line:int,at:int,n_lines:int>>"))
+        n.alias("name"), F.lit(-1).alias("line"), F.lit(-1).alias("row"), F.lit(0).alias("at"), F.lit(0).alias("n_bytes"))).cast(kind))
+    found = F.coalesce(found, F.array().cast(kind))
     if nested:
-        found = F.concat(found, F.transform("nested_exports", lambda x: F.struct(
-            x["name"].alias("name"), x["line"].cast("int").alias("line"), x["at"].cast("int").alias("at"),
-            x["n_lines"].cast("int").alias("n_lines"))))
-    e = stmts.select("project_id", "path", "file_ord", "stmt_ord", "kind", "value", F.explode(found).alias("x"))
+        at = "at" if text == "value" else "code_at"
+        found = F.concat(found, F.flatten(F.transform("nested_exports", lambda x: F.transform(x["names"], lambda n: F.struct(
+            n.alias("name"), x["line"].alias("line"), x["row"].alias("row"), x[at].alias("at"), x["n_bytes"].alias("n_bytes"))))).cast(kind))
+    cut = [F.col(text).alias("_text")] if text != "value" else []
+    e = stmts.select("project_id", "path", "file_ord", "stmt_ord", "kind", "value", *cut, F.explode(found).alias("x"))
     inner = F.col("x.line") >= 0
-    text = F.trim(F.array_join(F.slice(F.split("value", "\n", -1), F.col("x.at") + 1, F.col("x.n_lines")), "\n"))
+    member = F.trim(F.decode(F.substring(F.col("_text" if cut else "value").cast("binary"), F.col("x.at").cast("int") + 1,
+                                         F.col("x.n_bytes").cast("int")), "UTF-8"))
     return e.select(
         "project_id", "path", "file_ord", "stmt_ord", F.col("x.name").alias("export_name"),
         F.when(inner, F.lit("ExportDecl")).otherwise(F.col("kind")).alias("kind"),
-        F.when(inner, text).otherwise(F.col("value")).alias("value"),
-        inner.alias("nested"), F.col("x.line").alias("line"),
+        F.when(inner, member).otherwise(F.col("value")).alias("value"),
+        inner.alias("nested"), F.col("x.line").alias("line"), F.col("x.row").alias("row"),
     )
 
 
@@ -406,9 +549,9 @@ def exports(files: DataFrame, nested: bool = True) -> DataFrame:
 # ------------------------------------------------------------ declarations
 
 def declarations_from(stmts: DataFrame) -> DataFrame:
-    """Named top-level declarations (imports excluded; they are in B5)."""
-    return stmts.where(F.col("name").isNotNull()).select(
-        "project_id", "path", "file_ord", "stmt_ord", "name", "kind", "raw_type", "is_export",
+    """Named top-level declarations (imports excluded; they are in B5), one row for each declared name."""
+    return stmts.select(
+        "project_id", "path", "file_ord", "stmt_ord", F.explode(declared_names(stmts)).alias("name"), "kind", "raw_type", "is_export",
         "decl_keyword",
     )
 
@@ -452,9 +595,10 @@ def ref_edges_from(stmts: DataFrame, decls: DataFrame) -> DataFrame:
     deduplicated per (project_id, name) first so the join is many-to-one and
     a popular name cannot multiply rows; AQE's skew join splits a hot key.
     """
+    names = declared_names(stmts)
     src = stmts.where(F.col("name").isNotNull()).select(
-        "project_id", F.col("name").alias("src"), F.explode(L.identifiers(F.col("mcode"))).alias("dst")
-    ).where(F.col("src") != F.col("dst"))
+        "project_id", names.alias("srcs"), F.explode(F.array_except(L.identifiers(F.col("mcode")), names)).alias("dst")
+    ).select("project_id", F.explode("srcs").alias("src"), "dst")
     targets = decls.select("project_id", F.col("name").alias("dst")).distinct()
     return src.join(targets, ["project_id", "dst"], "left_semi").select(
         "project_id", "src", "dst", F.lit("uses").alias("edge_kind")

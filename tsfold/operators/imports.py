@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import extract as X
+from . import reexports as R
 from .order import dense_rank_within
 
 # --- fixed values: built-in module names (Node.js core modules) -------------
@@ -74,25 +75,21 @@ def unused_imports(stmts: DataFrame) -> DataFrame:
     return imp.join(used, ["project_id", "path", "local_name"], "left_anti")
 
 
-def _module_of(path: Column) -> Column:
-    """Path as an import names it: no source suffix, no closing ``/index``."""
-    return F.regexp_replace(F.regexp_replace(path, r"(\.d)?\.[cm]?[jt]sx?$", ""), r"/index$", "")
-
-
 def located_refs(stmts: DataFrame) -> DataFrame:
     """B9 with identity: one row per referencing statement and declaration it
     names, both given by (path, stmt_ord).
 
     A name means the file's own declaration, else what the file imports under
-    it (from the module that the import's path names), else an export of the
-    project. A name imported from outside the project, as a whole module, or
-    through a re-export has no declaration here and gives no row.
+    it (from the module that the import's path names, or what that module
+    re-exports under the name), else an export of the
+    project. A name imported from outside the project or as a whole module
+    has no declaration here and gives no row.
 
     Two joins, both with one row per key on the declaration side: the names
     a file knows, then the declarations by place (file, module, or project).
     AQE's skew join splits a popular name."""
     own = stmts.where(F.col("name").isNotNull()).select(
-        "project_id", "path", "file_ord", "stmt_ord", "is_export", "name"
+        "project_id", "path", "file_ord", "stmt_ord", "is_export", F.explode(X.declared_names(stmts)).alias("name")
     )
     declared = own.groupBy("project_id", "path", F.col("name").alias("word")).agg(F.min("stmt_ord").alias("own_ord"))
     imported = stmts.where(F.col("raw_type") == "import_statement").select(
@@ -112,7 +109,7 @@ def located_refs(stmts: DataFrame) -> DataFrame:
         F.when(F.col("own_ord").isNotNull(), F.col("path"))
         .when(F.col("imp").isNull(), F.lit(""))
         .when(source.startswith(".") | source.startswith("/"),
-              F.concat(F.lit("module:"), _module_of(normalize_path(F.col("path"), source))))
+              F.concat(F.lit("module:"), R.module_of(normalize_path(F.col("path"), source))))
     )
     name = F.when(F.col("own_ord").isNull(), F.col("imp.name"))
     refs = refs.join(known, ["project_id", "path", "word"], "left").select(
@@ -120,14 +117,22 @@ def located_refs(stmts: DataFrame) -> DataFrame:
         place.alias("place"), F.coalesce(name, "word").alias("dst"),
     ).where(F.col("place").isNotNull())
 
-    places = F.array(F.col("path"), F.concat(F.lit("module:"), _module_of(F.col("path"))),
+    places = F.array(F.col("path"), F.concat(F.lit("module:"), R.module_of(F.col("path"))),
                      F.when(F.col("is_export"), F.lit("")))
-    targets = own.select("*", F.explode(places).alias("place")).where(F.col("place").isNotNull()).groupBy(
-        "project_id", "place", F.col("name").alias("dst")
-    ).agg(F.min_by(F.struct("path", "stmt_ord"), F.struct(~F.col("is_export"), "file_ord", "path", "stmt_ord")).alias("to"))
+    targets = own.select("*", F.explode(places).alias("place")).where(F.col("place").isNotNull()).select(
+        "project_id", "place", F.col("name").alias("dst"), F.struct("path", "stmt_ord", "name").alias("to"),
+        F.struct((~F.col("is_export")).cast("int").alias("rank"), "file_ord", "path", "stmt_ord").alias("key"))
+    passed = R.resolve(stmts) if "export_links" in stmts.columns else None
+    if passed is not None:  # names that a module passes on come after those it declares and exports
+        passed = passed.where("dst IS NOT NULL").select(
+            "project_id", F.concat(F.lit("module:"), R.module_of(F.col("path"))).alias("place"), F.col("name").alias("dst"),
+            F.struct(F.col("dst_path").alias("path"), F.col("dst_stmt_ord").alias("stmt_ord"), F.col("dst").alias("name")).alias("to"),
+            F.struct(F.lit(0).alias("rank"), F.lit(2 ** 62).alias("file_ord"), "path", F.col("dst_stmt_ord").alias("stmt_ord")).alias("key"))
+        targets = targets.unionByName(passed)
+    targets = targets.groupBy("project_id", "place", "dst").agg(F.min_by("to", "key").alias("to"))
     return refs.join(targets, ["project_id", "place", "dst"]).select(
         "project_id", "src_path", "file_ord", "src_stmt_ord", "src",
-        F.col("to.path").alias("dst_path"), F.col("to.stmt_ord").alias("dst_stmt_ord"), "dst",
+        F.col("to.path").alias("dst_path"), F.col("to.stmt_ord").alias("dst_stmt_ord"), F.col("to.name").alias("dst"),
     ).where((F.col("src_path") != F.col("dst_path")) | (F.col("src_stmt_ord") != F.col("dst_stmt_ord"))).distinct()
 
 
@@ -175,9 +180,9 @@ def line_provenance(rows: DataFrame, stmts: DataFrame) -> DataFrame:
     )
     member = F.col("origin_line") >= 0
     own = F.when(member, F.split(F.btrim("value", F.lit("\n")), "\n", -1))
-    j = rows.select("project_id", "out_ord", "origin_path", "origin_stmt_ord", "origin_line", own.alias("_own")).join(
+    j = rows.select("project_id", "out_ord", "origin_path", "origin_stmt_ord", "origin_line", "origin_row", own.alias("_own")).join(
         src, ["project_id", "origin_path", "origin_stmt_ord"]
-    ).withColumn("start_row", F.when(member, F.col("origin_line")).otherwise(F.col("start_row")))
+    ).withColumn("start_row", F.when(member, F.col("origin_row")).otherwise(F.col("start_row")))
     return j.select(
         "project_id", "out_ord", "origin_path", "start_row",
         F.posexplode(F.coalesce("_own", F.split("_v", "\n"))).alias("k", "_line"),

@@ -52,12 +52,13 @@ def export_map(exports: DataFrame) -> DataFrame:
     Partial aggregation before the shuffle; this side of C2 is many-to-one."""
     e = exports.where(F.col("export_name").isNotNull())
     best = F.min_by(
-        F.struct("path", "file_ord", "stmt_ord", "line", "kind", "value"), F.struct("file_ord", "path", "stmt_ord", "line")
+        F.struct("path", "file_ord", "stmt_ord", "line", "row", "kind", "value"), F.struct("file_ord", "path", "stmt_ord", "line")
     )
     return e.groupBy("project_id", "export_name").agg(best.alias("x")).select(
         "project_id", "export_name",
         F.col("x.path").alias("export_path"), F.col("x.file_ord").alias("export_file_ord"),
         F.col("x.stmt_ord").alias("export_stmt_ord"), F.col("x.line").alias("export_line"),
+        F.col("x.row").alias("export_row"),
         F.col("x.kind").alias("export_kind"),
         F.col("x.value").alias("export_value"),
     )
@@ -155,19 +156,21 @@ def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
     checkpointed once unless they already come from storage."""
     value = F.col("value") if opts.preserve_comments else strip_comment_value(F.col("ccode"))
     st = facts.withColumn("value", value)
-    if not opts.preserve_comments:  # nested exports are cut out of the text that is written
-        st = st.withColumn("nested_exports", F.transform(
-            "nested_exports", lambda x: x.withField("at", x["code_at"])))
     if opts.strict_kinds:
         st = st.where(F.col("kind") != "Unknown")
     st = st.select(
         "project_id", "path", "file_ord", "stmt_ord", "kind", "raw_type", "is_export", "value",
-        "export_names", "nested_exports", "import_names", "source_path",
+        "export_names", "nested_exports", "import_names", "source_path", *([] if opts.preserve_comments else ["ccode"]),
     )
     if materialize:
         st = st.checkpoint(eager=True)
 
-    ex = X.exports_from(st)
+    if opts.preserve_comments:
+        ex = X.exports_from(st)
+    else:  # nested exports are cut out of the code without comments, then stripped as the statements are
+        ex = X.exports_from(st, text="ccode")
+        ex = ex.withColumn("value", F.when(F.col("nested"), strip_comment_value(F.col("value"))).otherwise(F.col("value")))
+        st = st.drop("ccode")
     if opts.on_conflict == "error":
         bad = export_conflicts(ex).limit(1).count()
         if bad:
@@ -185,14 +188,14 @@ def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
         F.lit(None).cast("string").alias("source_path"),
         F.col("export_value").alias("out_value"),
         F.col("export_path").alias("origin_path"), F.col("export_stmt_ord").alias("origin_stmt_ord"),
-        F.col("export_line").alias("origin_line"),
+        F.col("export_line").alias("origin_line"), F.col("export_row").alias("origin_row"),
     )
     own = st.join(per_stmt.where("all_resolved = 1"), ["project_id", "path", "stmt_ord"], "left_anti")
     own = own.select(
         "project_id", "path", "file_ord", "stmt_ord", F.lit(0).alias("name_ord"),
         "kind", "raw_type", "source_path", F.col("value").alias("out_value"),
         F.col("path").alias("origin_path"), F.col("stmt_ord").alias("origin_stmt_ord"),
-        F.lit(-1).alias("origin_line"),
+        F.lit(-1).alias("origin_line"), F.lit(-1).cast("bigint").alias("origin_row"),
     )
     rows = own.unionByName(inlined)
     section, sp = order_key(F.col("kind"), F.col("raw_type"), F.col("source_path"), opts)
@@ -214,7 +217,7 @@ def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
     )
     return out.select(
         "project_id", "out_ord", "section", "sort_path", "path", "file_ord", "stmt_ord", "name_ord",
-        "kind", "origin_path", "origin_stmt_ord", "origin_line",
+        "kind", "origin_path", "origin_stmt_ord", "origin_line", "origin_row",
         spacing(F.col("kind"), F.col("out_value")).alias("value"),
     )
 
@@ -231,14 +234,15 @@ def merge_text(rows: DataFrame) -> DataFrame:
     )
 
 
-def comment_carry(files: DataFrame, rows: DataFrame) -> DataFrame:
+def comment_carry(facts: DataFrame, rows: DataFrame) -> DataFrame:
     """C11: comments of merged statements, at the place where the statement
-    itself first went, be it in its own file's turn or inlined before it (one
-    row per comment line)."""
-    ln = X.lines(files).where("balanced")
-    c = ln.where(F.col("nonblank") & ~F.col("is_code")).select(
-        "project_id", "path", "stmt_ord", "line", F.trim("raw").alias("comment")
-    )
+    itself first went, be it in its own file's turn or inlined before it: one
+    row per comment, before, inside or behind the statement's code, numbered in order.
+
+    A statement's text begins outside any literal, so its comments are the
+    comment tokens of that text; no file is read again for them."""
+    c = facts.where((F.instr("value", "//") > 0) | (F.instr("value", "/*") > 0)).select(
+        "project_id", "path", "stmt_ord", F.posexplode(X.L.comment_tokens(X.L.tokens(F.col("value")))).alias("comment_ord", "comment"))
     kept = rows.where(F.col("origin_line") < 0).groupBy(
         "project_id", F.col("origin_path").alias("path"), F.col("origin_stmt_ord").alias("stmt_ord")
     ).agg(F.min("out_ord").alias("out_ord"))

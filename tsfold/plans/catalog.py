@@ -14,6 +14,7 @@ from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import imports as I
 from ..operators import merge as M
+from ..operators import reexports as R
 from ..operators import tree as T
 from ..sources import corpora as C
 from ..sources import files as S
@@ -116,7 +117,7 @@ def q_imports(spark, sf):
 
 @query("exports")
 def q_exports(spark, sf):
-    return _big(X.exports(C.ts_corpus(spark, sf)).drop("line"), "stmt_ord")
+    return _big(X.exports(C.ts_corpus(spark, sf)).drop("line", "row"), "stmt_ord")
 
 
 @query("declarations")
@@ -169,7 +170,7 @@ def q_flatten_program(spark, sf):
 def _ts_edges(spark, sf, corpus):
     st = X.extract_facts(corpus(spark, sf), materialize=True, columns=[
         "project_id", "path", "file_ord", "stmt_ord", "name", "kind", "raw_type", "is_export",
-        "decl_keyword", "mcode", "members",
+        "decl_keyword", "decl_names", "mcode", "members",
     ])
     return st
 
@@ -360,9 +361,9 @@ def q_spacing(spark, sf):
 
 @query("comment_carry")
 def q_comment_carry(spark, sf):
-    files = C.ts_corpus(spark, sf)
-    rows = M.merge_rows(files)
-    return M.comment_carry(files, rows).select("project_id", "out_ord", "comment")
+    facts = M.merge_facts(C.ts_corpus(spark, sf)).checkpoint(eager=True)  # lexed once for the merge and the comments
+    rows = M.merge_rows_from_facts(facts, materialize=False)
+    return M.comment_carry(facts, rows).select("project_id", "out_ord", "comment")
 
 
 @query("merge_text")
@@ -410,7 +411,7 @@ def _facts(spark, sf, corpus):
     return X.extract_facts(corpus(spark, sf), materialize=True, columns=[
         "project_id", "path", "file_ord", "stmt_ord", "name", "kind", "raw_type", "is_export",
         "decl_keyword", "mcode", "members", "import_names", "source_path", "value", "start_row",
-        "export_names", "nested_exports",
+        "export_names", "nested_exports", "decl_names", "export_links",
     ])
 
 
@@ -484,9 +485,56 @@ def q_namespace_merge(spark, sf):
 
 @query("line_provenance")
 def q_line_provenance(spark, sf):
-    st = _facts(spark, sf, C.ts_corpus)
-    rows = M.merge_rows(C.ts_corpus(spark, sf))
-    return I.line_provenance(rows, st)
+    facts = X.extract_facts(C.ts_corpus(spark, sf), materialize=True, columns=[*M.FACT_COLUMNS, "start_row"])
+    return I.line_provenance(M.merge_rows_from_facts(facts, materialize=False), facts)  # lexed once for both
+
+
+# ---------------------------------------------- dense code, re-exports
+
+@query("statements_dense")
+def q_statements_dense(spark, sf):
+    """B1 on several statements a line and nested templates."""
+    return _big(X.statements(C.ts_shapes(spark, sf)), "stmt_ord")
+
+
+@query("declarations_dense")
+def q_declarations_dense(spark, sf):
+    """B6 on several declarators and binding patterns."""
+    d = X.declarations_from(X.extract_facts(C.ts_shapes(spark, sf)))
+    return _big(d.select("project_id", "path", "stmt_ord", "name", "is_export", "decl_keyword"), "stmt_ord")
+
+
+@query("exports_dense")
+def q_exports_dense(spark, sf):
+    """B4 on several declarators and members that share a line."""
+    return _big(X.exports(C.ts_shapes(spark, sf)).drop("line", "row"), "stmt_ord")
+
+
+@query("ref_edges_dense")
+def q_ref_edges_dense(spark, sf):
+    st = _ts_edges(spark, sf, C.ts_shapes)
+    return X.ref_edges_from(st, X.declarations_from(st))
+
+
+@query("trailing_comments")
+def q_trailing_comments(spark, sf):
+    """C11 on comments behind code."""
+    facts = M.merge_facts(C.ts_shapes(spark, sf)).checkpoint(eager=True)
+    rows = M.merge_rows_from_facts(facts, materialize=False)
+    return _big(M.comment_carry(facts, rows).select("project_id", "path", "stmt_ord", "comment_ord", "comment"), "stmt_ord", "comment_ord")
+
+
+@query("reexports")
+def q_reexports(spark, sf):
+    """What the names stand for that barrels pass on."""
+    r = R.resolve(_facts(spark, sf, C.ts_barrels))
+    return _big(r, "dst_stmt_ord")
+
+
+@query("located_refs_barrels")
+def q_located_refs_barrels(spark, sf):
+    """B9 with identity through barrels three deep."""
+    return _big(I.located_refs(_facts(spark, sf, C.ts_barrels)).select(*LOCATED), "src_stmt_ord", "dst_stmt_ord")
 
 
 # ---------------------------------------------------------- F events

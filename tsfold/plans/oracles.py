@@ -585,5 +585,65 @@ FROM mo m JOIN stmts s ON s.path = m.path AND s.stmt_ord = m.stmt_ord AND s.proj
      range(0, len(string_split(s.value, chr(10)))) t(i)"""
 
 
+# ------------------------------------------------- dense code, re-exports
+
+SHAPES = f"""
+WITH p AS (SELECT p_partkey AS k, p_size % 7 + 1 AS d FROM part),
+v AS (SELECT k, unnest([
+    {{'s': 1, 'row': 0, 'v': 'class C# {{}}', 't': 'class_declaration', 'kind': 'Class', 'name': 'C#', 'after': NULL}},
+    {{'s': 2, 'row': 0, 'v': 'class E# extends C# {{}}', 't': 'class_declaration', 'kind': 'Class', 'name': 'E#', 'after': 1}},
+    {{'s': 3, 'row': 1, 'v': 'export const a# = 1, b# = new C#();', 't': 'export_statement', 'kind': 'ExportDecl', 'name': 'a#', 'after': NULL}},
+    {{'s': 4, 'row': 1, 'v': 'let {{ p#, q: r# = {{ z: 2 }}, ...s# }} = a#;', 't': 'lexical_declaration', 'kind': 'Unknown', 'name': 'p#', 'after': 3}},
+    {{'s': 5, 'row': 2, 'v': 'const t# = `x${{ b# ? `}}{{ ${{ p# }} {{` : ''`'' }}y` + ' || repeat('`${{', d) || '1' || repeat('}}`', d) || ';', 't': 'lexical_declaration', 'kind': 'Unknown', 'name': 't#', 'after': NULL}},
+    {{'s': 6, 'row': 2, 'v': 'export function f#() {{}}', 't': 'export_statement', 'kind': 'ExportDecl', 'name': 'f#', 'after': 5}},
+    {{'s': 7, 'row': 2, 'v': 'f#();', 't': 'expression_statement', 'kind': 'Unknown', 'name': NULL, 'after': 6}},
+    {{'s': 8, 'row': 3, 'v': 'export namespace N# {{ export const m# = 1, n# = 2; export class K# {{ go() {{}} }} }}', 't': 'export_statement', 'kind': 'ExportDecl', 'name': 'N#', 'after': NULL}},
+    {{'s': 9, 'row': 4, 'v': 'const z# = 2; // tail #', 't': 'lexical_declaration', 'kind': 'Unknown', 'name': 'z#', 'after': NULL}}]) AS x FROM p),
+st AS (SELECT k % 16 AS project_id, 'src/shape/' || k || '.ts' AS path, k AS file_ord, k, x.s AS stmt_ord, x.kind AS kind, x.t AS raw_type,
+    replace(x.name, '#', k::VARCHAR) AS name, x.t = 'export_statement' AS is_export, replace(x.v, '#', k::VARCHAR) AS value,
+    x.row::BIGINT AS r FROM v),
+pos AS (SELECT *, coalesce(sum(length(value) + 1) OVER (PARTITION BY k ORDER BY stmt_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM st)
+"""
+
+ORACLES["statements_dense"] = SHAPES + """
+SELECT project_id, path, file_ord, stmt_ord::BIGINT AS stmt_ord, kind, raw_type, name, is_export, value, b AS start_byte, b + length(value) AS end_byte,
+    r AS start_row, b - min(b) OVER (PARTITION BY k, r) AS start_col, r AS end_row, b - min(b) OVER (PARTITION BY k, r) + length(value) AS end_col FROM pos"""
+
+_SHAPE_NAMES = """names AS (SELECT k, unnest([
+    {'s': 1, 'n': 'C', 'e': false, 'w': 'class'}, {'s': 2, 'n': 'E', 'e': false, 'w': 'class'}, {'s': 3, 'n': 'a', 'e': true, 'w': 'const'},
+    {'s': 3, 'n': 'b', 'e': true, 'w': 'const'}, {'s': 4, 'n': 'p', 'e': false, 'w': 'let'}, {'s': 4, 'n': 'r', 'e': false, 'w': 'let'},
+    {'s': 4, 'n': 's', 'e': false, 'w': 'let'}, {'s': 5, 'n': 't', 'e': false, 'w': 'const'}, {'s': 6, 'n': 'f', 'e': true, 'w': 'function'},
+    {'s': 8, 'n': 'N', 'e': true, 'w': 'namespace'}, {'s': 9, 'n': 'z', 'e': false, 'w': 'const'}]) AS x FROM p)"""
+
+ORACLES["declarations_dense"] = SHAPES + "," + _SHAPE_NAMES + """
+SELECT k % 16 AS project_id, 'src/shape/' || k || '.ts' AS path, x.s::BIGINT AS stmt_ord, x.n || k AS name, x.e AS is_export, x.w AS decl_keyword FROM names"""
+
+ORACLES["exports_dense"] = SHAPES + "," + _SHAPE_NAMES + """
+SELECT project_id, path, file_ord, stmt_ord::BIGINT AS stmt_ord, x.n || names.k AS export_name, kind, value, false AS nested
+FROM names JOIN st ON st.k = names.k AND x.s = stmt_ord WHERE x.e
+UNION ALL SELECT project_id, path, file_ord, 8, n || k, 'ExportDecl', replace(m, '#', k::VARCHAR), true
+FROM st, (VALUES ('m', 'export const m# = 1, n# = 2;'), ('n', 'export const m# = 1, n# = 2;'), ('K', 'export class K# { go() {} }')) AS t(n, m) WHERE stmt_ord = 8"""
+
+ORACLES["ref_edges_dense"] = """
+SELECT p_partkey % 16 AS project_id, a || p_partkey AS src, b || p_partkey AS dst, 'uses' AS edge_kind
+FROM part, (VALUES ('E', 'C'), ('a', 'C'), ('b', 'C'), ('p', 'a'), ('r', 'a'), ('s', 'a')) AS t(a, b)"""
+
+ORACLES["trailing_comments"] = """
+SELECT p_partkey % 16 AS project_id, 'src/shape/' || p_partkey || '.ts' AS path, 9::BIGINT AS stmt_ord, 0::BIGINT AS comment_ord, '// tail ' || p_partkey AS comment FROM part"""
+
+BARRELS = """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 16 AS project_id, p_partkey // 128 AS g, 'src/part/' || p_partkey || '.ts' AS dst_path,
+    CASE WHEN p_partkey // 16 % 2 = 1 THEN 'Alias' ELSE 'Part' END || p_partkey AS name FROM part)
+"""
+
+ORACLES["reexports"] = BARRELS + """
+SELECT project_id, 'src/b1/' || g || '.ts' AS path, name, dst_path, 1::BIGINT AS dst_stmt_ord, 'Part' || k AS dst FROM p
+UNION ALL SELECT project_id, 'src/entry.ts', name, dst_path, 1, 'Part' || k FROM p
+UNION ALL SELECT DISTINCT project_id, 'src/loop/' || g || x || '.ts', 'Loop' || g, NULL, NULL, NULL FROM p, (VALUES ('x'), ('y')) AS t(x)"""
+
+ORACLES["located_refs_barrels"] = BARRELS + """
+SELECT project_id, 'src/use/' || k || '.ts' AS src_path, 2::BIGINT AS src_stmt_ord, 'use' || k AS src, dst_path, 1::BIGINT AS dst_stmt_ord, 'Part' || k AS dst FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

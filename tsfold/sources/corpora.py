@@ -195,6 +195,67 @@ def ts_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.unionByName(ix)
 
 
+def ts_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense code, one file per part: several statements on a line, several declarators, binding patterns, a namespace
+    and its members on one line, a trailing comment, and template literals nested up to seven deep (by ``p_size``)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    deep = (F.col("p_size") % 7 + 1).cast("int")
+    nest = F.concat(F.expr("repeat('`${', cast(p_size % 7 + 1 as int))"), F.lit("1"), F.repeat(F.lit("}`"), deep))
+    lines = [
+        "class C# {} class E# extends C# {}",
+        "export const a# = 1, b# = new C#(); let { p#, q: r# = { z: 2 }, ...s# } = a#;",
+        "const t# = `x${ b# ? `}{ ${ p# } {` : '`' }y` + @; export function f#() {} f#();",
+        "export namespace N# { export const m# = 1, n# = 2; export class K# { go() {} } }",
+        "const z# = 2; // tail #", "",
+    ]
+    content = F.replace(F.replace(F.lit("\n".join(lines)), F.lit("#"), _s("p_partkey")), F.lit("@"), nest)
+    return files_frame(p.select(
+        (F.col("p_partkey") % N_PROJECTS).alias("project_id"),
+        F.concat(F.lit("src/shape/"), _s("p_partkey"), F.lit(".ts")).alias("path"),
+        F.col("p_partkey").alias("file_ord"), content.alias("content"),
+    ))
+
+
+def ts_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that travel through barrels: a part's class is listed (every other one under an alias) in a barrel of eight
+    parts, barrels are gathered by ``index.ts`` files with ``export *``, these by ``src/entry.ts``, and users import
+    from the entry. The index files also pass on the entry (a circle of stars), and two files of each
+    barrel pass a name to each other that nobody declares (a circle of lists)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    p = p.select("k", (F.col("k") % N_PROJECTS).alias("project_id"), F.floor(F.col("k") / (8 * N_PROJECTS)).cast("bigint").alias("g"))
+    p = p.withColumn("h", F.floor(F.col("g") / 8).cast("bigint"))
+    k, g, h = _s("k"), _s("g"), _s("h")
+    odd = F.col("k") / N_PROJECTS % 2 >= 1
+
+    def file(rows: DataFrame, path: Column, order: Column, content: Column) -> DataFrame:
+        return files_frame(rows.select("project_id", path.alias("path"), order.alias("file_ord"), content.alias("content")))
+
+    def gathered(rows: DataFrame, keys: list[str], order: str, line: Column) -> DataFrame:
+        lines = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
+        return rows.groupBy("project_id", *keys).agg(F.concat(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\n")).alias("content"))
+
+    groups = p.select("project_id", "g", "h").distinct()
+    parts = file(p, F.concat(F.lit("src/part/"), k, F.lit(".ts")), F.col("k"), F.concat(F.lit("export class Part"), k, F.lit(" {}\n")))
+    listed = gathered(p, ["g"], "k", F.concat(
+        F.lit("export { Part"), k, F.when(odd, F.concat(F.lit(" as Alias"), k)).otherwise(""), F.lit(" } from '../part/"), k, F.lit("';")))
+    barrels = file(listed, F.concat(F.lit("src/b1/"), g, F.lit(".ts")), F.col("g") + 10 ** 9, F.col("content"))
+    stars = gathered(groups, ["h"], "g", F.concat(F.lit("export * from '../../b1/"), g, F.lit("';")))
+    index = file(stars, F.concat(F.lit("src/b2/"), h, F.lit("/index.ts")), F.col("h") + 2 * 10 ** 9,
+                 F.concat("content", F.lit("export * from '../../entry';\n")))
+    entries = gathered(groups.select("project_id", "h").distinct(), [], "h", F.concat(F.lit("export * from './b2/"), h, F.lit("';")))
+    entry = file(entries, F.lit("src/entry.ts"), F.lit(3 * 10 ** 9), F.col("content"))
+    name = F.when(odd, F.concat(F.lit("Alias"), k, F.lit(" as It"))).otherwise(F.concat(F.lit("Part"), k))
+    word = F.when(odd, F.lit("It")).otherwise(F.concat(F.lit("Part"), k))
+    users = file(p, F.concat(F.lit("src/use/"), k, F.lit(".ts")), F.col("k") + 4 * 10 ** 9, F.concat(
+        F.lit("import { "), name, F.lit(" } from '../entry';\nexport const use"), k, F.lit(" = new "), word, F.lit("();\n")))
+    out = parts.unionByName(barrels).unionByName(index).unionByName(entry).unionByName(users)
+    for i, (mine, other) in enumerate((("x", "y"), ("y", "x"))):
+        out = out.unionByName(file(groups, F.concat(F.lit("src/loop/"), g, F.lit(f"{mine}.ts")), F.col("g") + (5 + i) * 10 ** 9, F.concat(
+            F.lit("export { Loop"), g, F.lit(" } from './"), g, F.lit(f"{other}';\n"))))
+    return out.unionByName(file(groups, F.concat(F.lit("src/loop/"), g, F.lit("z.ts")), F.col("g") + 7 * 10 ** 9, F.concat(
+        F.lit("import { Loop"), g, F.lit(" } from './"), g, F.lit("x';\nconst end"), g, F.lit(" = Loop"), g, F.lit(";\n"))))
+
+
 def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as HTML files (second language plug-in for comments)."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
