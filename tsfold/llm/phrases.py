@@ -10,13 +10,14 @@ join the proposed ones and a further pass counts what this adds, until no new on
 turns up. The result does not depend on the sample; a poor sample costs passes.
 
 On Spark: tasks hash the words of a slice of texts with numpy, form all phrases of
-up to ``MAX_WORDS`` words by hash, keep those that are to be counted, count them
-within the slice, and write the text only of distinct phrases; Spark adds the
-counts up (partial sums before the shuffle, so that a frequent phrase or language
-is no hot key). What is to be counted is known to the tasks by a bit set of
-hashes of the proposed phrases, about ``BITS`` bits for each and at most
-``MAX_BITS`` in all, a bound that holds for any input. A bit that two
-phrases share (more of them on input beyond that bound) only makes the pass count more.
+up to ``MAX_WORDS`` words by hash, keep those that are to be counted and count them
+within the slice; Spark adds the counts up by hash (partial sums before the
+shuffle, so that a frequent phrase or language is no hot key). A hash counts all
+phrases that have it, so no frequent phrase is missed; a last pass counts
+the phrases of frequent hashes again by their text, which makes the counts exact. What is to be
+counted is known to the tasks by a bit set of hashes, about ``BITS`` bits for each
+and at most ``MAX_BITS`` in all, a bound that holds for any input. A bit that two
+phrases share (more of them on input beyond that bound) only makes a pass count more.
 
 Everything is per language. Scores are exact (38-digit integers), and the ranking
 takes the first rows of parts of a language before those of the language.
@@ -46,7 +47,7 @@ MIN_COUNT = 100
 TOP = 2000
 #: One of so many documents is in the sample, and the share of the scaled count at which it proposes a phrase.
 SAMPLE = 16
-LOWERED = 0.4
+LOWERED = 0.8
 BITS = 16
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
 SLICE_BYTES = 1 << 20
@@ -125,69 +126,78 @@ class Bits:
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str], np.ndarray]]:
+    """Words, languages and hashes of nothing of slices of (lang, text) rows."""
+    seeds: dict[str, int] = {}
+    for batch in batches:
+        for part in byte_slices(batch, "text", SLICE_BYTES):
+            langs = part.column("lang").to_pylist()
+            for x in set(langs) - seeds.keys():
+                seeds[x] = _language_hash(x)
+            w = Words(bytes_of(part, "text"))
+            if len(w.hash):
+                yield w, langs, np.array([seeds[x] for x in langs], np.uint64)
+
+
+def _key(h: np.ndarray, k: int) -> np.ndarray:
+    """What phrases are counted by: their hash, with the number of words in the last bits."""
+    return h & ~np.uint64(7) | np.uint64(k)
+
+
 def _counter(now, before, sampled: bool):
-    """A ``mapInArrow`` function from (lang, text) to (lang, phrase, n): the phrases whose beginning and end ``now``
-    (a broadcast ``Bits``) holds, and not ``before`` holds as well; the empty phrase stands for all words."""
+    """A ``mapInArrow`` function from (lang, text) to (h, n): the phrases whose beginning and end ``now``
+    (a broadcast ``Bits``) holds, and not ``before`` holds as well."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proposed = Bits(now.value) if now is not None else None
         counted = Bits(before.value) if before is not None else None
-        seeds: dict[str, int] = {}
-        for batch in batches:
-            for part in byte_slices(batch, "text", SLICE_BYTES):
-                langs = part.column("lang").to_pylist()
-                for x in set(langs) - seeds.keys():
-                    seeds[x] = _language_hash(x)
-                w = Words(bytes_of(part, "text"))
-                if not len(w.hash):
-                    continue
-                keys, firsts, sizes = [], [], []
-                last_now = last_before = None
-                for k, (h, ok) in enumerate(w.phrases(np.array([seeds[x] for x in langs], np.uint64)), 1):
-                    some = ok
-                    if k > 1 and not sampled:
-                        some = ok.copy()
-                        some[:-1] &= last_now[:-1] & last_now[1:]  # the phrases one word shorter, from here and from the next word
-                        some[-1] = False
-                        if counted is not None:
-                            some[:-1] &= ~(last_before[:-1] & last_before[1:])
-                    if k > 1 or counted is None:
-                        at = np.flatnonzero(some)
-                        keys.append(h[at])
-                        firsts.append(at)
-                        sizes.append(np.full(len(at), k))
-                    if not sampled:
-                        last_now = ok & proposed.has(h)
-                        last_before = ok & counted.has(h) if counted is not None else None
-                keys, firsts, sizes = (np.concatenate(x) for x in (keys, firsts, sizes))
-                which, distinct = pd.factorize(keys)
-                one = np.empty(len(distinct), np.int64)
-                one[which] = np.arange(len(which))
-                first, size = firsts[one], sizes[one]
-                lang = pa.array(langs, pa.string()).take(pa.array(w.text[first]))
-                yield pa.record_batch([lang, w.strings(first, size), pa.array(np.bincount(which, minlength=len(distinct)), pa.int64())],
-                                      names=["lang", "phrase", "n"])
-                if counted is None:
-                    per_text = np.bincount(w.text, minlength=len(langs))
-                    total: dict[str, int] = {}
-                    for x, c in zip(langs, per_text.tolist()):
-                        total[x] = total.get(x, 0) + c
-                    yield pa.record_batch([pa.array(list(total)), pa.array([""] * len(total)), pa.array(list(total.values()), pa.int64())],
-                                          names=["lang", "phrase", "n"])
+        for w, _, start in _slices(batches):
+            keys = []
+            last_now = last_before = None
+            for k, (h, ok) in enumerate(w.phrases(start), 1):
+                some = ok
+                if k > 1 and not sampled:
+                    some = ok.copy()
+                    some[:-1] &= last_now[:-1] & last_now[1:]  # the phrases one word shorter, from here and from the next word
+                    some[-1] = False
+                    if counted is not None:
+                        some[:-1] &= ~(last_before[:-1] & last_before[1:])
+                if k > 1 or counted is None:
+                    keys.append(_key(h[some], k))
+                if not sampled:
+                    last_now = ok & proposed.has(h)
+                    last_before = ok & counted.has(h) if counted is not None else None
+            which, distinct = pd.factorize(np.concatenate(keys))
+            if len(distinct):
+                yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(np.bincount(which), pa.int64())], names=["h", "n"])
     return run
 
 
-def _phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    """Hashes of the phrases of (lang, phrase) rows, as in ``Words.phrases``."""
-    rows = bytes_of(batch, "phrase")
-    w = Words(rows)
-    seeds = {x: _language_hash(x) for x in set(batch.column("lang").to_pylist())}
-    size = np.bincount(w.text, minlength=len(rows))
-    first = np.cumsum(size) - size
-    out = np.zeros(len(rows), np.uint64)
-    for k, (h, _) in enumerate(w.phrases(np.array([seeds[x] for x in batch.column("lang").to_pylist()], np.uint64)), 1):
-        some = size == k
-        out[some] = h[first[some]]
-    return out
+def _text_counter(wanted):
+    """A ``mapInArrow`` function from (lang, text) to (lang, phrase, n): the phrases whose hash is in the broadcast bit
+    set, by their text; the empty phrase stands for all words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Bits(wanted.value)
+        for w, langs, start in _slices(batches):
+            keys, firsts, sizes = [], [], []
+            for k, (h, ok) in enumerate(w.phrases(start), 1):
+                at = np.flatnonzero(ok & bits.has(h))
+                keys.append(_key(h[at], k))
+                firsts.append(at)
+                sizes.append(np.full(len(at), k))
+            firsts, sizes = np.concatenate(firsts), np.concatenate(sizes)
+            which, distinct = pd.factorize(np.concatenate(keys))
+            one = np.empty(len(distinct), np.int64)
+            one[which] = np.arange(len(which))
+            first, size = firsts[one], sizes[one]
+            lang = pa.array(langs, pa.string()).take(pa.array(w.text[first]))
+            yield pa.record_batch([lang, w.strings(first, size), pa.array(np.bincount(which, minlength=len(distinct)), pa.int64())],
+                                  names=["lang", "phrase", "n"])
+            total: dict[str, int] = {}
+            for x, c in zip(langs, np.bincount(w.text, minlength=len(langs)).tolist()):
+                total[x] = total.get(x, 0) + c
+            yield pa.record_batch([pa.array(list(total)), pa.array([""] * len(total)), pa.array(list(total.values()), pa.int64())],
+                                  names=["lang", "phrase", "n"])
+    return run
 
 
 def bits_for(n: int) -> int:
@@ -195,34 +205,27 @@ def bits_for(n: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (BITS * n).bit_length()))
 
 
-def bits_of(phrases: DataFrame, size: int) -> np.ndarray:
-    """The bit set (``size`` bits) of the hashes of all (lang, phrase) rows. It is put together by Spark: each row gives
-    a place and a bit, and at most ``size`` / 64 sums come to the driver."""
-    shift = np.uint64(64 - size.bit_length() + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bit = _phrase_hashes(batch) >> shift
-                word = (bit >> np.uint64(6)).astype(np.int64)
-                yield pa.record_batch([pa.array(word), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], names=["place", "b"])
-
+def bits_of(counted: DataFrame, size: int) -> np.ndarray:
+    """The bit set (``size`` bits) of the hashes of the rows (h, n). It is put together by Spark: each row gives a place
+    and a bit, and at most ``size`` / 64 sums come to the driver."""
+    shift = 64 - size.bit_length() + 1
+    bit = F.shiftrightunsigned("h", shift)
+    rows = counted.select(F.shiftright(bit, 6).alias("place"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {shift}) & 63 as int))").alias("b"))
+    got = rows.groupBy("place").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(size // 64, np.uint64)
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "place long, b long").groupBy("place").agg(F.bit_or("b").alias("b"))
-    got = rows.toArrow()
     out[got.column("place").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def _not_in(phrases: DataFrame, bits) -> DataFrame:
-    """The (lang, phrase, n) rows that the broadcast bit set does not hold."""
+def _not_in(counted: DataFrame, bits) -> DataFrame:
+    """The (h, n) rows that the broadcast bit set does not hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Bits(bits.value)
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(~held.has(_phrase_hashes(batch))))
+                yield batch.filter(pa.array(~held.has(batch.column("h").to_numpy().view(np.uint64))))
 
-    return phrases.mapInArrow(run, "lang string, phrase string, n long")
+    return counted.mapInArrow(run, "h long, n long")
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -234,18 +237,18 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 def frequent(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, sample: int = SAMPLE,
              lowered: float = LOWERED) -> tuple[DataFrame, int]:
     """(lang, phrase, n) of all phrases of up to ``MAX_WORDS`` words that occur ``min_count`` times, and of the empty
-    phrase (all words of the language); and the number of full passes."""
+    phrase (all words of the language); and the number of full passes that counted by hash."""
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def counts(rows: DataFrame, now, before, sampled: bool, least: float) -> DataFrame:
-        counted = rows.mapInArrow(_counter(now, before, sampled), "lang string, phrase string, n long")
-        return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("phrase") == ""))
+        counted = rows.mapInArrow(_counter(now, before, sampled), "h long, n long")
+        return counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
     # stored at once: another sample in a repeated task would be no harm, but bits and passes must see the same one
     few = texts.filter(F.rand(17) < 1 / sample)
-    proposed = _stored(counts(few, None, None, True, max(1.0, lowered * min_count / sample)).filter("phrase <> ''"), "phrases-proposed")
+    proposed = _stored(counts(few, None, None, True, max(1.0, lowered * min_count / sample)), "phrases-proposed")
     size = bits_for(proposed.count())
     bits = bits_of(proposed, size)
     before, passes = None, 0
@@ -255,12 +258,14 @@ def frequent(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_
         fresh = _stored(counts(texts, now, before, False, min_count), "phrases-counted")
         passes += 1
         found = fresh if found is None else found.unionByName(fresh)
-        missed = fresh.filter((F.col("phrase") != "") & (F.size(F.split("phrase", " ")) < MAX_WORDS))
-        missed = _stored(_not_in(missed, now), "phrases-border")
+        missed = _stored(_not_in(fresh.filter(F.col("h").bitwiseAND(7) < MAX_WORDS), now), "phrases-border")
         if missed.isEmpty():
-            return found, passes
+            break
         before = now
         bits = bits | bits_of(missed, size)
+    wanted = spark.sparkContext.broadcast(bits_of(found, bits_for(found.count())))
+    exact = texts.mapInArrow(_text_counter(wanted), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return _stored(exact.filter((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases-frequent"), passes
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP,
