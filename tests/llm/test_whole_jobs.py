@@ -107,3 +107,38 @@ def test_toxicity_learns_from_one_text_of_a_repeated_id(spark):
 def test_toxicity_held_out_rows(spark):
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "i long").select("i", toxicity.held_out(F.col("i")).alias("h")).collect()
     assert all(r.h == (r.i is not None and zlib.crc32(str(r.i).encode()) % 3 == 1) for r in got)
+
+
+def test_pii_finds_numbers_inside_rejected_candidates():
+    anchors = pii.automaton()
+
+    def found(text):
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_spans(text, anchors)]
+
+    text = "+1 (826) 555-4081 190.137.223.204"
+    assert found(text) == [("ip", "190.137.223.204"), ("phone_within", "+1 (826) 555-4081")]
+    assert pii.masked(text, pii.find_spans(text, anchors)) == "<phone> <ip>"
+    assert found("id 12 4111 1111 1111 1111 7") == [("card_within", "4111 1111 1111 1111")]
+    assert found("+12345678901234567890") == [] == found("4111 1111 1111 1112 77")
+
+
+def test_warc_keeps_text_that_only_looks_like_a_tag():
+    assert warc.plain_text("x<y then z> w") == "x<y then z> w"
+    assert warc.plain_text('<p title="x>y">hello <b class=\'a>b\'>you</b>') == "hello you"
+    assert warc.plain_text('a <my-tag x="1">b</my-tag> <svg:g>c <!DOCTYPE x>d <a href="u>e') == "a b c d e"
+    assert warc.plain_text("1 <2 and 3> 2, <unknown> </gone>!") == "1 <2 and 3> 2, <unknown> !"
+
+
+def test_token_look_up_from_the_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tsfold.llm import dac, queries
+
+    path = queries._vocabulary("byte_bpe_50k.json")
+    texts = {i: f"text number {i} " * (i % 5) for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (None, "no id"), (None, "none either")], "doc_id long, text string")
+    dac.write_token_ids(docs, path, str(tmp_path / "ids"), 2, segment_ids=50)
+    tok = Tokenizer.from_file(path)
+    want = {(i, p): x for i, t in texts.items() for p, x in enumerate([*tok.encode(t, add_special_tokens=False).ids, 2])}
+    asked = spark.createDataFrame([*want, (3, 999), (3, -1), (77, 0)], "doc_id long, place long")
+    assert {(r.doc_id, r.place): r.token for r in dac.lookup(spark, str(tmp_path / "ids"), asked).collect()} == want

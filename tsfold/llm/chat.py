@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsfold.llm.common import byte_slices
+
 ROLES = ("system", "user", "assistant")
 START = 3  # states 0 to 2: the role of the last turn
 NEXT = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
@@ -131,16 +133,20 @@ def render(turns: list[tuple[str | None, str | None]], before: int, after: int,
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        yield from batch.to_pylist()
+        for part in byte_slices(batch, "text") if "text" in batch.schema.names else (batch,):
+            yield from part.to_pylist()
 
 
-def _batches(rows: Iterator[tuple], types: list, names: list[str], size: int = 5000) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], types: list, names: list[str], size: int = 5000, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most ``size`` rows and about ``limit`` characters."""
     held: list[tuple] = []
+    chars = 0
     for r in rows:
         held.append(r)
-        if len(held) >= size:
+        chars += sum(len(x) for x in r if isinstance(x, str))
+        if len(held) >= size or chars >= limit:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
-            held = []
+            held, chars = [], 0
     if held:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 

@@ -144,10 +144,39 @@ def write_token_ids(df: DataFrame, tokenizer_path: str, path: str, end_id: int,
             yield done()
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = narrow.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # the hash lets the texts of a repeated or null id go to more than one task
+    ordered = narrow.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     ordered.mapInArrow(run, SEGMENT).write.mode("overwrite").parquet(path)
 
 
+def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Single token ids from the files: for each row (doc_id, place) of ``wanted`` the id at that place of the document, found
+    by the codes' rank directories without decoding the segment; doc_id, place, token. Places outside the document and unknown
+    documents give no row; of a repeated document id each document answers."""
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                sizes = np.array(x["sizes"], np.int64)
+                n = len(sizes)
+                yield pa.record_batch([pa.array([x["part"]] * n, pa.int64()), pa.array([x["segment"]] * n, pa.int64()), pa.array(x["ids"], pa.int64()),
+                                       pa.array(np.cumsum(sizes) - sizes), pa.array(sizes)], names=["part", "segment", "doc_id", "first", "n"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = batch.slice(row, 1).to_pylist()[0]
+                tokens = Reader(x["levels"]).at(np.array([a["at"] for a in x["asked"]], np.int64))
+                yield pa.record_batch([pa.array([a["doc_id"] for a in x["asked"]], pa.int64()), pa.array([a["place"] for a in x["asked"]], pa.int64()),
+                                       pa.array(tokens.astype(np.int64))], names=["doc_id", "place", "token"])
+
+    segments = spark.read.schema(SEGMENT).parquet(path)
+    known = segments.select("part", "segment", "ids", "sizes").mapInArrow(directory, "part long, segment long, doc_id long, first long, n long")
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("place").cast("long").alias("place")).distinct().join(known, "doc_id")
+    asked = asked.filter("place >= 0 AND place < n").groupBy("part", "segment").agg(
+        F.collect_list(F.struct("doc_id", "place", (F.col("first") + F.col("place")).alias("at"))).alias("asked"))
+    return segments.select("part", "segment", "levels").join(asked, ["part", "segment"]).mapInArrow(fetch, "doc_id long, place long, token long")
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of the files: doc_id, start (ids before it), n_tokens, ids_crc32."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,8 @@ two sets of similarity s meet there with probability s. In a node
 
 * every class is compared with the node's smallest member,
 * in a node of at most ``small`` classes, which one task holds, every class is
-  compared with the most similar one of another component, and then, with the
-  components that this has left, all pairs between components are compared,
+  compared with the most similar one of another component, and then, of the
+  classes that had one, all pairs between the components that are left,
 * a larger node is branched: each class goes on to the nodes of 4 / 3 (one by the threshold) further
   minwise tokens on average. A pair at the threshold then meets once more on
   average and less similar groups die out.
@@ -223,7 +223,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of different labels whose sketches and sizes agree, of all pairs within a node; with
+    """Pairs (a, b, node) of different labels whose sketches and sizes agree, of all pairs within a node; with
     ``best``, only each row's pair of the largest agreement.
 
     ``rows`` holds small nodes. They are sorted by node, so a node's rows are
@@ -233,9 +233,9 @@ def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     """
     enough = least_matches(num / den)
 
-    def close(node, cid, label, n, sketch, homes) -> tuple[np.ndarray, np.ndarray]:
+    def close(node, cid, label, n, sketch, homes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stop = np.searchsorted(node, node, side="right")
-        left, a, b = stop - np.arange(len(node)), [], []
+        left, a, b, at = stop - np.arange(len(node)), [], [], []
         most, partner = np.zeros(len(node), np.int64), np.full(len(node), -1)
         for k in range(1, int(left.max(initial=1))):
             i = np.flatnonzero(left > k)
@@ -253,11 +253,12 @@ def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
                 here = [min(homes[x] & homes[y]) == v for x, y, v in zip(i.tolist(), j.tolist(), node[i].tolist())]
                 a.append(cid[i[here]])
                 b.append(cid[j[here]])
+                at.append(node[i[here]])
         if best:
             some = np.flatnonzero(partner >= 0)
-            a, b = [cid[some]], [cid[partner[some]]]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return np.minimum(a, b), np.maximum(a, b)
+            a, b, at = [cid[some]], [cid[partner[some]]], [node[some]]
+        a, b, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, at))
+        return np.minimum(a, b), np.maximum(a, b), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -268,15 +269,15 @@ def _close_pairs(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))
-            a, b = close(*(x[:cut] for x in held))
+            found = close(*(x[:cut] for x in held))
             held = [x[cut:] for x in held]
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.record_batch([pa.array(x) for x in found], names=["a", "b", "node"])
         if held and len(held[0]):
-            yield pa.record_batch([pa.array(x) for x in close(*held)], names=["a", "b"])
+            yield pa.record_batch([pa.array(x) for x in close(*held)], names=["a", "b", "node"])
 
     homes = rows.groupBy("cid").agg(F.collect_set("node").alias("homes"))
     near = rows.join(homes, "cid").select("node", "cid", "label", "n", "sketch", "homes").repartition("node").sortWithinPartitions("node")
-    return near.mapInArrow(run, "a long, b long").distinct()
+    return near.mapInArrow(run, "a long, b long, node long")
 
 
 def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -370,7 +371,8 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, num: int, den: int, tree
         while not open_rows.isEmpty():
             few, many = open_rows.filter(F.col("size") <= small), open_rows.filter(F.col("size") > small)
             deeper = not many.isEmpty()
-            found = _close_pairs(few, num, den, True)
+            best = _stored(_close_pairs(few, num, den, True), "near-best")
+            found = best.select("a", "b").distinct()
             if deeper:
                 gone = _stored(many.select("cid", F.lit(level + 1).alias("depth")).distinct(), "near-branched")
                 branched.append(gone)
@@ -380,7 +382,12 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, num: int, den: int, tree
                 children = _stored(_branch(many, first, share, num, den), "near-children")
                 found = found.unionByName(likely(_star(children), reps, num, den)).distinct()
             link(found)
-            link(_close_pairs(_unsettled(few.drop("label", "size"), labels).filter(F.col("size") <= small), num, den, False))
+            # a class without a partner agrees with none in its node; the others are compared again where they are more
+            # than one component
+            partnered = best.select("node", F.col("a").alias("cid")).unionByName(best.select("node", F.col("b").alias("cid"))).distinct()
+            rest = _stored(_unsettled(few.drop("label", "size").join(partnered, ["node", "cid"], "left_semi"), labels), "near-rest")
+            if not rest.isEmpty():
+                link(_close_pairs(rest, num, den, False).select("a", "b").distinct())
             if not deeper:
                 break
             open_rows = _stored(_unsettled(children, labels), "near-open")

@@ -15,7 +15,9 @@ A match that fails its check is dropped and the search goes on behind it.
 Further kinds: ``url`` (an address behind its scheme), ``iban`` (country code,
 check digits, the country's length, remainder 1 of 97; wherever it stands),
 ``secret`` (the value behind a cue such as ``password=`` or ``"password":``, up to
-its closing quote or white space, and access key ids).
+its closing quote or white space, and access key ids), ``phone_within`` (the longest part of a rejected phone candidate,
+from its start to a blank or bracket, that has 9 to 15 digits) and ``card_within`` (groups of 4-4-4-4 or 4-6-5 digits with
+a right Luhn sum inside a rejected card candidate).
 
 Edge cases: a null text counts as empty and has no spans; rows are kept as they
 are (repeated or null ids); texts are scanned whole; positions are code points,
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tsfold.llm.common import byte_slices, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "iban", "secret")
+KINDS = (*BASE, "url", "iban", "secret", "phone_within", "card_within")
 _D = "0123456789"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + _D + "._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -71,6 +73,33 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_groups = re.compile(r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])")
+
+
+def _cards_within(text: str, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Card numbers in groups inside a rejected candidate."""
+    at = start
+    while m := _groups.search(text, at, stop):
+        if _luhn(m.group().replace(" ", "").replace("-", "")):
+            yield m.span()
+            at = m.end()
+        else:
+            at = m.start() + 1
+
+
+def _phone_within(text: str, start: int, stop: int) -> int:
+    """End of the longest beginning of a rejected candidate that is a phone number, or 0."""
+    digits = end = 0
+    for i in range(start + 1, stop):
+        if text[i] in _D:
+            digits += 1
+            if digits > 15:
+                break
+            if digits >= 9 and (i + 1 == stop or text[i + 1] in " ()"):
+                end = i + 1
+    return end
+
+
 def _iban_ok(value: str) -> bool:
     s = value.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -108,6 +137,8 @@ def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and _luhn(digits):
                 found.append((2, at, m.end()))
+            elif len(digits) > 15:
+                found.extend((8, a, b) for a, b in _cards_within(text, at, m.end()))
         elif anchor == "ip":
             if at < end[1]:
                 continue
@@ -132,8 +163,10 @@ def find_spans(text: str, anchors) -> list[tuple[int, int, int]]:
             m = _phone(text, at)
             if m:
                 end[3] = m.end()
-                if 9 <= sum(c in _D for c in m.group()) <= 15:
+                if 9 <= (n := sum(c in _D for c in m.group())) <= 15:
                     found.append((3, at, m.end()))
+                elif n > 15 and (stop := _phone_within(text, at, m.end())):
+                    found.append((7, at, stop))
         elif anchor == "url":
             if at < end[4] or at and text[at - 1].isalpha() or not _host(text, at + width):
                 continue
@@ -169,24 +202,25 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: the number of spans of each base kind, the digest of the base spans, all spans."""
+    """For every row: the number of spans of each base kind, the digest of the base spans, all spans and their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                counts, digests, joined = [], [], []
+                counts, digests, joined, every = [], [], [], []
                 for text in texts_of(part, "text"):
                     spans = find_spans(text, anchors)
                     base = [s for s in spans if s[0] < len(BASE)]
                     counts.append([sum(s[0] == k for s in base) for k in range(len(BASE))])
                     digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     joined.append(_joined(spans))
+                    every.append(len(spans))
                 yield pa.record_batch([part.column("id"), *(pa.array(c, pa.int64()) for c in zip(*counts)),
-                                       pa.array(digests, pa.string()), pa.array(joined, pa.string())],
-                                      names=["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                                       pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(every, pa.int64())],
+                                      names=["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_all"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_all long"
     return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -195,7 +229,7 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for start, stop, kind in sorted((a, b, k) for k, a, b in spans):
         if start >= at:
-            out += [text[at:start], f"<{KINDS[kind]}>"]
+            out += [text[at:start], f"<{KINDS[kind].removesuffix('_within')}>"]
         at = max(at, stop)
     return "".join([*out, text[at:]])
 

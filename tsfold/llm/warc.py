@@ -36,7 +36,9 @@ from tsfold.llm.common import byte_slices, texts_of
 VERSION = "WARC/1.1"
 RECORD_END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-_BLOCK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|section|article|nav|header|footer|blockquote|pre|form|main|aside)|br|hr)\b[^>]*>", re.I)
+#: The rest of a tag: quoted values may hold its closing sign; a quote that nothing closes does not count.
+_REST = r"(?:[^\"'>]*+(?:\"[^\"]*+\"[^\"'>]*+|'[^']*+'[^\"'>]*+)*+>|[^>]*>)"
+_BLOCK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|section|article|nav|header|footer|blockquote|pre|form|main|aside)|br|hr)\b" + _REST, re.I)
 #: Comments, scripts and styles run to the end of the page if nothing ends them.
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 #: Other hidden elements: closed ones are hidden whole; an unclosed head ends where something else than its own
@@ -45,7 +47,16 @@ _HIDDEN = re.compile(r"<head\b(?:[^<]++|<(?!/?head\b|/?body\b))*+</head\s*>"
                      r"|<head\b[^>]*>(?:\s+|<title\b[^>]*>[^<]*(?:</title\s*>)?|<(?:meta|link|base)\b[^>]*>)*"
                      r"|<(noscript|template)\b(?:[^<]++|<(?!/?\1\b))*+</\1\s*>"
                      rf"|<(?:noscript|template)\b[^>]*>(?:(?:[^<]++|<(?!body\b|{_BLOCK.pattern[1:]}))*+(?=<))?", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
+_TAG = re.compile(r"</[a-zA-Z][^>]*>|<([a-zA-Z][\w:-]*)(?=[\s/>])" + _REST + r"|<![^>]*>|<\?[^>]*>")
+#: Elements of HTML; other names count as tags only with a hyphen or colon (custom and foreign elements).
+_ELEMENTS = frozenset(
+    "a abbr acronym address applet area article aside audio b base basefont bdi bdo bgsound big blink blockquote body br button canvas "
+    "caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset figcaption figure "
+    "font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe image img input ins isindex kbd keygen label "
+    "legend li link listing main map mark marquee math menu menuitem meta meter nav nobr noembed noframes noscript object ol optgroup "
+    "option output p param picture plaintext pre progress q rb rp rt rtc ruby s samp script search section select slot small source "
+    "span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var "
+    "video wbr xmp path g circle rect line polygon".split())
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -62,9 +73,14 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(parts).encode()).digest()[:16], version=5)}>"
 
 
+def _without_tag(m: re.Match) -> str:
+    name = m.group(1)
+    return "" if name is None or name.lower() in _ELEMENTS or "-" in name or ":" in name else m.group()
+
+
 def plain_text(page: str) -> str:
     """Visible text of a page: one line for each block, white space folded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _BLANK.sub(" ", _HIDDEN.sub(" ", _UNSEEN.sub(" ", page)))))
+    text = _TAG.sub(_without_tag, _BLOCK.sub("\n", _BLANK.sub(" ", _HIDDEN.sub(" ", _UNSEEN.sub(" ", page)))))
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text).replace("\r", " "))).strip()
 
 
