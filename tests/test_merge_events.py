@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -36,14 +37,33 @@ def test_merge_order_and_dedupe(spark):
 
 def test_merge_text_and_write(spark, tmp_path):
     rows = [(7, "x.ts", 1, "export const x = 1;\n"), (7, "y.ts", 2, "const y = 2;\n")]
-    files = files_df(spark, rows)
-    merged = M.merge_rows(files)
+    merged = M.merge_rows(files_df(spark, rows))
+    text = "\nexport const x = 1;\n\nconst y = 2;\n"
     t = M.merge_text(merged).first()
-    assert t.text == "\nexport const x = 1;\n\nconst y = 2;\n"
+    assert (t.n_rows, t.n_bytes, t.md5) == (2, len(text), hashlib.md5(text.encode()).hexdigest())
+    assert bytes(S.text_chunks(merged, ["out_ord"]).first().content).decode() == text
     out = str(tmp_path / "out")
     S.write_merged_text(merged, out)
-    back = S.read_merged_text(spark, out).first()
-    assert back.text == t.text
+    assert "".join(r.value for r in S.read_merged_text(spark, out).orderBy("path").collect()) == text
+
+
+def test_chunks_do_not_depend_on_the_partitioning(spark):
+    rows = [(p, f"{i:03}.ts", i, ("é" * (i * 7 % 50) if i % 5 else None if i % 2 else "")) for p in (1, 2) for i in range(120)]
+    rows += [(3, "big.ts", 1, "xyz" * 1000), (4, "none.ts", 1, None)]
+    files = files_df(spark, rows)
+    want = {}
+    for p, _, _, t in rows:
+        want[p] = want.get(p, b"") + (t.encode() + b"\n" if t is not None else b"")
+    for n in (1, 7):
+        concat = S.merge_concat_rows(files.repartition(n, "path"))
+        chunks = S.text_chunks(concat, ["file_ord", "path"], chunk_bytes=97).orderBy("project_id", "chunk").collect()
+        got = {}
+        for r in chunks:
+            assert r.n_bytes == len(r.content) <= 97 and r.chunk == len(got.get(r.project_id, b"")) // 97
+            got[r.project_id] = got.get(r.project_id, b"") + bytes(r.content)
+        assert got == {p: t for p, t in want.items() if t}
+        digests = {r.project_id: (r.n_files, r.n_bytes, r.md5) for r in S.merge_concat(files.repartition(n, "path")).collect()}
+        assert digests == {p: (sum(r[0] == p for r in rows), len(t), hashlib.md5(t).hexdigest()) for p, t in want.items()}
 
 
 def test_quarantine_and_filters(spark):
@@ -53,7 +73,7 @@ def test_quarantine_and_filters(spark):
     keep, bad = S.filter_suffix(ok)
     assert [r.path for r in bad.collect()] == ["b.js"]
     assert [r.path for r in S.exclude_paths(keep, "tests,docs").collect()] == []
-    assert S.merge_concat(files_df(spark, [(1, "a", 2, "B"), (1, "b", 1, "A")])).first().md5 == __import__("hashlib").md5(b"A\nB\n").hexdigest()
+    assert S.merge_concat(files_df(spark, [(1, "a", 2, "B"), (1, "b", 1, "A")])).first().md5 == hashlib.md5(b"A\nB\n").hexdigest()
 
 
 def test_event_normalisation(spark):

@@ -26,6 +26,10 @@ operator other than those of ``TOKEN_RE``, JSX text.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,11 +107,37 @@ METHOD_RE = (
 NOT_METHOD_NAMES = ["if", "for", "while", "switch", "catch", "return", "function", "super", "new"]
 
 
+_built: dict[tuple, Column] = {}
+
+
+def built_once(name: str, *columns: Column, build: Callable[..., Column]) -> Column:
+    """``build(*columns)``, kept for plain column names: an expression with folds takes hundreds of calls into the JVM,
+    and one expression object can stand in any number of plans."""
+    key = (name, id(SparkContext._jvm), *(str(c) for c in columns))
+    if not all(_PLAIN_NAME.match(k) for k in key[2:]):
+        return build(*columns)
+    if key not in _built:
+        _built[key] = build(*columns)
+    return _built[key]
+
+
+_PLAIN_NAME = re.compile(r"^Column<'[A-Za-z_][\w.]*'>$")
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(content: Column) -> Column:
     """array<string> of lexical tokens whose concatenation equals ``content``."""
-    found = F.regexp_extract_all(content, F.lit(TOKEN_RE), 0)
+    return built_once("tokens", content, build=_tokens)
+
+
+def _tokens(content: Column) -> Column:
     # a lone backtick begins a template that the pattern cannot follow to its end
-    return F.when(F.array_contains(found, "`"), _scanned(content)).otherwise(found)
+    return once(F.regexp_extract_all(content, F.lit(TOKEN_RE), 0),
+                lambda found: F.when(F.array_contains(found, "`"), _scanned(content)).otherwise(found))
 
 
 # Modes of the scan: what the brace or quote on top of the stack has opened.
@@ -235,14 +265,18 @@ _CLOSE_CUT = r"(?<=;)(?=[ \t]*[^\s])|(?<=\})(?=[ \t]*(?:@|(?!(?:" + _GOES_ON + r
 _CLOSE_CUT += r"|(?<=\})(?=[ \t]*\})"
 _CUT_RE = _CLOSE_CUT + r"|(?<=\{)(?=[ \t]*export\b)"
 _BODY_CUT_RE = _CLOSE_CUT + r"|(?<=\{)(?=[ \t]*[^\s}])"
-_MAY_CUT_RE = r"(?:;|\}(?=[ \t]*[@\w$}]))[ \t]*[^\s]|\{[ \t]*export\b|\b(?:class|namespace|module)\b[^\n]*\{[ \t]*[^\s}]"
+_MAY_CUT_RE = r";[ \t]*+[^\s]|\}[ \t]*+[@\w$}]|\{[ \t]*+export\b|(?:class|namespace|module)[ \t][^\n{]*+\{[ \t]*+[^\s}]"
 _BODY_RE = r"\b(?:class|namespace|module)\b"
 
 
-def cut_lines(content: Column, masked: Column) -> tuple[Column, Column, Column]:
-    """Three arrays of equal length for the stretches of a file that the statement rules look at one by one: raw text,
+def cut_lines(content: Column, masked: Column) -> Column:
+    """A struct of three arrays (raw_l, mask_l, place_l) of equal length for the stretches of a file that the statement rules look at one by one: raw text,
     masked text, and how each lies in its line (1: does not begin it, 2: does not end it, 3: neither; null or 0: whole line).
     A stretch is a line, or a part of one where the line holds several statements. Without any such line the last array is empty."""
+    return built_once("cut_lines", content, masked, build=_cut_lines)
+
+
+def _cut_lines(content: Column, masked: Column) -> Column:
     raw_l, mask_l = F.split(content, "\n", -1), F.split(masked, "\n", -1)
     parts = F.transform(mask_l, lambda m: F.when(m.rlike(_MAY_CUT_RE), F.when(
         m.rlike(_BODY_RE), F.split(m, _BODY_CUT_RE, -1)).otherwise(F.split(m, _CUT_RE, -1))).otherwise(F.array(m)))
@@ -258,12 +292,15 @@ def cut_lines(content: Column, masked: Column) -> tuple[Column, Column, Column]:
             data, total(F.slice(blocks, 1, F.floor(i / block).cast("int"))) + total(F.slice(lens, F.floor(i / block).cast("int") * block + 1, i % block)) + 1,
             F.octet_length(m)), "UTF-8"))
 
-    cut = masked.rlike(_MAY_CUT_RE)
-    z = F.arrays_zip(raw_l.alias("r"), parts.alias("p"))
-    raws = F.flatten(F.transform(z, lambda x: F.when(F.size(x["p"]) == 1, F.array(x["r"])).otherwise(raw_parts(x["r"], x["p"]))))
-    places = F.flatten(F.transform(parts, lambda p: F.transform(p, lambda m, i: F.when(i > 0, 1).otherwise(0) + F.when(i < F.size(p) - 1, 2).otherwise(0))))
-    return (F.when(cut, raws).otherwise(raw_l), F.when(cut, F.flatten(parts)).otherwise(mask_l),
-            F.when(cut, places).otherwise(F.array().cast("array<int>")))
+    def cut(parts: Column) -> Column:
+        z = F.arrays_zip(raw_l.alias("r"), parts.alias("p"))
+        raws = F.flatten(F.transform(z, lambda x: F.when(F.size(x["p"]) == 1, F.array(x["r"])).otherwise(raw_parts(x["r"], x["p"]))))
+        places = F.flatten(F.transform(parts, lambda p: F.transform(
+            p, lambda m, i: F.when(i > 0, 1).otherwise(0) + F.when(i < F.size(p) - 1, 2).otherwise(0))))
+        return F.struct(raws.alias("raw_l"), F.flatten(parts).alias("mask_l"), places.alias("place_l"))
+
+    whole = F.struct(raw_l.alias("raw_l"), mask_l.alias("mask_l"), F.array().cast("array<int>").alias("place_l"))
+    return F.when(masked.rlike(_MAY_CUT_RE), once(parts, cut)).otherwise(whole)
 
 
 def spaces_only(s: Column) -> Column:

@@ -49,11 +49,10 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     n = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = f.repartition(n, *FILE_KEY)
     f = f.withColumn("masked", L.masked_text(L.tokens(F.col("content"))))
-    raw_l, mask_l, place_l = L.cut_lines(F.col("content"), F.col("masked"))
-    f = f.select("project_id", "path", "file_ord", raw_l.alias("raw_l"), mask_l.alias("mask_l"), place_l.alias("place_l"))
+    f = f.select("project_id", "path", "file_ord", L.cut_lines(F.col("content"), F.col("masked")).alias("c"))
     z = f.select(
         "project_id", "path", "file_ord",
-        F.posexplode(F.arrays_zip("raw_l", "mask_l", "place_l")).alias("line", "z"),
+        F.posexplode(F.arrays_zip("c.raw_l", "c.mask_l", "c.place_l")).alias("line", "z"),
     ).select("project_id", "path", "file_ord", "line", F.col("z.raw_l").alias("raw"), F.col("z.mask_l").alias("m"),
              F.coalesce("z.place_l", F.lit(0)).alias("place"))
     m = F.col("m")
@@ -108,7 +107,7 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
         "*",
         F.sum(F.col("start").cast("int")).over(upto).alias("grp"),
         F.min("depth_after").over(upto).alias("run_min"),
-        (F.col("line_byte") - F.max(F.when(~F.col("mid"), F.col("line_byte"))).over(upto)).alias("col"),
+        F.max(F.when(~F.col("mid"), F.col("line_byte"))).over(upto).alias("row_byte"),
     )
     # reverse pass: next code line at or after this one, and file totals
     # (the first row in reverse order is the file's last line)
@@ -126,16 +125,15 @@ def lines(files: DataFrame, partitions: int | None = None) -> DataFrame:
     # a file whose brackets do not balance has no reliable statement borders:
     # it stays one statement (and is reported by ``rejects_unbalanced``)
     balanced = (F.col("min_depth") >= 0) & (F.col("final_depth") == 0)
-    return z.withColumn("balanced", balanced).withColumn(
-        "stmt_ord", F.when(F.col("balanced"), F.greatest(stmt, F.lit(1))).otherwise(1).cast("int")
-    )
+    return z.withColumns({
+        "balanced": balanced, "stmt_ord": F.when(balanced, F.greatest(stmt, F.lit(1))).otherwise(1).cast("int")})
 
 
 MEMBER = "struct<line:int,row:bigint,byte:bigint,depth:bigint,name:string,stop:bigint>"
 
 
 def _members_with_ends(ls: Column) -> Column:
-    """Nested exports of a statement (its rows ``ls`` in order) with the byte at which each ends: behind its first row
+    """Nested exports of a statement (its rows of code in order) with the byte at which each ends: behind its first row
     that ends in ';' or '}' back at its depth, or before the next member or the end of the enclosing block. One fold over
     the rows; its state holds the members that are still open."""
     none = F.array().cast(f"array<{MEMBER}>")
@@ -146,7 +144,7 @@ def _members_with_ends(ls: Column) -> Column:
         return lambda x: F.struct(x["line"], x["row"], x["byte"], x["depth"], x["name"], stop.alias("stop")).cast(MEMBER)
 
     def step(acc: Column, y: Column) -> Column:
-        stop = y["byte"] + F.octet_length(y["raw"])
+        stop = y["byte"] + y["rlen"]
 
         def beyond(x: Column) -> Column:
             return (y["after"] < x["depth"]) | (y["opens"] & (y["before"] <= x["depth"]))
@@ -163,7 +161,7 @@ def _members_with_ends(ls: Column) -> Column:
             F.filter(now, lambda x: ~closed(x)).alias("open"),
             F.concat(done, F.transform(F.filter(now, closed), with_end(stop))).alias("done"), stop.alias("stop")).cast(state)
         idle = F.struct(acc["open"], acc["done"], stop.alias("stop")).cast(state)
-        return F.when(~y["is_code"], acc).when((F.size(acc["open"]) > 0) | y["nested"], busy).otherwise(idle)
+        return F.when((F.size(acc["open"]) > 0) | y["nested"], busy).otherwise(idle)
 
     # what is still open at the end keeps the end of its first row
     return F.aggregate(ls, zero, step, lambda acc: F.concat(acc["done"], acc["open"]))
@@ -252,7 +250,7 @@ def binding_names(code: Column, keyword: Column, name: Column) -> Column:
     for brackets in (r"\([^()]*\)", r"\[[^\[\]]*\]", r"\{[^{}]*\}"):
         flat = F.regexp_replace(flat, brackets, "")
     start = F.ltrim(L.spaces_only(body))
-    several = (F.instr(flat, ",") > 0) | start.startswith("{") | start.startswith("[")
+    several = (F.instr(code, ",") > 0) & (F.instr(flat, ",") > 0) | F.substring(start, 1, 1).isin("{", "[")
     plain = F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
     return F.when(keyword.isin("const", "let", "var") & several, _declared(body)).otherwise(plain)
 
@@ -329,15 +327,26 @@ def statement_rows(ln: DataFrame) -> DataFrame:
     )
     member = F.struct("line", F.col("m_decl").alias("decl"), F.coalesce(F.col("m_method"), F.lit("")).alias("method"))
     g = ln.groupBy("project_id", "path", "file_ord", "stmt_ord").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "line", "raw", "is_code", F.col("depth_before").alias("before"), F.col("depth_after").alias("after"),
+        F.sort_array(F.collect_list(F.struct("line", "raw", "eol"))).alias("ls"),
+        # only read for nested exports: collected only by queries that want them
+        F.sort_array(F.collect_list(F.when(F.col("is_code"), F.struct(
+            "line", F.col("depth_before").alias("before"), F.col("depth_after").alias("after"),
             F.col("lc").isin(";", "}").alias("closes"), F.col("fw").isin(*L.STATEMENT_KEYWORDS, "@").alias("opens"),
-            "eol", F.col("row").cast("bigint").alias("row"), F.col("line_byte").alias("byte"), nested_cond.alias("nested"),
+            F.col("row").cast("bigint").alias("row"), F.col("line_byte").alias("byte"), "rlen", nested_cond.alias("nested"),
             F.when(nested_cond, F.col("m_decl")).alias("name"),
-        ))).alias("ls"),
-        F.min(F.when(F.col("nonblank"), F.struct("line", "row", "col", "line_byte", "mid", "lead"))).alias("lo"),
-        F.max(F.when(F.col("nonblank"), F.struct("line", "row", "col", "line_byte", "rlen"))).alias("hi"),
-        F.min(F.when(F.col("is_code"), F.struct("line", "line_byte"))).alias("head"),
+        )))).alias("code_rows"),
+        # all of these grow from line to line, so the first or last line's is the least or largest
+        F.min(F.when(F.col("nonblank"), F.col("line"))).alias("lo"),
+        F.max(F.when(F.col("nonblank"), F.col("line"))).alias("hi"),
+        F.min(F.when(F.col("nonblank"), F.col("line_byte"))).alias("lo_byte"),
+        F.min(F.when(F.col("nonblank"), F.col("line_byte") + F.col("lead"))).alias("start_byte"),
+        F.max(F.when(F.col("nonblank"), F.col("line_byte") + F.col("rlen"))).alias("end_byte"),
+        F.min(F.when(F.col("nonblank"), F.col("row"))).alias("lo_row"),
+        F.max(F.when(F.col("nonblank"), F.col("row"))).alias("hi_row"),
+        F.min(F.when(F.col("nonblank"), F.col("row_byte"))).alias("lo_row_byte"),
+        F.max(F.when(F.col("nonblank"), F.col("row_byte"))).alias("hi_row_byte"),
+        F.min(F.when(F.col("is_code"), F.col("line"))).alias("head_line"),
+        F.min(F.when(F.col("is_code"), F.col("line_byte"))).alias("head_byte"),
         F.first("balanced").alias("balanced"),
         F.min_by("l_type", F.when(head_cond, F.col("line"))).alias("head_type"),
         F.min_by("m_decl", F.when(head_cond, F.col("line"))).alias("head_name"),
@@ -345,16 +354,17 @@ def statement_rows(ln: DataFrame) -> DataFrame:
         F.max(nested_cond).alias("has_nested"),
         F.collect_list(F.when(member_cond, member)).alias("members"),
     ).where(F.col("lo").isNotNull())
-    comment_only = F.col("head").isNull()
-    head_line = F.coalesce(F.col("head.line"), F.col("lo.line"))
-    head_byte = F.coalesce(F.col("head.line_byte"), F.col("lo.line_byte"))
-    blanks = F.col("lo.lead")
-    text = _join_rows(F.col("ls"), F.col("lo.line"), F.col("hi.line"))
-    s = g.withColumn("start_byte", (F.col("lo.line_byte") + blanks).cast("bigint")).select(
-        "project_id", "path", "file_ord", "stmt_ord", "balanced", "start_byte",
+    comment_only = F.col("head_line").isNull()
+    head_line = F.coalesce("head_line", "lo")
+    head_byte = F.coalesce("head_byte", "lo_byte")
+    blanks = (F.col("start_byte") - F.col("lo_byte")).cast("int")
+    text = _join_rows(F.col("ls"), F.col("lo"), F.col("hi"))
+    members = L.built_once("members", F.col("code_rows"), build=_members_with_ends)
+    s = g.select(
+        "project_id", "path", "file_ord", "stmt_ord", "balanced", F.col("start_byte").cast("bigint").alias("start_byte"),
         # place of each nested export: number and line of its first row, and bytes: where it begins in ``value`` and in
         # the code without comments (which starts at the head line), and how many it has
-        F.when(F.col("balanced") & F.col("has_nested"), F.transform(F.sort_array(_members_with_ends(F.col("ls"))), lambda x: F.struct(
+        F.when(F.col("balanced") & F.col("has_nested"), F.transform(F.sort_array(members), lambda x: F.struct(
             x["name"].alias("name"), x["line"].alias("line"), x["row"].alias("row"), (x["byte"] - F.col("start_byte")).alias("at"),
             (x["byte"] - head_byte).alias("code_at"), (x["stop"] - x["byte"]).alias("n_bytes")))).otherwise(
             F.array().cast("array<struct<name:string,line:int,row:bigint,at:bigint,code_at:bigint,n_bytes:bigint>>")).alias("nested_exports"),
@@ -362,45 +372,56 @@ def statement_rows(ln: DataFrame) -> DataFrame:
         F.when(F.col("balanced"), F.col("head_type")).otherwise("ERROR").alias("head_type"),
         F.when(F.col("balanced"), F.col("head_name")).alias("head_name"),
         F.when(F.col("balanced"), F.col("head_kw")).alias("head_kw"),
-        F.when(blanks > 0, F.substring(text, blanks + 1, F.length(text))).otherwise(text).alias("value"),
-        _join_rows(F.col("ls"), head_line, F.col("hi.line")).alias("code"),
+        F.when(blanks > 0, F.substring(text, blanks + 1, (F.col("end_byte") - F.col("lo_byte")).cast("int"))).otherwise(text).alias("value"),
+        _join_rows(F.col("ls"), head_line, F.col("hi")).alias("code"),
         comment_only.alias("comment_only"),
-        (F.col("hi.line_byte") + F.col("hi.rlen")).cast("bigint").alias("end_byte"),
-        F.col("lo.row").cast("bigint").alias("start_row"),
-        (F.when(F.col("lo.mid"), F.col("lo.col") + blanks).otherwise(0)).cast("bigint").alias("start_col"),
-        F.col("hi.row").cast("bigint").alias("end_row"),
-        (F.col("hi.col") + F.col("hi.rlen")).cast("bigint").alias("end_col"),
+        F.col("end_byte").cast("bigint").alias("end_byte"),
+        F.col("lo_row").cast("bigint").alias("start_row"),
+        (F.col("start_byte") - F.col("lo_row_byte")).cast("bigint").alias("start_col"),
+        F.col("hi_row").cast("bigint").alias("end_row"),
+        (F.col("end_byte") - F.col("hi_row_byte")).cast("bigint").alias("end_col"),
     )
     # Statement code starts on a code line at depth 0 outside any literal, so
     # re-tokenising it alone gives the same masks as the file-level pass.
-    s = s.withColumn("_tk", L.tokens(F.col("code"))).withColumn("mcode", L.masked_text(F.col("_tk"))) \
-        .withColumn("ccode", L.clean_text(F.col("_tk"))).drop("_tk", "code")
     # classification comes from the head line (computed per line before the
     # windows); the re-tokenised statement code is only evaluated for the
-    # columns that need it (clauses of imports/exports, identifiers)
+    # columns that need it (clauses of imports/exports, identifiers, all declared names)
     raw_type = F.when(F.col("comment_only"), F.lit("comment")).otherwise(
         F.coalesce(F.col("head_type"), F.lit("expression_statement"))
     )
-    s = s.withColumn("raw_type", raw_type).withColumn("kind", classify_kind(F.col("raw_type")))
-    s = s.withColumn("name", F.when(F.col("raw_type") != "import_statement", F.col("head_name"))).withColumn(
-        "is_export", F.col("raw_type") == "export_statement"
-    ).withColumn("decl_keyword", F.coalesce(F.col("head_kw"), F.lit(""))).drop("head_type", "head_name", "head_kw")
-    # all declared names; ``name`` is the first of them
+    s = s.withColumns({"_tk": L.tokens(F.col("code")), "raw_type": raw_type, "decl_keyword": F.coalesce("head_kw", F.lit(""))})
+    is_imp, is_export = F.col("raw_type") == "import_statement", F.col("raw_type") == "export_statement"
+    s = s.withColumns({
+        "mcode": L.masked_text(F.col("_tk")), "ccode": L.clean_text(F.col("_tk")), "kind": classify_kind(F.col("raw_type")),
+        "name": F.when(~is_imp, F.col("head_name")), "is_export": is_export,
+    }).drop("_tk", "code", "head_type", "head_name", "head_kw")
+    # all declared names; ``name`` is the one behind the keyword (none before a binding pattern)
     variables = F.col("raw_type").isin("export_statement", "lexical_declaration", "variable_declaration", "ambient_declaration")
-    plain = F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>"))
     keyword = F.when(variables & (F.col("decl_keyword") == ""), F.regexp_extract("mcode", L.VARIABLE_HEAD_RE, 1))
-    s = s.withColumn("decl_keyword", F.coalesce(keyword, "decl_keyword")).withColumn("decl_names", F.when(variables, binding_names(
-        F.col("mcode"), F.col("decl_keyword"), F.col("name"))).otherwise(plain)).withColumn("name", F.coalesce(F.get("decl_names", F.lit(0)), F.col("name")))
-    code = F.col("mcode").cast("binary")
-    s = s.withColumn("nested_exports", F.transform("nested_exports", lambda x: F.struct(
+    s = s.withColumns({
+        "decl_keyword": F.coalesce(keyword, "decl_keyword"),
+        "nested_exports": F.when(F.size("nested_exports") > 0, L.built_once(
+            "named", F.col("nested_exports"), F.col("mcode"), build=_named_members)).otherwise(F.array().cast(NAMED)),
+        "import_names": F.when(is_imp, L.built_once("import_names", F.col("ccode"), build=lambda c: _import_names(c)[0])),
+        "source_path": F.when(is_imp, L.built_once("import_source", F.col("ccode"), build=lambda c: _import_names(c)[1])),
+        "export_links": F.when(is_export, L.built_once("export_links", F.col("ccode"), build=_export_links)),
+    })
+    plain = F.when(F.col("name").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>"))
+    s = s.withColumn("decl_names", F.when(variables, L.built_once(
+        "binding_names", F.col("mcode"), F.col("decl_keyword"), F.col("name"), build=binding_names)).otherwise(plain))
+    return s.withColumn("export_names", F.when(is_export, L.built_once(
+        "export_names", F.col("ccode"), F.col("decl_names"), build=_export_names)))
+
+
+NAMED = "array<struct<names:array<string>,line:int,row:bigint,at:bigint,code_at:bigint,n_bytes:bigint>>"
+
+
+def _named_members(members: Column, mcode: Column) -> Column:
+    """Nested exports with all their names, from their part of the statement's masked code."""
+    code = mcode.cast("binary")
+    return F.transform(members, lambda x: F.struct(
         _nested_names(F.decode(F.substring(code, x["code_at"].cast("int") + 1, x["n_bytes"].cast("int")), "UTF-8"), x["name"]).alias("names"),
-        x["line"].alias("line"), x["row"].alias("row"), x["at"].alias("at"), x["code_at"].alias("code_at"), x["n_bytes"].alias("n_bytes"))))
-    is_imp = F.col("raw_type") == "import_statement"
-    names, src = _import_names(F.col("ccode"))
-    s = s.withColumn("import_names", F.when(is_imp, names)).withColumn("source_path", F.when(is_imp, src))
-    return s.withColumn(
-        "export_names", F.when(F.col("is_export"), _export_names(F.col("ccode"), F.col("decl_names")))
-    ).withColumn("export_links", F.when(F.col("is_export"), _export_links(F.col("ccode"))))
+        x["line"].alias("line"), x["row"].alias("row"), x["at"].alias("at"), x["code_at"].alias("code_at"), x["n_bytes"].alias("n_bytes"))).cast(NAMED)
 
 
 def _nested_names(code: Column, name: Column) -> Column:
@@ -596,7 +617,7 @@ def ref_edges_from(stmts: DataFrame, decls: DataFrame) -> DataFrame:
     a popular name cannot multiply rows; AQE's skew join splits a hot key.
     """
     names = declared_names(stmts)
-    src = stmts.where(F.col("name").isNotNull()).select(
+    src = stmts.where(F.size(names) > 0).select(
         "project_id", names.alias("srcs"), F.explode(F.array_except(L.identifiers(F.col("mcode")), names)).alias("dst")
     ).select("project_id", F.explode("srcs").alias("src"), "dst")
     targets = decls.select("project_id", F.col("name").alias("dst")).distinct()

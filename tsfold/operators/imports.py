@@ -88,7 +88,7 @@ def located_refs(stmts: DataFrame) -> DataFrame:
     Two joins, both with one row per key on the declaration side: the names
     a file knows, then the declarations by place (file, module, or project).
     AQE's skew join splits a popular name."""
-    own = stmts.where(F.col("name").isNotNull()).select(
+    own = stmts.select(
         "project_id", "path", "file_ord", "stmt_ord", "is_export", F.explode(X.declared_names(stmts)).alias("name")
     )
     declared = own.groupBy("project_id", "path", F.col("name").alias("word")).agg(F.min("stmt_ord").alias("own_ord"))
@@ -100,8 +100,9 @@ def located_refs(stmts: DataFrame) -> DataFrame:
     )
     known = declared.join(imported, ["project_id", "path", "word"], "full_outer")
 
-    refs = stmts.where(F.col("name").isNotNull()).select(
-        "project_id", "path", "file_ord", "stmt_ord", F.col("name").alias("src"),
+    names = X.declared_names(stmts)
+    refs = stmts.where(F.size(names) > 0).select(
+        "project_id", "path", "file_ord", "stmt_ord", F.coalesce("name", names[0]).alias("src"),
         F.explode(X.L.identifiers(F.col("mcode"))).alias("word"),
     ).where(F.col("src") != F.col("word"))
     source = F.col("imp.source")

@@ -1,7 +1,7 @@
 """C: resolve, order and merge statements into one ordered stream per project.
 
 Output grain is one row per merged statement ``(project_id, out_ord, value)``
-plus the order key; only C12 builds one text per project. Dense positions come from ``order.dense_rank_within`` (range
+plus the order key; no project's text is ever one string. Dense positions come from ``order.dense_rank_within`` (range
 partitioning + per-partition offsets), so no task ever holds a whole project.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import files as S
 from . import extract as X
 from .order import dense_rank_within
 
@@ -223,15 +224,10 @@ def merge_rows_from_facts(facts: DataFrame, opts: MergeOptions = MergeOptions(),
 
 
 def merge_text(rows: DataFrame) -> DataFrame:
-    """One text per project, of any size that a row can hold. ``rows``
-    itself is the same text at row grain, without that bound, and is what A6
-    writes. ``too_large`` is always false; it stays for readers of the column."""
-    return rows.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.octet_length("value")).cast("bigint").alias("n_bytes"),
-        F.expr("listagg(value, '') WITHIN GROUP (ORDER BY out_ord)").alias("text"),
-        F.lit(False).alias("too_large"),
-    )
+    """Rows, bytes and md5 of the text of each project. The text is never one
+    string: ``rows`` is it at row grain (what A6 writes), ``text_chunks`` in pieces of bounded size.
+    ``too_large`` is always false; it stays for readers of the column."""
+    return S.stream_digest(rows, ["out_ord"]).withColumn("too_large", F.lit(False))
 
 
 def comment_carry(facts: DataFrame, rows: DataFrame) -> DataFrame:

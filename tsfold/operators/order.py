@@ -3,8 +3,11 @@
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sorts a whole group in one
 task; a project holding a third of all rows would sit on one core. Instead:
 
-1. range-partition on (g, k) and sort inside partitions -- a hot group is
-   split over many range partitions by its order key;
+1. store the rows once with a row number (range partitioning samples its
+   input, which must not compute it a second time), and range-partition the
+   narrow keys alone on (g, k), sorted inside partitions -- a hot group is
+   split over many range partitions by its order key, and long texts stay
+   where they are;
 2. ``monotonically_increasing_id`` then encodes (partition index, row index
    inside the partition) in sorted order; the result is checkpointed so ids
    and range bounds stay fixed across the following jobs;
@@ -13,7 +16,8 @@ task; a project holding a third of all rows would sit on one core. Instead:
 4. per group, a running sum of those counts over partition index gives each
    (partition, group) its offset; this window holds at most #partitions rows
    per group;
-5. position = offset + (local index - first local index) + 1.
+5. position = offset + (local index - first local index) + 1; it joins the
+   stored rows by their number.
 """
 
 from __future__ import annotations
@@ -30,8 +34,11 @@ def dense_rank_within(df: DataFrame, group: list[str], order: list, out: str = "
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
+    stored = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    wide = len(df.columns) > len(keys)
     ranged = (
-        df.repartitionByRange(n, *keys)
+        (stored.select(*keys, "_rid") if wide else stored.drop("_rid"))
+        .repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint(eager=True)
@@ -44,8 +51,8 @@ def dense_rank_within(df: DataFrame, group: list[str], order: list, out: str = "
     )
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = cnt.select("_pid", *group, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (
-        ranged.join(offs, ["_pid", *group])
-        .withColumn(out, (F.col("_off") + F.col("_loc") - F.col("_first") + 1).cast("bigint"))
-        .drop("_mid", "_pid", "_loc", "_first", "_off")
-    )
+    placed = ranged.join(offs, ["_pid", *group]).withColumn(
+        out, (F.col("_off") + F.col("_loc") - F.col("_first") + 1).cast("bigint"))
+    if not wide:
+        return placed.drop("_mid", "_pid", "_loc", "_first", "_off")
+    return stored.join(placed.select("_rid", out), "_rid").drop("_rid")

@@ -20,6 +20,7 @@ from ..sources import corpora as C
 from ..sources import files as S
 from ..sources.tables import table
 from ..session import scratch_path
+from ..streaming import affected as AF
 from ..streaming import events as EV
 from ..streaming import remerge as RM
 from ..streaming import throttle as TH
@@ -369,7 +370,21 @@ def q_comment_carry(spark, sf):
 @query("merge_text")
 def q_merge_text(spark, sf):
     t = M.merge_text(M.merge_rows(C.ts_corpus(spark, sf)))
-    return t.select("project_id", "n_rows", "n_bytes", F.md5("text").alias("md5"), "too_large")
+    return t.select("project_id", "n_rows", "n_bytes", "md5", "too_large")
+
+
+@query("merge_chunks")
+def q_merge_chunks(spark, sf):
+    """C12 in chunks of 64 KiB."""
+    c = S.text_chunks(M.merge_rows(C.ts_corpus(spark, sf)), ["out_ord"])
+    return c.select("project_id", "chunk", "n_bytes", F.md5("content").alias("md5"))
+
+
+@query("concat_chunks")
+def q_concat_chunks(spark, sf):
+    """A5 in chunks of 64 KiB."""
+    c = S.text_chunks(S.merge_concat_rows(C.documents_files(spark, sf)), ["file_ord", "path"])
+    return c.select("project_id", "chunk", "n_bytes", F.md5("content").alias("md5"))
 
 
 @query("index_export_order")
@@ -391,8 +406,8 @@ def q_scan_corpus(spark, sf):
 def q_write_merged(spark, sf):
     out = scratch_path(spark, "merged")
     S.write_merged_text(M.merge_rows(C.ts_corpus(spark, sf)), out)
-    t = S.read_merged_text(spark, out)
-    return t.select("project_id", F.md5("text").alias("md5"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    t = S.stream_digest(S.read_merged_text(spark, out), ["path"])
+    return t.select("project_id", "md5", "n_bytes")
 
 
 @query("position_order")
@@ -489,6 +504,19 @@ def q_line_provenance(spark, sf):
     return I.line_provenance(M.merge_rows_from_facts(facts, materialize=False), facts)  # lexed once for both
 
 
+# ------------------------------------------------- dependants of changes
+
+@query("affected_stream")
+def q_affected_stream(spark, sf):
+    """F8 with G11: batches that really change, delete and add files, and the files that depend on them."""
+    folder, index, out, ck = (scratch_path(spark, f"changes-{x}") for x in ("in", "index", "out", "ck"))
+    for batch in C.ts_changes(spark, sf):
+        batch.write.mode("append").parquet(folder)
+    q = AF.start_affected(AF.change_source(spark, folder), C.ts_corpus(spark, sf), index, out, ck)
+    q.awaitTermination()
+    return AF.read_affected(spark, out).groupBy("version", "project_id", "path").agg(F.min("hop").alias("hop"))
+
+
 # ---------------------------------------------- dense code, re-exports
 
 @query("statements_dense")

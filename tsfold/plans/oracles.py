@@ -493,6 +493,17 @@ SELECT project_id, count(*) AS n_rows, CAST(sum(strlen(value)) AS BIGINT) AS n_b
        md5(string_agg(value, '' ORDER BY out_ord)) AS md5, false AS too_large
 FROM mo GROUP BY project_id"""
 
+_CHUNKS = """
+SELECT project_id, c AS chunk, octet_length(p)::BIGINT AS n_bytes, md5(p) AS md5
+FROM (SELECT project_id, c, array_slice(t, c * 65536 + 1, (c + 1) * 65536) AS p
+      FROM (SELECT project_id, t, unnest(range(0, (octet_length(t) + 65535) // 65536)) AS c FROM texts))"""
+
+ORACLES["merge_chunks"] = MERGED + """,
+texts AS (SELECT project_id, encode(string_agg(value, '' ORDER BY out_ord)) AS t FROM mo GROUP BY project_id)""" + _CHUNKS
+
+ORACLES["concat_chunks"] = """
+WITH texts AS (SELECT source AS project_id, encode(string_agg(text || chr(10), '' ORDER BY doc_id)) AS t FROM documents GROUP BY source)""" + _CHUNKS
+
 ORACLES["write_merged"] = MERGED + """
 SELECT project_id, md5(string_agg(value, '' ORDER BY out_ord)) AS md5,
        CAST(sum(strlen(value)) AS BIGINT) AS n_bytes
@@ -593,7 +604,7 @@ v AS (SELECT k, unnest([
     {{'s': 1, 'row': 0, 'v': 'class C# {{}}', 't': 'class_declaration', 'kind': 'Class', 'name': 'C#', 'after': NULL}},
     {{'s': 2, 'row': 0, 'v': 'class E# extends C# {{}}', 't': 'class_declaration', 'kind': 'Class', 'name': 'E#', 'after': 1}},
     {{'s': 3, 'row': 1, 'v': 'export const a# = 1, b# = new C#();', 't': 'export_statement', 'kind': 'ExportDecl', 'name': 'a#', 'after': NULL}},
-    {{'s': 4, 'row': 1, 'v': 'let {{ p#, q: r# = {{ z: 2 }}, ...s# }} = a#;', 't': 'lexical_declaration', 'kind': 'Unknown', 'name': 'p#', 'after': 3}},
+    {{'s': 4, 'row': 1, 'v': 'let {{ p#, q: r# = {{ z: 2 }}, ...s# }} = a#;', 't': 'lexical_declaration', 'kind': 'Unknown', 'name': NULL, 'after': 3}},
     {{'s': 5, 'row': 2, 'v': 'const t# = `x${{ b# ? `}}{{ ${{ p# }} {{` : ''`'' }}y` + ' || repeat('`${{', d) || '1' || repeat('}}`', d) || ';', 't': 'lexical_declaration', 'kind': 'Unknown', 'name': 't#', 'after': NULL}},
     {{'s': 6, 'row': 2, 'v': 'export function f#() {{}}', 't': 'export_statement', 'kind': 'ExportDecl', 'name': 'f#', 'after': 5}},
     {{'s': 7, 'row': 2, 'v': 'f#();', 't': 'expression_statement', 'kind': 'Unknown', 'name': NULL, 'after': 6}},
@@ -644,6 +655,15 @@ UNION ALL SELECT DISTINCT project_id, 'src/loop/' || g || x || '.ts', 'Loop' ||
 ORACLES["located_refs_barrels"] = BARRELS + """
 SELECT project_id, 'src/use/' || k || '.ts' AS src_path, 2::BIGINT AS src_stmt_ord, 'use' || k AS src, dst_path, 1::BIGINT AS dst_stmt_ord, 'Part' || k AS dst FROM p"""
 
+ORACLES["affected_stream"] = """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 16 AS project_id, p_size AS z FROM part),
+f AS (SELECT CASE WHEN z >= 45 THEN 1 WHEN z >= 40 THEN 2 WHEN z = 1 THEN 3 ELSE 5 END AS version, k, project_id FROM p WHERE z >= 40 OR z IN (1, 2)),
+o AS (SELECT DISTINCT version, project_id, 'src/order/' || l_orderkey || '.ts' AS path FROM f JOIN lineitem ON l_partkey = k AND l_orderkey % 16 = project_id WHERE version <> 2)
+SELECT version::BIGINT AS version, project_id, 'src/part/' || k || '.ts' AS path, 0::BIGINT AS hop FROM f
+UNION ALL SELECT 4, project_id, 'src/extra/' || k || '.ts', 0 FROM p WHERE z = 2
+UNION ALL SELECT 5, project_id, 'src/extra/' || k || '.ts', 1 FROM p WHERE z = 2
+UNION ALL SELECT version, project_id, path, 1 FROM o"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -256,6 +256,30 @@ def ts_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("import { Loop"), g, F.lit(" } from './"), g, F.lit("x';\nconst end"), g, F.lit(" = Loop"), g, F.lit(";\n"))))
 
 
+def ts_changes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Five batches of changes to ``ts_corpus``, as change events (version, project_id, path, file_ord, kind, content):
+    1 a field added to the classes of large parts, 2 only the comment of others, 3 small parts deleted, 4 new files
+    that use a part in a body alone, 5 a field added to those parts."""
+    parts = ts_parts(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), "p_size"), "file_ord")
+    field = F.regexp_replace("content", r"\}\n$", "    added: boolean = true;\n}\n")
+    k = _s("file_ord")
+    extra = F.concat(F.lit("import { Part"), k, F.lit(" } from '../part/"), k, F.lit("';\nexport const extra"), k,
+                     F.lit(" = 1;\nfunction local() {\n    return new Part"), k, F.lit("();\n}\n"))
+
+    def batch(version: int, some: DataFrame, kind: str, content: Column, path: Column = F.col("path")) -> DataFrame:
+        return some.select(F.lit(version).cast("bigint").alias("version"), "project_id", path.alias("path"), "file_ord",
+                           F.lit(kind).alias("kind"), content.cast("string").alias("content"))
+
+    two = parts.where("p_size = 2")
+    return [
+        batch(1, parts.where("p_size >= 45"), "modify", field),
+        batch(2, parts.where("p_size BETWEEN 40 AND 44"), "modify", F.regexp_replace("content", "^// part", "// revised part")),
+        batch(3, parts.where("p_size = 1"), "delete", F.lit(None)),
+        batch(4, two, "create", extra, F.concat(F.lit("src/extra/"), k, F.lit(".ts"))),
+        batch(5, two, "modify", field),
+    ]
+
+
 def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as HTML files (second language plug-in for comments)."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
