@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tsfold.functions import lexer as L
 from tsfold.operators import extract as X
+from tsfold.operators import graph as G
+from tsfold.operators.order import dense_rank_within
 
 
 def _files(spark, *texts):
@@ -47,3 +49,34 @@ def test_template_spans_by_runs(spark):
         assert [text[s["start"]:s["stop"]] for s in spans] == found
     plan = spark.createDataFrame([("",)], "t string").select(L.template_spans(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan  # not character by character
+
+
+def test_stored_rows_are_packed_and_read_by_columns(spark):
+    st = X.extract_facts(_files(spark, "export class A {}\n", None), materialize=True)
+    plan = st.select("name")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet [name" in plan and "ReadSchema: struct<name:string>" in plan
+    assert [r["name"] for r in st.select("name").collect()] == ["A"]
+    ranked = dense_rank_within(st.select("project_id", "path", "value"), ["project_id"], ["path"], "n")
+    assert [tuple(r) for r in ranked.select("value", "n").collect()] == [("export class A {}", 1)]
+
+
+def test_components_offer_changed_labels_only(spark):
+    ring = [(1, f"n{i * 7 % 41:02d}", f"n{(i + 1) * 7 % 41:02d}") for i in range(30)]
+    pairs = [(2, "b", "a"), (2, "c", "b"), (2, "d", "d"), (2, "x", "y"), (2, "c", "b"), (2, None, "a")]
+    edges = spark.createDataFrame(ring + pairs, "project_id bigint, src string, dst string")
+    found = {(r["project_id"], r["node"]): r["component"] for r in G.components(edges).collect() if r["node"]}
+    want = {(1, n): min(x for _, a, b in ring for x in (a, b)) for _, a, b in ring for n in (a, b)}
+    want |= {(2, "a"): "a", (2, "b"): "a", (2, "c"): "a", (2, "d"): "d", (2, "x"): "x", (2, "y"): "x"}
+    assert found == want
+    assert not list(_checkpoints(spark, G.components, edges))  # rounds are stored packed
+
+
+def _checkpoints(spark, run, *args):
+    base = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def rdds():
+        return {str(x.getPath().getName()) for x in fs.listStatus(base) if x.getPath().getName().startswith("rdd-")}
+    before = rdds()
+    run(*args).collect()
+    return rdds() - before
