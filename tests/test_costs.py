@@ -1,5 +1,9 @@
 """Work that is done once: array expressions that are not evaluated again by a filter, cheap forms of line facts."""
 
+import contextlib
+import io
+import re
+
 from pyspark.sql import functions as F
 
 from tsfold.functions import lexer as L
@@ -80,3 +84,37 @@ def _checkpoints(spark, run, *args):
     before = rdds()
     run(*args).collect()
     return rdds() - before
+
+
+def _generated_sizes(spark, df):
+    """Byte code of the longest method of each stage that Spark generates for ``df``."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+
+
+def test_no_generated_method_is_too_long_to_be_compiled(spark):
+    sizes = _generated_sizes(spark, X.extract_facts(_files(spark, "class A {}\n")))
+    assert sizes and max(sizes) < 8000  # HotSpot interprets longer ones
+
+
+def test_blanks_and_brackets_of_lines(spark):
+    texts = ["", " \t\r\f\v", "\t{ (a[é])\v", "@b \r", "\u00a0{{", None, "\f  x = [(;\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "m string")
+    m = F.col("m")
+    rows = df.select(L.is_blank(m), L.brace_delta(m), L.first_word(m), L.last_char(m)).collect()
+    assert [tuple(r) for r in rows] == [(True, 0, "", ""), (True, 0, "", ""), (False, 1, "", ")"), (False, 0, "@", "b"),
+                                        (False, 2, "", "{"), (None, None, None, None), (False, 2, "x", ";")]
+
+
+def test_import_clauses(spark):
+    codes = {"import a, { b, type c as d , e  as\tf } from './x';": [("a", "a"), ("b", "b"), ("c", "d"), ("e", "f")],
+             "import * as g from \"h\"": [("*", "g")], "import 'i';": [(None, None)], "import {} from 'j'": [(None, None)]}
+    for code, names in codes.items():
+        x = spark.createDataFrame([(code,)], "c string").select(X._imported(F.col("c")).alias("x")).first()["x"]
+        assert [tuple(n) for n in x["names"]] == names and x["source"] in ("./x", "h", "i", "j")
