@@ -60,9 +60,6 @@ _ELEMENTS = frozenset(
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BLANK = re.compile(r"\s+")
-_SPACE = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r" ?\n[\n ]*")
 
 
 def digest(block: bytes) -> str:
@@ -78,10 +75,15 @@ def _without_tag(m: re.Match) -> str:
     return "" if name is None or name.lower() in _ELEMENTS or "-" in name or ":" in name else m.group()
 
 
+def _folded(text: str) -> str:
+    """Each run of white space as one blank (a substitution would replace every single blank by itself)."""
+    return (" " if text[:1].isspace() else "") + " ".join(text.split()) + (" " if text[-1:].isspace() and not text.isspace() else "")
+
+
 def plain_text(page: str) -> str:
     """Visible text of a page: one line for each block, white space folded."""
-    text = _TAG.sub(_without_tag, _BLOCK.sub("\n", _BLANK.sub(" ", _HIDDEN.sub(" ", _UNSEEN.sub(" ", page)))))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text).replace("\r", " "))).strip()
+    text = _TAG.sub(_without_tag, _BLOCK.sub("\n", _folded(_HIDDEN.sub(" ", _UNSEEN.sub(" ", page)))))
+    return "\n".join(filter(None, (" ".join(line.split()) for line in html.unescape(text).split("\n"))))
 
 
 def one_line(value: str) -> str:
