@@ -118,3 +118,24 @@ def test_import_clauses(spark):
     for code, names in codes.items():
         x = spark.createDataFrame([(code,)], "c string").select(X._imported(F.col("c")).alias("x")).first()["x"]
         assert [tuple(n) for n in x["names"]] == names and x["source"] in ("./x", "h", "i", "j")
+
+
+def test_small_projects_are_peeled_without_rounds(spark, monkeypatch):
+    chain = [(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
+    more = [(2, "a", "b"), (2, "b", "c"), (2, "c", "b"), (2, "c", "d"), (3, "x", "x"), (4, "a", "b"), (4, "a", "b"), (4, "a", "c"), (4, "c", "b")]
+    odd = [(None, "a", "b"), (5, None, "b"), (5, "b", "c"), (6, "a", None)]
+    large = [(8, f"n{i}", f"n{(i + 1) % 70}") for i in range(70)]
+
+    def found(rows):
+        e = spark.createDataFrame(rows, "project_id bigint, src string, dst string")
+        return [sorted(map(repr, df.collect())) for df in (*G.peel_levels(e), G.has_cycle(e), G.topo_order(e))]
+
+    names = []
+    real = G._ckpt
+    monkeypatch.setattr(G, "_ckpt", lambda df: names.append(1) or real(df))
+    alone = found(chain + more)
+    assert len(names) == 12  # each call: edges, large projects, and the empty rounds; none for a level of the chain
+    every = found(more + odd + large)
+    monkeypatch.setattr(G, "SMALL_GRAPH", 0)
+    assert alone == found(chain + more)
+    assert every == found(more + odd + large)
