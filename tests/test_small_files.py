@@ -1,0 +1,61 @@
+"""Statements of small files, cut inside their row, are those that windows over the lines of a file give."""
+
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from tsfold.operators import extract as X
+from ts_sources import GAUGE_TS, REPORT_TS, STATION_TS
+
+TEXTS = [
+    "", "\n", "  \n\t\n", "// only a remark\n", "\n\n/* a\n b */\n\n", "x", "x\n", ";", "}", "{", "a }\n{ b\n", "class A {\n", "}\nclass A {\n",
+    "import { a } from 'a';\n\n// of b\nexport const b = `x${\n1}y`; // tail\n// end\n\n", "\r\n export class A { } \r\n\f\n",
+    "@deco\n@deco({ a: 1 })\nexport class C {\n  @in() x = 1;\n  go() {}\n}\n@d class D {}\n@e\nfoo();\n",
+    "const a = 1, { b, c: d } = f(\n  1,\n); let z; /* m\n n */ class E {}\nfoo\n  .bar()\nbaz()\n",
+    "export namespace N {\n  export class K {\n    go() { return '}'; }\n  }\n  // é😀\n  export const m = 1, n = 2; export function f() {\n  }\n}\n",
+    "namespace M { export const é = 1; export namespace O { export class P {} } }\nmodule Q {\n export\n class R {}\n}\n",
+    "  /* c\n d */ class A {}\n", "'é'; /re[/]x/.test(a)\nasync function* g() {\n if (a) {\n }\n}\nabstract class H { abstract go(): void }\n",
+    "export { a, b as c } from './x'; export * from './y';\nexport default class {}\ntype T =\n  | 'a'\n  | 'b'\ninterface I { x: 1 }",
+]
+
+
+def _frame(spark, texts):
+    rows = [(i % 3, f"src/{i}.ts", i, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "project_id bigint, path string, file_ord bigint, content string")
+
+
+def _rows(df):
+    return sorted(map(repr, df.withColumn("members", F.sort_array("members")).drop("balanced").collect()))
+
+
+def test_small_files_give_the_statements_of_the_windows(spark):
+    pieces = ["class A {", "}", "{", "@d", "@d class B {}", "foo()", ";", "// c", "/* d", "*/", "", " ", "export const a = 1, b = 2;", "`", "'x'",
+              "export namespace N {", "  export class C { go() {} }", "  export function f() {", "import a from 'a'; import 'b'", "(", ")", "let c = [", "]", "go(a) {"]
+    draw = random.Random(7)
+    mixed = ["\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 14))) for _ in range(300)]
+    balanced = ["\n".join(itertools.chain.from_iterable(draw.choice(
+        [["class A {", "  go() {", "  }", "}"], ["@d", "class B { x = 1 }"], ["// c", ""], ["export namespace N {", "  /* e */ export const a = 1,", "    b = [", "    ];",
+         "  export class C {}", "  export namespace O { export type T = 1; }", "", "}"], ["let c = [", "1", "]"], ["foo()", "  .bar();"], ["", "  ", "import a from 'a'; import 'b'"]])
+        for _ in range(draw.randint(1, 8)))) for _ in range(200)]
+    files = _frame(spark, [*TEXTS, REPORT_TS, GAUGE_TS, STATION_TS, *mixed, *balanced, None])
+    old = X.statement_rows(X.lines(files))
+    assert X._small_cores(files).columns == X._line_cores(X.lines(files)).columns
+    new = X._statement_facts(X._small_cores(files.where("content IS NOT NULL")))
+    assert new.dtypes == old.dtypes
+    assert _rows(new) == _rows(old) and old.count() > 1000
+
+
+def test_every_file_goes_one_of_the_two_ways(spark):
+    large = "export class Big {\n" + "  // a remark\n" * (X.SMALL_FILE // 14 + 1) + "}\nfoo();\n"
+    twice = [(5, "src/a.ts", 1, "export class A {\n}\n")] * 2
+    odd = [(None, "src/b.ts", 1, "b();\nc();\n"), (5, None, 1, "d();\n"), (5, "src/e.ts", None, "e();\n"), (5, "src/f.ts", 1, None), (5, "src/l.ts", 2, large)]
+    files = _frame(spark, TEXTS).unionByName(spark.createDataFrame([*twice, *odd], "project_id bigint, path string, file_ord bigint, content string"))
+    assert _rows(X.file_statements(files)) == _rows(X.statement_rows(X.lines(files)))
+
+
+def test_lines_of_small_files_are_neither_sorted_nor_aggregated(spark):
+    plan = X._small_cores(_frame(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Sort", "Window", "Exchange", "Aggregate") if w in plan]
+    st = X.extract_facts(_frame(spark, ["a();\n" * 40]))
+    assert st.agg(F.count(F.lit(1))).first()[0] == 40
