@@ -139,3 +139,10 @@ def test_small_projects_are_peeled_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(G, "SMALL_GRAPH", 0)
     assert alone == found(chain + more)
     assert every == found(more + odd + large)
+
+
+def test_names_are_read_without_texts(spark):
+    st = X.extract_facts(_files(spark, "import { a } from './a';\nexport const b = 1;\nexport namespace C { export type D = 1; }\n")).drop("value")
+    assert [r["imported_name"] for r in X.imports_from(st).collect()] == ["a"]
+    assert sorted(r["export_name"] for r in X.exports_from(st).collect()) == ["C", "D", "b"]
+    assert "value" not in X.imports_from(st).columns + X.exports_from(st).columns
