@@ -11,6 +11,7 @@ from tsfold.operators import graph as G
 from tsfold.operators import imports as I
 from tsfold.operators import merge as M
 from tsfold.session import scratch_released, stored
+from tsfold.streaming import affected as AF
 from tsfold.streaming import remerge as RM
 
 ROWS = [(1, "a.ts", 1, "import { K, Q } from './n';\nimport x from 'x';\nconst a = new K(); // a\n"),
@@ -103,3 +104,15 @@ def test_references_without_a_distinct_of_their_own(spark):
     assert "HashAggregate" not in many._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     for use in (I.cross_module_refs, I.usage_position, lambda refs: I.dead_decls(X.declarations_from(st), refs)):
         assert sorted(map(repr, use(once).collect())) == sorted(map(repr, use(many).collect()))
+
+
+def test_changes_leave_no_scratch(spark, tmp_path):
+    base, index, out = _local(session.ensure_checkpoint_dir(spark)), str(tmp_path / "index"), str(tmp_path / "out")
+    rows = [(1, "q.ts", 1, "export class Q {}\n"), (1, "u.ts", 2, "import { Q } from './q';\nconst u = new Q();\n"),
+            (2, "q.ts", 1, "export class Q {}\n")]
+    before = set(os.listdir(base))
+    AF.write_index(files_df(spark, rows), index)
+    change = spark.createDataFrame([(1, 1, "q.ts", 1, "modify", "export class Q { x = 1; }\n")], AF.CHANGE_SCHEMA)
+    AF.affected_batch(index, out)(change, 0)
+    assert set(os.listdir(base)) == before
+    assert {(r.project_id, r.path, r.hop) for r in AF.read_affected(spark, out).collect()} == {(1, "q.ts", 0), (1, "u.ts", 1)}
